@@ -4,9 +4,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """A name for use in an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A text as a string in an expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def column(name: str) -> Column:
-    """The column called ``name``, whatever characters the name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """The column called ``name``."""
+    return F.col(quoted(name))
 
 
 def index_name(name: str) -> str:

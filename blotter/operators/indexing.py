@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasHandleInvalid, HasInputCols, HasOutputCols
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from blotter.functions.names import column, index_name
+from blotter.functions.names import column, index_name, literal, quoted
 from blotter.operators.ranking import frequency_ranks
 
 # A head is broadcast only if it has at most this many values and bytes.
@@ -55,40 +56,37 @@ def measure(index: DataFrame, rank: str, value: str, by: str | None = None) -> d
     }
 
 
-def lookup(
-    df: DataFrame, name: str, index: DataFrame, size: IndexSize, out: str, spread: list[Column]
-) -> DataFrame:
-    """Add ``out``: the rank of column ``name`` in ``index (value, rank)``, null if it is not there.
+def join_ranks(
+    df: DataFrame, value: str, index: DataFrame, size: IndexSize, tag: str, spread: list[str]
+) -> tuple[DataFrame, str]:
+    """Join ``index (value, rank)`` on a column; returns the rows and the expression of the rank.
 
-    ``spread`` are columns that differ between rows. They only serve to distribute the rows
-    that need no entry of the tail any more.
+    The rank is null for values that the index does not have. ``tag`` keeps the helper columns
+    of several joins apart; the caller selects what it needs of the result. ``spread`` are
+    columns that differ between rows. They only serve to distribute the rows that need no
+    entry of the tail any more.
     """
-    head = index.filter(F.col("rank") < size.head).select(
-        F.col("value").alias("__head_value"), F.col("rank").alias("__head_rank")
+    text = f"cast({quoted(value)} as string)"
+    small = size.values <= size.head
+    head = index if small else index.where(f"rank < {size.head}")
+    head = head.selectExpr(f"value as head_value_{tag}", f"rank as head_rank_{tag}")
+    df = df.join(F.broadcast(head), F.expr(f"{text} = head_value_{tag}"), "left")
+    if small:
+        return df, f"head_rank_{tag}"
+
+    tail = index.where(f"rank >= {size.head}").selectExpr(
+        f"value as tail_value_{tag}", f"rank as tail_rank_{tag}", f"0 as tail_part_{tag}"
     )
-    value = column(name).cast("string")
-    if size.values <= size.head:
-        found = df.join(F.broadcast(head), value == F.col("__head_value"), "left")
-        return found.select(*[column(c) for c in df.columns], F.col("__head_rank").alias(out))
-
-    tail = index.filter(F.col("rank") >= size.head).select(
-        F.col("value").alias("__tail_value"),
-        F.col("rank").alias("__tail_rank"),
-        F.lit(0).alias("__tail_spread"),
-    )
-    found = df.join(F.broadcast(head), value == F.col("__head_value"), "left")
-    open_row = F.col("__head_rank").isNull() & value.isNotNull()
-    found = found.withColumn("__value", F.when(open_row, value)).withColumn(
-        "__spread", F.when(open_row, 0).otherwise((F.pmod(F.xxhash64(*spread), F.lit(SPREAD)) + 1).cast("int"))
-    )
-    joined = found.join(
-        tail,
-        (F.col("__value") == F.col("__tail_value")) & (F.col("__spread") == F.col("__tail_spread")),
-        "left",
-    )
-    return joined.select(
-        *[column(c) for c in df.columns], F.coalesce("__head_rank", "__tail_rank").alias(out)
+    wanted = f"head_rank_{tag} is null and {text} is not null"
+    elsewhere = f"cast(pmod(xxhash64({', '.join(map(quoted, spread))}), {SPREAD}) + 1 as int)"
+    df = df.withColumns(
+        {
+            f"key_{tag}": F.expr(f"if({wanted}, {text}, null)"),
+            f"part_{tag}": F.expr(f"if({wanted}, 0, {elsewhere})"),
+        }
     )
+    same = F.expr(f"key_{tag} = tail_value_{tag} and part_{tag} = tail_part_{tag}")
+    return df.join(tail, same, "left"), f"coalesce(head_rank_{tag}, tail_rank_{tag})"
 
 
 class FrequencyIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid):
@@ -122,7 +120,7 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
         self.sizes = sizes
 
     def index_of(self, name: str) -> DataFrame:
-        return self.ranks.filter(F.col("column") == name).select("value", "rank")
+        return self.ranks.where(f"column = {literal(name)}")
 
     def labels(self, name: str, limit: int = 10_000) -> list[str]:
         """The values of one column by rank, for decoding; for label columns, which have few."""
@@ -133,24 +131,24 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         invalid = self.getHandleInvalid()
-        spread = [column(c) for c in dataset.columns if _hashable(dataset, c)]
-        for name, out in zip(self.getInputCols(), self.getOutputCols()):
+        fields = dataset.schema.fields
+        spread = [f.name for f in fields if isinstance(f.dataType, T.AtomicType)]
+        joined, outputs = dataset, []
+        for i, (name, out) in enumerate(zip(self.getInputCols(), self.getOutputCols())):
             size = self.sizes.get(name, IndexSize(0, 0))
-            dataset = lookup(dataset, name, self.index_of(name), size, out, spread)
-            rank = column(out).cast("double")
+            joined, rank = join_ranks(joined, name, self.index_of(name), size, f"__{i}", spread)
+            rank = f"cast({rank} as double)"
             if invalid == "keep":
-                rank = F.coalesce(rank, F.lit(float(size.values)))
+                rank = f"coalesce({rank}, {float(size.values)}D)"
             elif invalid == "error":
-                message = F.concat(F.lit(f"no index in {name!r} for: "), F.coalesce(column(name).cast("string"), F.lit("null")))
-                rank = F.coalesce(rank, F.raise_error(message).cast("double"))
-            dataset = dataset.withColumn(out, rank)
-            if invalid == "skip":
-                dataset = dataset.filter(column(out).isNotNull())
-        return dataset
-
-
-def _hashable(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() not in ("map", "variant", "udt")
+                value = f"coalesce(cast({quoted(name)} as string), 'null')"
+                message = f"concat({literal(f'no index in {name} for ')}, {value})"
+                rank = f"coalesce({rank}, cast(raise_error({message}) as double))"
+            outputs.append(f"{rank} as {quoted(out)}")
+        indexed = joined.selectExpr(*[quoted(f.name) for f in fields], *outputs)
+        if invalid == "skip":
+            indexed = indexed.na.drop(subset=[quoted(c) for c in self.getOutputCols()])
+        return indexed
 
 
 def decode(df: DataFrame, prediction: str, labels: list[str], out: str) -> DataFrame:

@@ -31,40 +31,39 @@ def in_blocks(df: DataFrame, order: list[Column], label: str) -> DataFrame:
     )
 
 
-def _block_starts(blocks: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Per block, the totals of all blocks before it.
+def _fetched(rows: DataFrame) -> DataFrame:
+    """A result of a row or so per partition, fetched once and broadcast by whoever uses it."""
+    return F.broadcast(rows.sparkSession.createDataFrame(rows.collect(), rows.schema))
 
-    There is one row per partition, so the rows are fetched, and broadcast by whoever uses them.
-    """
-    totals = blocks.groupBy(_BLOCK).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.sum(value).alias(f"__total_{name}") for name, value in sums.items()],
-    )
-    before = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        _BLOCK,
-        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"),
-        *[
-            F.coalesce(F.sum(f"__total_{name}").over(before), F.lit(0)).alias(f"__start_{name}")
-            for name in sums
-        ],
-    )
-    return blocks.sparkSession.createDataFrame(starts.collect(), starts.schema)
+
+def _before(value: str, group: list[str]) -> Column:
+    """The sum of ``value`` over the blocks before this one."""
+    earlier = Window.partitionBy(*group).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0))
 
 
 def with_position(
-    df: DataFrame, order: list[Column], position: str = "position", label: str = "position"
+    df: DataFrame,
+    order: list[Column],
+    position: str = "position",
+    label: str = "position",
+    group: str | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in the given order.
 
-    ``order`` should be a total order; where it is not, tied rows get the positions
-    of their run in some order.
+    With ``group`` positions start at 0 in each group; ``order`` must begin with that column,
+    and there must be few groups, such as one per column of a table. ``order`` should be a
+    total order; where it is not, tied rows get the positions of their run in some order.
     """
     blocks = in_blocks(df, order, label)
-    starts = F.broadcast(_block_starts(blocks, {}))
+    groups = [] if group is None else [group]
+    starts = blocks.groupBy(_BLOCK, *groups).agg(
+        F.count(F.lit(1)).alias("__rows"), F.min(_ROW).alias("__first")
+    )
+    offset = _fetched(starts.select(_BLOCK, *groups, (_before("__rows", groups) - F.col("__first")).alias("__offset")))
     return (
-        blocks.join(starts, _BLOCK)
-        .withColumn(position, F.col("__start") + F.col(_ROW))
+        blocks.join(offset, [_BLOCK, *groups])
+        .withColumn(position, F.col("__offset") + F.col(_ROW))
         .select(*[column(c) for c in df.columns], position)
     )
 
@@ -74,7 +73,8 @@ def with_running_totals(
 ) -> DataFrame:
     """Add, for each ``name: value``, the sum of ``value`` over the rows up to and including this one."""
     blocks = in_blocks(df, order, label)
-    starts = F.broadcast(_block_starts(blocks, sums))
+    totals = blocks.groupBy(_BLOCK).agg(*[F.sum(value).alias(f"__{name}") for name, value in sums.items()])
+    starts = _fetched(totals.select(_BLOCK, *[_before(f"__{n}", []).alias(f"__start_{n}") for n in sums]))
     within = (
         Window.partitionBy(_BLOCK)
         .orderBy(_ROW)

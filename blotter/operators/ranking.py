@@ -25,14 +25,8 @@ def frequency_ranks(df: DataFrame, names: list[str], label: str = "ranks") -> Da
     over the table serves all columns, and no column is limited in its values.
     Returns ``(column, value, n, rank)``.
     """
-    ranked = with_position(
-        value_counts(df, names), [F.col("column"), F.desc("n"), F.col("value")], "rank", label
-    )
-    first = {r["column"]: r["first"] for r in ranked.groupBy("column").agg(F.min("rank").alias("first")).collect()}
-    start = F.lit(0).cast("long")
-    for name, rank in first.items():
-        start = F.when(F.col("column") == name, F.lit(rank).cast("long")).otherwise(start)
-    return ranked.select("column", "value", "n", (F.col("rank") - start).alias("rank"))
+    order = [F.col("column"), F.desc("n"), F.col("value")]
+    return with_position(value_counts(df, names), order, "rank", label, group="column")
 
 
 def best_row(results: DataFrame, metric: str, sequence: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from blotter.functions.names import column
 from blotter.functions.text import tokenize
 from blotter.operators.counts import token_counts
-from blotter.operators.indexing import IndexSize, lookup, measure
+from blotter.operators.indexing import IndexSize, join_ranks, measure
 from blotter.operators.positions import with_position
 from blotter.staging import stage
 
@@ -62,13 +62,14 @@ def texts_to_sequences(
         "__key", F.col("__w.text_no").alias("__no"), F.col("__w.at").alias("__at"), F.col("__w.word").alias("__word")
     )
     index = vocabulary.words.select(F.col("token").alias("value"), (F.col("id") - 1).alias("rank"))
-    spread = [F.col("__key"), F.col("__no"), F.col("__at")]
-    numbered = lookup(exploded, "__word", index, vocabulary.size, "__rank", spread)
+    spread = ["__key", "__no", "__at"]
+    numbered, found = join_ranks(exploded, "__word", index, vocabulary.size, "__word", spread)
+    rank = F.expr(found)
     sequences = []
     for i, out in enumerate(names.values()):
         mine = F.when(
-            (F.col("__no") == i) & F.col("__rank").isNotNull(),
-            F.struct(F.col("__at").alias("at"), (F.col("__rank") + 1).cast("int").alias("id")),
+            (F.col("__no") == i) & rank.isNotNull(),
+            F.struct(F.col("__at").alias("at"), (rank + 1).cast("int").alias("id")),
         )
         in_order = F.array_sort(F.collect_list(mine))
         sequences.append(F.transform(in_order, lambda w: w["id"]).alias(out))

@@ -66,9 +66,8 @@ def x1_frequency_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x2_index_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = incidents(spark, sf_dir)
     outputs = [f"{c}_index" for c in TYPE_FEATURES]
-    pipeline = Pipeline(
-        stages=[FrequencyIndexer(TYPE_FEATURES, outputs), FrequencyIndexer(["Primary Type"], ["i_type"])]
-    )
+    # One stage for features and label: the table is counted once.
+    pipeline = Pipeline(stages=[FrequencyIndexer([*TYPE_FEATURES, "Primary Type"], [*outputs, "i_type"])])
     return pipeline.fit(df).transform(df).select("ID", *outputs, "i_type")
 
 
