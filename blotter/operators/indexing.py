@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from blotter.functions.names import column, index_name, literal, quoted
 from blotter.operators.ranking import frequency_ranks
+from blotter.staging import stage
 
 # A head is broadcast only if it has at most this many values and bytes.
 HEAD_SIZES = (100_000, 10_000, 1_000, 100, 10)
@@ -107,7 +108,8 @@ class FrequencyIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid)
         self._set(inputCols=list(inputCols), outputCols=list(outputCols), handleInvalid=handleInvalid)
 
     def _fit(self, dataset: DataFrame) -> FrequencyIndexModel:
-        ranks = frequency_ranks(dataset, self.getInputCols(), "index")
+        # By column, since every lookup reads the values of one column.
+        ranks = stage(frequency_ranks(dataset, self.getInputCols()), "index", by="column")
         return self._copyValues(FrequencyIndexModel(ranks, measure(ranks, "rank", "value", "column")))
 
 

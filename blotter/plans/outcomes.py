@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -150,7 +151,12 @@ def train_outcome(df: DataFrame, task: Task, settings: Settings = Settings()) ->
         featured = scaler.transform(featured, vector, "rescaled_features")
         vector = "rescaled_features"
 
-    forest = settings.forest.estimator("label", vector).fit(featured.filter(in_training))
+    # The forest reads its rows several times before it keeps a compact copy of its own.
+    training = featured.filter(in_training).select("label", vector).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        forest = settings.forest.estimator("label", vector).fit(training)
+    finally:
+        training.unpersist()
     scored = forest.transform(featured.filter("is_test")).select(
         column(settings.key), "label", "prediction", "probability"
     )

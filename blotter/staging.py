@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blotter.functions.names import column
+
 _SETTING = "spark.checkpoint.dir"
 _own_folder: str | None = None
 
@@ -41,9 +43,9 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written out as Parquet and read back."""
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """``df`` written out as Parquet, in folders by one column if given, and read back."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    return spark.read.schema(df.schema).parquet(path).select(*[column(c) for c in df.columns])
