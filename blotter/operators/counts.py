@@ -12,6 +12,7 @@ from blotter.functions.names import column
 from blotter.functions.numbers import zero_if_null
 from blotter.functions.text import tokenize
 from blotter.operators.filters import drop_null_keys, filter_in
+from blotter.staging import stage
 
 # More categories than this do not make a readable matrix of one column each.
 MAX_CATEGORIES = 1000
@@ -73,8 +74,11 @@ def crosstab(
 ) -> DataFrame:
     """Count matrix row x category; a pair that does not occur is 0.
 
-    Without ``values`` all categories that occur become columns, sorted by name.
+    Without ``values`` all categories that occur become columns, sorted by name. The pairs are
+    counted first and staged then, so that finding the categories takes no second pass.
     """
+    if values is None:
+        df, weight = stage(group_sizes(df, [row, category], "__n", weight), "pairs"), "__n"
     matrix = trend(df, row, category, values, weight)
     return matrix.select(
         column(row), *[zero_if_null(column(c)).alias(c) for c in matrix.columns if c != row]

@@ -25,9 +25,10 @@ from blotter.functions.names import column, index_name, literal, quoted
 from blotter.operators.ranking import frequency_ranks
 from blotter.staging import stage
 
-# A head is broadcast only if it has at most this many values and bytes.
+# The head of a column is the largest of these that fits the bytes below. A table has a
+# dozen such columns, and all their heads are in an executor's memory at once.
 HEAD_SIZES = (100_000, 10_000, 1_000, 100, 10)
-HEAD_BYTES = 64 * 1024 * 1024
+HEAD_BYTES = 16 * 1024 * 1024
 # Rows that were found in the head are spread over this many join keys of the tail.
 SPREAD = 4096
 

@@ -17,10 +17,15 @@ def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFram
     return VectorAssembler(inputCols=list(names), outputCol=out, handleInvalid="error").transform(df)
 
 
-def standardize(df: DataFrame, vector: str = "features", out: str = "scaled_features") -> DataFrame:
-    """Centre and divide by the sample standard deviation; a constant feature becomes 0."""
+def standardize(
+    df: DataFrame, vector: str = "features", out: str = "scaled_features", fit_rows: DataFrame | None = None
+) -> DataFrame:
+    """Centre and divide by the sample standard deviation; a constant feature becomes 0.
+
+    Mean and deviation are those of ``fit_rows``, by default of ``df`` itself.
+    """
     scaler = StandardScaler(inputCol=vector, outputCol=out, withMean=True, withStd=True)
-    return scaler.fit(df).transform(df)
+    return scaler.fit(df if fit_rows is None else fit_rows).transform(df)
 
 
 @dataclass(frozen=True)

@@ -76,6 +76,14 @@ def texts_to_sequences(
     return numbered.groupBy(F.col("__key").alias(key)).agg(*sequences)
 
 
+def _category_texts(df: DataFrame, name: str) -> DataFrame | None:
+    """The distinct texts of a column, staged; none if they are too many to broadcast after all."""
+    texts = df.select(column(name).alias("text")).filter(column(name).isNotNull()).distinct()
+    texts = stage(texts, "texts")
+    rows, size = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    return texts if rows <= CATEGORY_ROWS and (size or 0) <= CATEGORY_BYTES else None
+
+
 def encode_columns(
     df: DataFrame, key: str, names: dict[str, str], vocabulary: Vocabulary
 ) -> DataFrame:
@@ -85,11 +93,12 @@ def encode_columns(
     the table of them, if it is small enough to broadcast, is joined to the rows, which then
     need no shuffle. Other texts are encoded row by row and joined by key.
     """
+    # An estimate is enough to tell categories from free text; it only decides which way to go.
+    distinct = df.agg(*[F.approx_count_distinct(column(n)) for n in names]).first()
     by_row: dict[str, str] = {}
-    for name, out in names.items():
-        texts = stage(df.select(column(name).alias("text")).filter(column(name).isNotNull()).distinct(), "texts")
-        rows, size = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-        if rows > CATEGORY_ROWS or (size or 0) > CATEGORY_BYTES:
+    for (name, out), estimate in zip(names.items(), distinct):
+        texts = None if estimate > CATEGORY_ROWS else _category_texts(df, name)
+        if texts is None:
             by_row[name] = out
             continue
         encoded = texts_to_sequences(texts.select("text", F.col("text").alias("words")), "text", {"words": out}, vocabulary)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from blotter.functions.dates import hour_of
 from blotter.functions.names import column, index_name
+from blotter.operators.filters import drop_null_keys
 from blotter.operators.indexing import FrequencyIndexer, FrequencyIndexModel, decode
 from blotter.operators.scaling import PopulationScaler
 from blotter.operators.scores import accuracy, confusion_matrix, prediction_counts, roc_area, roc_points
@@ -104,13 +105,17 @@ def label_attribute(labels: list[str]) -> dict:
 
 
 def index_task(df: DataFrame, task: Task, settings: Settings) -> tuple[DataFrame, FrequencyIndexModel]:
-    """Key, test flag, label and indexed features, staged: training reads them many times."""
+    """Key, test flag, label and indexed features, staged: training reads them many times.
+
+    A row without a label can neither be trained on nor judged, and is left out.
+    """
     if task.label == "Hour" and "Hour" not in df.columns:
         df = with_hour(df)
     features = [f for f in task.features if f not in settings.exclude]
     indexed = [f for f in features if f not in settings.numeric] + [task.label]
     keep = [column(c) for c in dict.fromkeys([settings.key, *features, task.label])]
-    flagged = with_split(df.select(*keep), [settings.key], settings.test_percent, settings.seed)
+    labelled = drop_null_keys(df.select(*keep), [task.label])
+    flagged = with_split(labelled, [settings.key], settings.test_percent, settings.seed)
     if settings.fit_on == "train":
         indexer = FrequencyIndexer(indexed, handleInvalid="keep").fit(flagged.filter(~F.col("is_test")))
     else:

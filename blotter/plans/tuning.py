@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blotter.functions.names import column
+from blotter.operators.filters import drop_null_keys
 from blotter.operators.indexing import FrequencyIndexer
 from blotter.operators.ranking import mark_best
 from blotter.operators.scaling import assemble, standardize
@@ -43,16 +44,29 @@ def type_features(
     label: str = "Primary Type",
     key: str = KEY,
     exclude: tuple[str, ...] = (),
+    fit_rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Key, scaled feature vector and label index, staged."""
+    """Key, scaled feature vector and label index, staged.
+
+    Rows without a label are left out. Index and scaler are fitted on ``fit_rows``, by default
+    on all rows; values that only other rows have then share one index after the known ones.
+    """
+    df = drop_null_keys(df, [label])
     used = [f for f in features if f not in exclude]
-    indexer = FrequencyIndexer([*used, label], [*[f"{f}_index" for f in used], LABEL]).fit(
-        df.select(*[column(c) for c in [*used, label]])
-    )
-    indexed = indexer.transform(df.select(*[column(c) for c in dict.fromkeys([key, *used, label])]))
-    scaled = standardize(
-        assemble(stage(indexed, "type-index"), [f"{f}_index" for f in used]), "features", FEATURES
+    inputs, outputs = [*used, label], [*[f"{f}_index" for f in used], LABEL]
+    fit_rows = None if fit_rows is None else drop_null_keys(fit_rows, [label])
+    seen = df if fit_rows is None else fit_rows
+    indexer = FrequencyIndexer(inputs, outputs, "error" if fit_rows is None else "keep").fit(
+        seen.select(*[column(c) for c in inputs])
     )
+    wanted = [column(c) for c in dict.fromkeys([key, *inputs])]
+    indexed = stage(indexer.transform(df.select(*wanted)), "type-index")
+    assembled = assemble(indexed, outputs[:-1])
+    if fit_rows is None:
+        fitted_on = assembled
+    else:
+        fitted_on = assemble(indexer.transform(fit_rows.select(*wanted)), outputs[:-1])
+    scaled = standardize(assembled, "features", FEATURES, fitted_on)
     ready = stage(scaled.select(column(key), FEATURES, LABEL), "type-features")
     return ready.withMetadata(LABEL, label_attribute(indexer.labels(label)))
 
@@ -120,9 +134,18 @@ def cross_validate(
     return Tuned(marked, fitted.bestModel, test_f1)
 
 
-def tune_type(df: DataFrame, key: str = KEY, test_percent: int = 20, seed: int = 1234, **options) -> Tuned:
+def tune_type(
+    df: DataFrame,
+    key: str = KEY,
+    test_percent: int = 20,
+    seed: int = 1234,
+    fit_on: str = "train",
+    **options,
+) -> Tuned:
     """The whole job: features, split, cross-validation on the training rows, F1 on the test rows."""
-    train, test = train_test_split(type_features(df, key=key), [key], test_percent, seed)
+    fit_rows = train_test_split(df, [key], test_percent, seed)[0] if fit_on == "train" else None
+    ready = type_features(df, key=key, fit_rows=fit_rows)
+    train, test = train_test_split(ready, [key], test_percent, seed)
     return cross_validate(train, key, seed=seed, test=test, **options)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.functions.names import column
@@ -10,7 +10,9 @@ from blotter.operators.positions import with_position
 from blotter.sources.tables import as_csv_columns, read_table
 
 
-def with_batches(df: DataFrame, keys: list[str], size: int = 30_000, name: str = "Batch") -> DataFrame:
+def with_batches(
+    df: DataFrame, keys: list[str | Column], size: int = 30_000, name: str = "Batch"
+) -> DataFrame:
     """Add the 1-based batch number of each row: ``size`` rows per batch in key order, the last may be short.
 
     Rows with equal keys are told apart by where they stand in the input, so a key that
@@ -19,7 +21,7 @@ def with_batches(df: DataFrame, keys: list[str], size: int = 30_000, name: str =
     tie = "__tie"
     placed = with_position(
         df.withColumn(tie, F.monotonically_increasing_id()),
-        [*[column(k) for k in keys], F.col(tie)],
+        [*[column(k) if isinstance(k, str) else k for k in keys], F.col(tie)],
         "__position",
         "batches",
     )
@@ -31,10 +33,15 @@ def export_batches(
 ) -> None:
     """Cut a table into files ``Batch=1`` .. ``Batch=n`` below ``dst``, one CSV file with header each.
 
-    With ``index`` the 0-based position of each row is written as first column.
+    A file is taken over as the text it is, ordered by number where its keys are numbers. With
+    ``index`` the 0-based position of each row is written as first column.
     """
-    df = read_table(spark, src) if isinstance(src, str) else src
-    batched = with_batches(as_csv_columns(df), keys, size)
+    if isinstance(src, str):
+        df = read_table(spark, src, infer=False)
+        order = [c for k in keys for c in (column(k).try_cast("double"), column(k))]
+    else:
+        df, order = src, list(keys)
+    batched = with_batches(as_csv_columns(df), order, size)
     data = [column(c) for c in df.columns]
     if index:
         data = [F.col("__position").alias("index"), *data]

@@ -38,16 +38,20 @@ def read_incidents(
 
 
 def read_table(
-    spark: SparkSession, path: str | list[str], sampling: float = 1.0, multiline: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    infer: bool = True,
+    sampling: float = 1.0,
+    multiline: bool = False,
 ) -> DataFrame:
-    """A CSV table with inferred types; the key stays an ordinary column.
+    """A CSV table whose fields are named by its header; the key stays an ordinary column.
 
-    Inference reads the data once more. ``sampling`` below 1 infers from that share of the
-    rows, which on large tables is enough to tell the types.
+    Inferring the types reads the data once more. ``sampling`` below 1 infers from that share
+    of the rows, which on large tables is enough to tell the types. Without ``infer`` every
+    value is the text that stands in the file.
     """
-    return spark.read.options(
-        **_CSV, inferSchema="true", samplingRatio=str(sampling), multiLine=multiline
-    ).csv(path)
+    options = {"inferSchema": str(infer).lower(), "samplingRatio": str(sampling), "multiLine": multiline}
+    return spark.read.options(**_CSV, **options).csv(path)
 
 
 def as_csv_columns(df: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from blotter.operators import charts, scores
 from blotter.operators.scaling import assemble
 from blotter.operators.splits import train_test_split
 from blotter.plans.outcomes import Forest, Settings, train_outcome
-from blotter.plans.tasks import BEST_MARK, CV_DEPTHS, CV_LEAF_SIZES, SWEEP_GRID, TASKS, Task
-from blotter.plans.tuning import cross_validate, param_grid, sweep, tree
+from blotter.plans.tasks import BEST_MARK, CV_DEPTHS, CV_LEAF_SIZES, SWEEP_GRID, TASKS, TYPE_FEATURES, Task
+from blotter.plans.tuning import cross_validate, param_grid, sweep, tree, tune_type, type_features
 
 
 def brute_auc(pairs):
@@ -156,3 +156,16 @@ def test_sweep(ready):
     assert [r["Best Model"] for r in rows].count(BEST_MARK) == 1
     best = max(rows, key=lambda r: r["testing f1"])
     assert best["Best Model"] == BEST_MARK and rows[0]["training f1"] < best["training f1"]
+
+
+def test_tune_type_fits_on_training_rows(spark):
+    i = F.col("id")
+    df = spark.range(400).select(
+        i.alias("ID"),
+        *[((i * k) % (k + 3)).cast("string").alias(f) for k, f in enumerate(TYPE_FEATURES, start=1)],
+        F.when(i % 4 == 0, "THEFT").otherwise("ASSAULT").alias("Primary Type"),
+    )
+    tuned = tune_type(df, depths=[4], leaf_sizes=[2], folds=2)
+    assert tuned.results.count() == 1 and 0 < tuned.test_f1 <= 1
+    same = type_features(df).count()
+    assert same == 400
