@@ -28,6 +28,14 @@ def standardize(
     return scaler.fit(df if fit_rows is None else fit_rows).transform(df)
 
 
+def _width(rows: DataFrame, values: str) -> int:
+    """The length of the arrays of a column, which is the same in all rows."""
+    first = rows.select(F.size(values)).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    return first[0]
+
+
 @dataclass(frozen=True)
 class PopulationScaler:
     """Centres by the mean and divides by the population deviation of the rows it was fitted on.
@@ -40,18 +48,19 @@ class PopulationScaler:
 
     @staticmethod
     def fit(df: DataFrame, vector: str) -> PopulationScaler:
-        x = vector_to_array(column(vector))
-        width = df.select(F.size(x)).first()[0]
-        row = df.agg(
-            *[F.avg(x[i]).alias(f"m{i}") for i in range(width)],
-            *[F.stddev_pop(x[i]).alias(f"d{i}") for i in range(width)],
+        x = F.col("x")
+        rows = df.select(vector_to_array(column(vector)).alias("x"))
+        width = _width(rows, "x")
+        row = rows.agg(
+            *[F.avg(x[i]) for i in range(width)], *[F.stddev_pop(x[i]) for i in range(width)]
         ).first()
         return PopulationScaler(list(row[:width]), [d if d else 1.0 for d in row[width:]])
 
     def scaled(self, vector: str) -> Column:
-        x = vector_to_array(column(vector))
-        cells = [(x[i] - m) / d for i, (m, d) in enumerate(zip(self.means, self.deviations))]
-        return array_to_vector(F.array(*cells))
+        means = F.array(*[F.lit(m) for m in self.means])
+        deviations = F.array(*[F.lit(d) for d in self.deviations])
+        centred = F.zip_with(vector_to_array(column(vector)), means, lambda x, m: x - m)
+        return array_to_vector(F.zip_with(centred, deviations, lambda x, d: x / d))
 
     def transform(self, df: DataFrame, vector: str, out: str) -> DataFrame:
         return df.withColumn(out, self.scaled(vector))
@@ -102,7 +111,7 @@ def explained_rows(df: DataFrame, components: Components) -> DataFrame:
 
 def choose_k(df: DataFrame, threshold: float, vector: str = "scaled_features") -> int:
     """The smallest number of components that together explain more than ``threshold``."""
-    width = df.select(F.size(vector_to_array(column(vector)))).first()[0]
+    width = _width(df.select(vector_to_array(column(vector)).alias("x")), "x")
     upto = 0.0
     for k, share in enumerate(fit_components(df, width, vector).explained, start=1):
         upto += share

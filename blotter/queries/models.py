@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blotter.functions import index_name
 from blotter.operators import ranking, scores
 from blotter.operators.splits import train_test_split
-from blotter.plans.outcomes import Forest, Outcome, Settings, train_outcome
+from blotter.plans.outcomes import Forest, Outcome, Settings, index_task, train_outcome
 from blotter.plans.tasks import TASKS
 from blotter.plans.tuning import cross_validate, sweep, tree, type_features
 from blotter.queries.bindings import (
+    INCIDENTS_SQL,
     JUDGED_SQL,
     MEAN_METRICS_SQL,
     SCORED_SQL,
+    bucket_sql,
     incidents,
     judged,
     mean_metrics,
+    ranks_sql,
     scored,
 )
 from blotter.queries.registry import query, table
@@ -96,6 +100,31 @@ for _number, _task in enumerate(TASKS, start=1):
     _register(_number, _task)
 
 
+HOUR = TASKS["hour"]
+HOUR_SQL = f"""
+    select *, cast(hour(strptime("Date", '%m/%d/%Y %I:%M:%S %p')) as varchar) as "Hour",
+           {bucket_sql('"ID"', 42, 100)} < 25 as is_test
+    from ({INCIDENTS_SQL})"""
+
+
+@query(
+    "r5_training_table",
+    f"with i as ({HOUR_SQL}), tr as (select * from i where not is_test) select i.\"ID\", i.is_test, "
+    + ", ".join(
+        f"cast(coalesce(r{k}.rank, (select count(distinct \"{c}\") from tr)) as double) as {name}"
+        for k, (c, name) in enumerate([(HOUR.label, "label"), *[(f, index_name(f)) for f in HOUR.features]])
+    )
+    + " from i "
+    + " ".join(
+        f"""left join ({ranks_sql('tr', f'"{c}"')}) r{k} on r{k}.value = i."{c}\""""
+        for k, c in enumerate([HOUR.label, *HOUR.features])
+    ),
+)
+def r5_training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes from the training rows; values that only test rows have share the next number."""
+    return index_task(incidents(spark, sf_dir), HOUR, SMALL)[0]
+
+
 @query("r7_forest_depth_30")
 def r7_forest_depth_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = Settings(fit_on="all", rescale=True, forest=Forest(trees=5, depth=30))
@@ -126,7 +155,7 @@ def r10_decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r11_r12_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole grid of 4 depths and 3 leaf sizes over 5 folds."""
     train, _ = train_test_split(type_features(incidents(spark, sf_dir)), ["ID"], 20, 1234)
-    return cross_validate(train, parallelism=4).results
+    return cross_validate(train, parallelism=8).results
 
 
 @query(
@@ -143,4 +172,4 @@ def r13_result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r14_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_test_split(type_features(incidents(spark, sf_dir)), ["ID"], 20, 1234)
     grid = [(depth, leaf) for depth in (2, 5, 10) for leaf in (2, 6)]
-    return sweep(train, test, grid, parallelism=4).results
+    return sweep(train, test, grid, parallelism=8).results
