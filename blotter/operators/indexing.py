@@ -66,7 +66,9 @@ def join_ranks(
     The rank is null for values that the index does not have. ``tag`` keeps the helper columns
     of several joins apart; the caller selects what it needs of the result. ``spread`` are
     columns that differ between rows. They only serve to distribute the rows that need no
-    entry of the tail any more.
+    entry of the tail any more; they are data, so that a repeated task sends each row to the
+    same place again. Full copies of a row go to one place, and it is left to the adaptive
+    skew join to split them.
     """
     text = f"cast({quoted(value)} as string)"
     small = size.values <= size.head
@@ -76,19 +78,16 @@ def join_ranks(
     if small:
         return df, f"head_rank_{tag}"
 
+    # A value is sought under "v" and itself. A row that needs no value any more goes under "h"
+    # and a number to wherever that is, so that such rows, which may be most, do not meet.
     tail = index.where(f"rank >= {size.head}").selectExpr(
-        f"value as tail_value_{tag}", f"rank as tail_rank_{tag}", f"0 as tail_part_{tag}"
+        f"concat('v', value) as tail_key_{tag}", f"rank as tail_rank_{tag}"
     )
-    wanted = f"head_rank_{tag} is null and {text} is not null"
-    elsewhere = f"cast(pmod(xxhash64({', '.join(map(quoted, spread))}), {SPREAD}) + 1 as int)"
-    df = df.withColumns(
-        {
-            f"key_{tag}": F.expr(f"if({wanted}, {text}, null)"),
-            f"part_{tag}": F.expr(f"if({wanted}, 0, {elsewhere})"),
-        }
-    )
-    same = F.expr(f"key_{tag} = tail_value_{tag} and part_{tag} = tail_part_{tag}")
-    return df.join(tail, same, "left"), f"coalesce(head_rank_{tag}, tail_rank_{tag})"
+    anywhere = f"concat('h', pmod(xxhash64({', '.join(map(quoted, spread))}), {SPREAD}))"
+    open_row = f"head_rank_{tag} is null and {text} is not null"
+    df = df.withColumn(f"key_{tag}", F.expr(f"if({open_row}, concat('v', {text}), {anywhere})"))
+    df = df.join(tail, F.expr(f"key_{tag} = tail_key_{tag}"), "left")
+    return df, f"coalesce(head_rank_{tag}, tail_rank_{tag})"
 
 
 class FrequencyIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid):

@@ -15,17 +15,19 @@ def with_batches(
 ) -> DataFrame:
     """Add the 1-based batch number of each row: ``size`` rows per batch in key order, the last may be short.
 
-    Rows with equal keys are told apart by where they stand in the input, so a key that
-    fills much of the table is still spread over many tasks.
+    Rows with equal keys are ordered by their content and full copies by where they stand in
+    the input, so a key that fills much of the table is still spread over many tasks. The input
+    should be a table read from files: those come in the same order when a task is repeated.
     """
-    tie = "__tie"
-    placed = with_position(
-        df.withColumn(tie, F.monotonically_increasing_id()),
-        [*[column(k) if isinstance(k, str) else k for k in keys], F.col(tie)],
-        "__position",
-        "batches",
+    content, place = "__content", "__place"
+    told_apart = df.withColumns(
+        {content: F.xxhash64(*[column(c) for c in df.columns]), place: F.monotonically_increasing_id()}
     )
-    return placed.withColumn(name, F.floor(F.col("__position") / size).cast("long") + 1).drop(tie)
+    order = [column(k) if isinstance(k, str) else k for k in keys]
+    placed = with_position(
+        told_apart, [*order, F.col(content), F.col(place)], "__position", "batches"
+    ).drop(content, place)
+    return placed.withColumn(name, F.floor(F.col("__position") / size).cast("long") + 1)
 
 
 def export_batches(
