@@ -16,7 +16,7 @@ from blotter.staging import stage
 
 # A table of distinct texts is broadcast only up to this many rows and bytes.
 CATEGORY_ROWS = 100_000
-CATEGORY_BYTES = 64 * 1024 * 1024
+CATEGORY_BYTES = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)

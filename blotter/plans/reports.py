@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from blotter.functions.dates import month_of
 from blotter.functions.names import column
 from blotter.operators import charts
-from blotter.operators.counts import crosstab, outcome_by, trend
+from blotter.operators.counts import category_values, crosstab, outcome_by, trend
 from blotter.operators.ranking import top_groups
 from blotter.schema import TOP_LOCATIONS, TOP_TYPES
 from blotter.sources.tables import write_results
@@ -42,7 +42,7 @@ def incident_reports(
     """The reports and the tables behind their charts, by name."""
     counts = count_incidents(df)
     year_type, place = ("Year", "Primary Type"), "Location Description"
-    all_types = crosstab(counts, *year_type, weight="n")
+    all_types = crosstab(counts, *year_type, category_values(counts, "Primary Type"), weight="n")
     named_types = crosstab(counts, *year_type, types, weight="n")
     yearly = trend(counts, *year_type, types, weight="n")
     monthly = trend(counts, "Month", "Primary Type", types, weight="n")

@@ -46,7 +46,7 @@ def type_features(
     exclude: tuple[str, ...] = (),
     fit_rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Key, scaled feature vector and label index, staged.
+    """Key, scaled feature vector and label index, over staged indexes.
 
     Rows without a label are left out. Index and scaler are fitted on ``fit_rows``, by default
     on all rows; values that only other rows have then share one index after the known ones.
@@ -67,7 +67,7 @@ def type_features(
     else:
         fitted_on = assemble(indexer.transform(fit_rows.select(*wanted)), outputs[:-1])
     scaled = standardize(assembled, "features", FEATURES, fitted_on)
-    ready = stage(scaled.select(column(key), FEATURES, LABEL), "type-features")
+    ready = scaled.select(column(key), FEATURES, LABEL)
     return ready.withMetadata(LABEL, label_attribute(indexer.labels(label)))
 
 
