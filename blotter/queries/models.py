@@ -15,7 +15,6 @@ from blotter.queries.bindings import (
     INCIDENTS_SQL,
     JUDGED_SQL,
     MEAN_METRICS_SQL,
-    SCORED_SQL,
     bucket_sql,
     incidents,
     judged,
@@ -23,7 +22,7 @@ from blotter.queries.bindings import (
     ranks_sql,
     scored,
 )
-from blotter.queries.registry import query, table
+from blotter.queries.registry import query
 from blotter.queries.reports import ROC_SQL
 
 # --- evaluation --------------------------------------------------------------

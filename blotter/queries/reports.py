@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from blotter.operators import charts, counts, ranking, scores
 from blotter.plans.reports import incident_reports
 from blotter.queries.bindings import (
-    FOLD_METRICS_SQL,
     INCIDENTS_SQL,
-    JUDGED_SQL,
     MEAN_METRICS_SQL,
     MEASURES,
     ORDERS_SQL,
     SCORED_SQL,
-    fold_metrics,
     incidents,
-    judged,
     mean_metrics,
     orders,
     scored,

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.functions import index_name, month_of, tokenize
+from blotter.functions import month_of, tokenize
 from blotter.operators import columns, filters
 from blotter.operators.counts import crosstab, group_sizes
 from blotter.operators.scaling import assemble
 from blotter.plans.tables import clean
-from blotter.queries.bindings import INCIDENTS_SQL, ORDERS_SQL, incidents, orders
+from blotter.queries.bindings import INCIDENTS_SQL, incidents, orders
 from blotter.queries.registry import query, table
 from blotter.sources import (
     export_batches,
