@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blotter.llm.tables import named
 from blotter.llm.tokens import mixed, text_bytes
@@ -148,9 +149,9 @@ def identify(docs: DataFrame, model: LanguageModel, carried: list[Column], text_
     if not model.languages:
         return docs.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = docs.select(F.lit(0).alias("__blank"), has_letters(text).alias("__letters"), text.alias("__text"), *carried)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:]]
+    schema = T.StructType([*rows.schema.fields[3:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
-    return rows.mapInArrow(partial(_score, model=shared), ", ".join([*fields, "lang_pred string, score double"]))
+    return rows.mapInArrow(partial(_score, model=shared), schema)
 
 
 def held_out(id_: Column) -> Column:

@@ -74,7 +74,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         elif name:
             if name in UNSEEN and not closing and not attributes.endswith("/"):
                 unseen = name
-                yield f"tag:{name}", "", False
+                yield f"tag:{name}" if not aside else "tag:aside", "", False
                 continue
             if aside:
                 aside_depth += (name == aside) * (-1 if closing else 1)
@@ -91,7 +91,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             if name == "br":
                 yield "tag:br", " ", False
             else:
-                yield f"tag:{closing}{name}", "", name in BLOCKS
+                yield "tag:aside" if aside else f"tag:{closing}{name}", "", name in BLOCKS
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +129,13 @@ def learn_weights(pages: DataFrame, id_column: str = "page_id", html_column: str
 
 def bounded_weights(learned: dict[str, float]) -> dict[str, float]:
     """Words of the text score positive and tags negative, whatever was learned or not met."""
-    weights = {k: max(-3.0, min(-0.01, w / 20)) for k, w in learned.items() if k.startswith("tag")}
+    weights = {k: max(-0.1, min(-0.01, w / 100)) for k, w in learned.items() if k.startswith("tag")}
     weights["word:main"] = max(1.0, learned.get("word:main", 1.0))
     weights["word:plain"] = 1.0  # labelled pages have no such words
     weights["word:link"] = -0.5
     weights["word:outside"] = min(-1.0, learned.get("word:outside", -1.0))
-    weights["word:aside"] = max(-0.5, min(-0.05, learned.get("word:aside", -0.5)))
+    # Marked parts are left out wherever they stand, so they need not end a region.
+    weights["word:aside"] = weights["tag:aside"] = -0.001
     return weights
 
 
