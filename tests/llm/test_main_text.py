@@ -27,7 +27,7 @@ def test_table_of_pages(spark):
     pages += [(100, None, None, "t"), (101, "u", "", "t"), (0, "u", pages[0][2], "t"), (None, "u", "<article>" + "<p>long text</p>" * 5000, "t")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
     weights = learn_weights(df)
-    assert weights["word:main"] > 0 > weights["tag:nav"] and weights["tag:p"] < 0
+    assert weights["word:main"] > 0 > weights["tag:aside"] and weights["tag:p"] < 0
     found = {r.page_id: r.text for r in main_text(df, weights).collect()}
     assert found[7] == TEXT + "\n7" and found[100] == found[101] == "" and found[None].count("\n") == 4999
     assert main_text(df, weights).count() == len(pages)
