@@ -15,9 +15,13 @@ from blotter.session import get_session
 from blotter.sources import export_batches, read_incidents, read_table, write_results, write_table
 
 
+def _incidents(spark, args):
+    return read_incidents(spark, args.input, source=args.source, multiline=args.multiline)
+
+
 def clean(spark, args) -> None:
     """Drop the raw-only columns and incomplete rows; --parquet writes the typed table by year."""
-    raw = read_table(spark, args.input, infer=False)
+    raw = read_table(spark, args.input, infer=False, multiline=args.multiline)
     if args.parquet:
         tables.write_canonical(tables.clean(raw), args.output)
     else:
@@ -26,7 +30,7 @@ def clean(spark, args) -> None:
 
 def encode(spark, args) -> None:
     """Clean, and replace type and place by word numbers."""
-    tables.write_encoded(read_table(spark, args.input, infer=False), args.output)
+    tables.write_encoded(read_table(spark, args.input, infer=False, multiline=args.multiline), args.output)
 
 
 def batches(spark, args) -> None:
@@ -36,7 +40,7 @@ def batches(spark, args) -> None:
 
 def report(spark, args) -> None:
     """All reports and chart tables, as CSV."""
-    for name in reports.write_reports(read_incidents(spark, args.input), args.output):
+    for name in reports.write_reports(_incidents(spark, args), args.output):
         print(name)
 
 
@@ -51,7 +55,7 @@ def outcome(spark, args) -> None:
     """Train one of the prediction tasks; writes the predictions of the test rows."""
     forest = outcomes.Forest(trees=args.trees, depth=args.depth)
     settings = outcomes.Settings(key=args.key, fit_on=args.fit_on, exclude=tuple(args.exclude), forest=forest)
-    found = outcomes.train_outcome(read_incidents(spark, args.input), TASKS[args.task], settings)
+    found = outcomes.train_outcome(_incidents(spark, args), TASKS[args.task], settings)
     write_table(found.predictions, args.output)
     # Both are null where no test row allows them.
     share = found.accuracy().select(as_percentage(F.col("accuracy"))).first()[0]
@@ -63,13 +67,18 @@ def outcome(spark, args) -> None:
 def tune(spark, args) -> None:
     """Cross-validate the tree for the offence type; writes the result table."""
     found = tuning.tune_type(
-        read_incidents(spark, args.input), args.key, fit_on=args.fit_on, parallelism=args.parallelism
+        _incidents(spark, args), args.key, fit_on=args.fit_on, parallelism=args.parallelism
     )
     write_results(found.results, args.output)
     print(f"Test F1 of the best tree: {found.test_f1:.6f}")
 
 
-JOBS = {f.__name__: f for f in (clean, encode, batches, report, project, outcome, tune)}
+def sweep(spark, args) -> None:
+    """F1 of a tree for the offence type at every point of the sweep; writes the result table."""
+    write_results(tuning.sweep_type(_incidents(spark, args), args.key, parallelism=args.parallelism).results, args.output)
+
+
+JOBS = {f.__name__: f for f in (clean, encode, batches, report, project, outcome, tune, sweep)}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -81,6 +90,8 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("output")
         one.add_argument("--master", help="only for runs without spark-submit")
         one.add_argument("--key", default=KEY)
+        one.add_argument("--source", choices=["csv", "parquet"], help="default: told by the files found")
+        one.add_argument("--multiline", action="store_true", help="CSV values may run over several lines")
         if job is clean:
             one.add_argument("--parquet", action="store_true")
         if job is batches:
@@ -91,10 +102,10 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--trees", type=int, default=100)
             one.add_argument("--depth", type=int, default=30)
             one.add_argument("--exclude", nargs="*", default=[])
-        if job is tune:
+        if job in (tune, sweep):
             one.add_argument("--parallelism", type=int, default=2)
         if job in (outcome, tune):
-            one.add_argument("--fit-on", choices=["train", "all"], default="train")
+            one.add_argument("--fit-on", choices=["train", "all"], default="all")
     return top
 
 

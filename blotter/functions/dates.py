@@ -1,7 +1,6 @@
 """Occurrence times are text such as ``04/16/2020 5:00:00 AM``.
 
-The text has no zone. Sessions should run in UTC (see ``blotter.session``), so
-that no hour falls into a daylight-saving gap.
+The text has no zone and is read without one, so the session's zone plays no part.
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from blotter.schema import DATE_PATTERN, MONTH_LABELS
 
 def occurred_at(text: Column) -> Column:
     """The text as a timestamp without zone; null where it cannot be read."""
-    return F.try_to_timestamp(text, F.lit(DATE_PATTERN)).cast("timestamp_ntz")
+    readable = F.try_to_timestamp(text, F.lit(DATE_PATTERN)).isNotNull()
+    return F.when(readable, F.to_timestamp_ntz(text, F.lit(DATE_PATTERN)))
 
 
 def hour_of(text: Column) -> Column:

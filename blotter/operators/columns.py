@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blotter.functions.dates import occurred_at
 from blotter.functions.names import column, index_name
@@ -25,9 +26,20 @@ def rename_indexed(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def cast_columns(df: DataFrame, names: list[str], to: str = "double") -> DataFrame:
-    """Cast the named columns; the others and the column order stay as they are."""
+    """Cast the named columns; the others and the column order stay as they are.
+
+    Text that is a truth value, such as ``TRUE``, becomes 1 or 0; other text that is no number
+    is an error.
+    """
     wanted = set(names)
-    return df.select(*[column(c).cast(to).alias(c) if c in wanted else column(c) for c in df.columns])
+
+    def number(field: T.StructField) -> Column:
+        value = column(field.name)
+        if isinstance(field.dataType, T.StringType):
+            return F.coalesce(value.try_cast(to), value.try_cast("boolean").cast("int").cast(to), value.cast(to))
+        return value.cast(to)
+
+    return df.select(*[number(f).alias(f.name) if f.name in wanted else column(f.name) for f in df.schema.fields])
 
 
 def to_canonical(df: DataFrame) -> DataFrame:

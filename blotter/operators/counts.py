@@ -14,28 +14,15 @@ from blotter.functions.text import tokenize
 from blotter.operators.filters import drop_null_keys, filter_in
 from blotter.staging import stage
 
-# More categories than this do not make a readable matrix of one column each.
-MAX_CATEGORIES = 1000
-
-
 def _tally(weight: str | None) -> Column:
     """The number of rows; of counted rows, the sum of their counts."""
     return F.count(F.lit(1)) if weight is None else F.sum(column(weight))
 
 
-def category_values(df: DataFrame, name: str, limit: int = MAX_CATEGORIES) -> list:
-    """The distinct values of a column, sorted; an error if there are more than ``limit``."""
-    found = (
-        drop_null_keys(df, [name])
-        .select(column(name).alias("value"))
-        .distinct()
-        .orderBy("value")
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(found) > limit:
-        raise ValueError(f"{name!r} has more than {limit} values")
-    return [r["value"] for r in found]
+def category_values(df: DataFrame, name: str) -> list:
+    """The distinct values of a column, sorted: they become columns of a matrix, so the driver must name them."""
+    found = drop_null_keys(df, [name]).select(column(name).alias("value")).distinct().orderBy("value")
+    return [r["value"] for r in found.collect()]
 
 
 def group_sizes(
@@ -157,12 +144,11 @@ def correlations(df: DataFrame, names: list[str]) -> DataFrame:
     return one_row.select(F.inline(rows))
 
 
-def token_counts(df: DataFrame, names: list[str]) -> DataFrame:
+def token_counts(df: DataFrame, names: list[str], weight: str | None = None) -> DataFrame:
     """How often each token occurs in the named text columns together."""
     words = F.concat(*[F.coalesce(tokenize(column(n)), F.array().cast("array<string>")) for n in names])
-    return (
-        df.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    )
+    tallied = [] if weight is None else [column(weight)]
+    return df.select(F.explode(words).alias("token"), *tallied).groupBy("token").agg(_tally(weight).alias("n"))
 
 
 def mean_metric(df: DataFrame, params: list[str], metric: str, name: str = "avg_metric") -> DataFrame:

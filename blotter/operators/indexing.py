@@ -6,9 +6,12 @@ values as the table has rows. Here the index is a table: it is counted in one
 pass for all columns and looked up by joins.
 
 Lookups and skew. Rank 0 is the most frequent value, so the head of the index is
-exactly the set of values that could overload a join. The head, whose size in
-rows and bytes is measured when the index is built, is broadcast; only values
-outside it need a shuffle, and none of those is frequent.
+exactly the set of values that could overload a join. Heads are broadcast by
+digest of the value, 16 bytes whatever its length, so their number of entries
+bounds their size; one budget of entries serves all columns of a model together.
+What the heads leave open are rare values. They are looked up as narrow triples
+(row, column, digest), all columns in one shuffle, and brought back to their rows
+in another; rows without open values take no part in either.
 """
 
 from __future__ import annotations
@@ -17,77 +20,45 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasHandleInvalid, HasInputCols, HasOutputCols
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from blotter.functions.names import column, index_name, literal, quoted
 from blotter.operators.ranking import frequency_ranks
 from blotter.staging import stage
 
-# The head of a column is the largest of these that fits the bytes below. A table has a
-# dozen such columns, and all their heads are in an executor's memory at once.
-HEAD_SIZES = (100_000, 10_000, 1_000, 100, 10)
-HEAD_BYTES = 16 * 1024 * 1024
-# Rows that were found in the head are spread over this many join keys of the tail.
-SPREAD = 4096
+# Entries that the heads of all columns of a model have together; some 50 MB as hash tables.
+HEAD_ENTRIES = 500_000
+_ROW, _OPEN, _FOUND = "__row", "__open", "__found"
 
 
 @dataclass(frozen=True)
 class IndexSize:
-    """How many values an index has and how many of the most frequent ones may be broadcast."""
+    """How many values an index has and how many of the most frequent ones are broadcast."""
 
     values: int
     head: int
 
 
-def measure(index: DataFrame, rank: str, value: str, by: str | None = None) -> dict:
-    """Sizes of an index table (or of several, told apart by column ``by``)."""
-    in_head = [
-        F.sum(F.when(F.col(rank) < size, F.octet_length(column(value)) + 16)).alias(f"bytes_{size}")
-        for size in HEAD_SIZES
-    ]
-    key = F.lit(None).cast("string") if by is None else column(by)
-    rows = index.groupBy(key.alias("__by")).agg(F.count(F.lit(1)).alias("values"), *in_head).collect()
-    return {
-        r["__by"]: IndexSize(
-            r["values"],
-            next((s for s in HEAD_SIZES if (r[f"bytes_{s}"] or 0) <= HEAD_BYTES), 0),
-        )
-        for r in rows
-    }
+def plan_heads(values: dict[str, int], entries: int) -> dict[str, IndexSize]:
+    """Share a budget of entries between columns; what small columns leave, larger ones get."""
+    sizes, left = {}, entries
+    for at, name in enumerate(sorted(values, key=lambda n: (values[n], n))):
+        head = min(values[name], left // (len(values) - at))
+        sizes[name], left = IndexSize(values[name], head), left - head
+    return sizes
 
 
-def join_ranks(
-    df: DataFrame, value: str, index: DataFrame, size: IndexSize, tag: str, spread: list[str]
-) -> tuple[DataFrame, str]:
-    """Join ``index (value, rank)`` on a column; returns the rows and the expression of the rank.
+def digest(text: Column) -> Column:
+    """What values are looked up by."""
+    return F.unhex(F.md5(text))
 
-    The rank is null for values that the index does not have. ``tag`` keeps the helper columns
-    of several joins apart; the caller selects what it needs of the result. ``spread`` are
-    columns that differ between rows. They only serve to distribute the rows that need no
-    entry of the tail any more; they are data, so that a repeated task sends each row to the
-    same place again. Full copies of a row go to one place, and it is left to the adaptive
-    skew join to split them.
-    """
-    text = f"cast({quoted(value)} as string)"
-    small = size.values <= size.head
-    head = index if small else index.where(f"rank < {size.head}")
-    head = head.selectExpr(f"value as head_value_{tag}", f"rank as head_rank_{tag}")
-    df = df.join(F.broadcast(head), F.expr(f"{text} = head_value_{tag}"), "left")
-    if small:
-        return df, f"head_rank_{tag}"
-
-    # A value is sought under "v" and itself. A row that needs no value any more goes under "h"
-    # and a number to wherever that is, so that such rows, which may be most, do not meet.
-    tail = index.where(f"rank >= {size.head}").selectExpr(
-        f"concat('v', value) as tail_key_{tag}", f"rank as tail_rank_{tag}"
-    )
-    anywhere = f"concat('h', pmod(xxhash64({', '.join(map(quoted, spread))}), {SPREAD}))"
-    open_row = f"head_rank_{tag} is null and {text} is not null"
-    df = df.withColumn(f"key_{tag}", F.expr(f"if({open_row}, concat('v', {text}), {anywhere})"))
-    df = df.join(tail, F.expr(f"key_{tag} = tail_key_{tag}"), "left")
-    return df, f"coalesce(head_rank_{tag}, tail_rank_{tag})"
+
+def join_head(df: DataFrame, text: Column, index: DataFrame, size: IndexSize, out: str) -> DataFrame:
+    """Add the rank of a text from the head of ``index (value, rank)`` by broadcast; null if it is not there."""
+    head = index.where(F.col("rank") < size.head)
+    head = head.select(digest(F.col("value")).alias(f"{out}_key"), F.col("rank").alias(out))
+    return df.join(F.broadcast(head), digest(text) == F.col(f"{out}_key"), "left").drop(f"{out}_key")
 
 
 class FrequencyIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid):
@@ -95,22 +66,30 @@ class FrequencyIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid)
 
     Equal counts are ranked by value. Values not met when fitting, and nulls, are an
     error, or with ``handleInvalid="keep"`` get the number of known values, or with
-    ``"skip"`` cost the row.
+    ``"skip"`` cost the row. ``head_entries`` bounds what is broadcast, over all columns; it
+    changes the plan, not the result.
     """
 
     def __init__(
-        self, inputCols: list[str], outputCols: list[str] | None = None, handleInvalid: str = "error"
+        self,
+        inputCols: list[str],
+        outputCols: list[str] | None = None,
+        handleInvalid: str = "error",
+        head_entries: int | None = None,
     ):
         super().__init__()
         if handleInvalid not in ("error", "keep", "skip"):
             raise ValueError(f"handleInvalid must be error, keep or skip, not {handleInvalid!r}")
+        self.head_entries = HEAD_ENTRIES if head_entries is None else head_entries
         outputCols = outputCols or [index_name(c) for c in inputCols]
         self._set(inputCols=list(inputCols), outputCols=list(outputCols), handleInvalid=handleInvalid)
 
     def _fit(self, dataset: DataFrame) -> FrequencyIndexModel:
         # By column, since every lookup reads the values of one column.
         ranks = stage(frequency_ranks(dataset, self.getInputCols()), "index", by="column")
-        return self._copyValues(FrequencyIndexModel(ranks, measure(ranks, "rank", "value", "column")))
+        counted = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count("*").alias("n")).collect()}
+        values = {c: counted.get(c, 0) for c in self.getInputCols()}
+        return self._copyValues(FrequencyIndexModel(ranks, plan_heads(values, self.head_entries)))
 
 
 class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
@@ -124,34 +103,62 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
     def index_of(self, name: str) -> DataFrame:
         return self.ranks.where(f"column = {literal(name)}")
 
-    def labels(self, name: str, limit: int = 10_000) -> list[str]:
-        """The values of one column by rank, for decoding; for label columns, which have few."""
-        size = self.sizes.get(name, IndexSize(0, 0)).values
-        if size > limit:
-            raise ValueError(f"{name!r} has {size} values, too many for a label")
+    def labels(self, name: str) -> list[str]:
+        """The values of one column by rank, for decoding: classes, which a classifier has to name as well."""
         return [r["value"] for r in self.index_of(name).orderBy("rank").collect()]
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         invalid = self.getHandleInvalid()
-        fields = dataset.schema.fields
-        spread = [f.name for f in fields if isinstance(f.dataType, T.AtomicType)]
-        joined, outputs = dataset, []
-        for i, (name, out) in enumerate(zip(self.getInputCols(), self.getOutputCols())):
-            size = self.sizes.get(name, IndexSize(0, 0))
-            joined, rank = join_ranks(joined, name, self.index_of(name), size, f"__{i}", spread)
-            rank = f"cast({rank} as double)"
+        names = list(zip(self.getInputCols(), self.getOutputCols()))
+        sizes = [self.sizes.get(name, IndexSize(0, 0)) for name, _ in names]
+        texts = [column(name).cast("string") for name, _ in names]
+        large = [i for i, size in enumerate(sizes) if size.values > size.head]
+        rows = dataset
+        if large:
+            # Open values leave their rows and come back, so rows need numbers that stay.
+            rows = stage(dataset.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+        for i, ((name, _), size) in enumerate(zip(names, sizes)):
+            rows = join_head(rows, texts[i], self.index_of(name), size, f"__head_{i}")
+        ranks = [F.col(f"__head_{i}") for i in range(len(names))]
+        if large:
+            rows = self._with_rare(rows, [(i, names[i][0], texts[i], sizes[i]) for i in large])
+            ranks = [F.coalesce(r, F.element_at(_FOUND, F.lit(i))) if i in large else r for i, r in enumerate(ranks)]
+        outputs = []
+        for (name, out), size, text, rank in zip(names, sizes, texts, ranks):
+            rank = rank.cast("double")
             if invalid == "keep":
-                rank = f"coalesce({rank}, {float(size.values)}D)"
+                rank = F.coalesce(rank, F.lit(float(size.values)))
             elif invalid == "error":
-                value = f"coalesce(cast({quoted(name)} as string), 'null')"
-                message = f"concat({literal(f'no index in {name} for ')}, {value})"
-                rank = f"coalesce({rank}, cast(raise_error({message}) as double))"
-            outputs.append(f"{rank} as {quoted(out)}")
-        indexed = joined.selectExpr(*[quoted(f.name) for f in fields], *outputs)
+                message = F.concat(F.lit(f"no index in {name} for "), F.coalesce(text, F.lit("null")))
+                rank = F.coalesce(rank, F.raise_error(message).cast("double"))
+            outputs.append(rank.alias(out))
+        indexed = rows.select(*[column(c) for c in dataset.columns], *outputs)
         if invalid == "skip":
             indexed = indexed.na.drop(subset=[quoted(c) for c in self.getOutputCols()])
         return indexed
 
+    def _with_rare(self, rows: DataFrame, large: list[tuple]) -> DataFrame:
+        """The rows with a map from column number to rank for the values that the heads left open."""
+        triples = [
+            F.when(F.col(f"__head_{i}").isNull() & text.isNotNull(), F.struct(F.lit(i).alias("no"), digest(text).alias("key")))
+            for i, _, text, _ in large
+        ]
+        opened = rows.withColumn(_OPEN, F.array_compact(F.array(*triples)))
+        open_ = opened.filter(F.size(_OPEN) > 0)
+        tails = [
+            self.index_of(name).where(F.col("rank") >= size.head).select(F.lit(i).alias("no"), digest(F.col("value")).alias("key"), "rank")
+            for i, name, _, size in large
+        ]
+        tail = tails[0]
+        for more in tails[1:]:
+            tail = tail.unionByName(more)
+        sought = open_.select(_ROW, F.inline(_OPEN))
+        met = sought.join(tail, ["no", "key"]).groupBy(_ROW).agg(
+            F.map_from_entries(F.collect_list(F.struct("no", F.col("rank").cast("long")))).alias(_FOUND)
+        )
+        answered = opened.filter(F.size(_OPEN) == 0).withColumn(_FOUND, F.lit(None).cast("map<int,bigint>"))
+        return open_.join(met, _ROW, "left").unionByName(answered).drop(_OPEN)
+
 
 def decode(df: DataFrame, prediction: str, labels: list[str], out: str) -> DataFrame:
     """Turn predicted ranks back into the values they stand for."""

@@ -49,7 +49,13 @@ def weighted_f1(counts: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(counts: DataFrame, labels: list) -> DataFrame:
-    """Labels as rows, predictions as columns, 0 for what does not occur."""
+    """Labels as rows, predictions as columns, 0 for what does not occur.
+
+    Classes that occur and are not among ``labels`` follow those, so no row is left out but
+    those without a label or prediction.
+    """
+    met = counts.select(F.explode(F.array("label", "prediction")).alias("class")).filter("class is not null").distinct()
+    labels = [*labels, *sorted(r["class"] for r in met.collect() if r["class"] not in set(labels))]
     cells = [
         F.coalesce(F.sum(F.when(F.col("prediction") == F.lit(v), F.col("n"))), F.lit(0)).alias(str(v))
         for v in labels
@@ -64,34 +70,37 @@ def confusion_matrix(counts: DataFrame, labels: list) -> DataFrame:
     )
 
 
-def score_counts(df: DataFrame, positive: str = "label", score: str = "score") -> DataFrame:
-    """Positive and negative rows per distinct score; ``positive`` is 0 or 1 (or boolean)."""
-    hit = column(positive).cast("int")
+def score_counts(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
+    """Positive and negative rows per distinct score; every label other than ``positive`` is negative.
+
+    A boolean label is 1 or 0. Rows without label or score do not count.
+    """
+    kind = df.schema[label].dataType.simpleString()
+    hit = ((column(label).cast("int") if kind == "boolean" else column(label)) == F.lit(positive)).cast("int")
     return (
-        df.filter(column(positive).isNotNull() & column(score).isNotNull())
+        df.filter(column(label).isNotNull() & column(score).isNotNull())
         .groupBy(column(score).alias("score"))
         .agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     )
 
 
-def _ranked_scores(df: DataFrame, positive: str, score: str) -> DataFrame:
-    """Per distinct score, highest first: positives and negatives at or above it."""
+def ranked_scores(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
+    """Per distinct score, highest first: positives and negatives at or above it, staged for curve and area."""
     return with_running_totals(
-        score_counts(df, positive, score),
+        score_counts(df, label, score, positive),
         [F.desc("score")],
         {"tp": F.col("pos"), "fp": F.col("neg")},
         "scores",
     )
 
 
-def roc_points(df: DataFrame, positive: str = "label", score: str = "score") -> DataFrame:
+def curve(ranked: DataFrame) -> DataFrame:
     """The ROC curve: one point per distinct score, and the start (0, 0) without a threshold.
 
     Rates are null where one of the two classes has no rows.
     """
-    ranked = _ranked_scores(df, positive, score)
     all_pos, all_neg = ranked.agg(F.max("tp"), F.max("fp")).first()
-    start = df.sparkSession.createDataFrame([(0, 0, None)], "fp long, tp long, threshold double")
+    start = ranked.sparkSession.createDataFrame([(0, 0, None)], "fp long, tp long, threshold double")
     points = start.unionByName(ranked.select("fp", "tp", F.col("score").alias("threshold")))
     return points.select(
         F.try_divide(F.col("fp").cast("double"), F.lit(all_neg)).alias("fpr"),
@@ -100,10 +109,17 @@ def roc_points(df: DataFrame, positive: str = "label", score: str = "score") ->
     )
 
 
-def roc_area(df: DataFrame, positive: str = "label", score: str = "score") -> DataFrame:
+def area(ranked: DataFrame) -> DataFrame:
     """Area under the ROC curve by trapezoids, in one row; null where a class has no rows."""
-    ranked = _ranked_scores(df, positive, score)
     # Sums of products of two row counts outgrow 64 bits, hence doubles.
     strip = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
     whole = F.max("tp").cast("double") * F.max("fp").cast("double")
     return ranked.agg(F.try_divide(F.sum(strip), whole).alias("auc"))
+
+
+def roc_points(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
+    return curve(ranked_scores(df, label, score, positive))
+
+
+def roc_area(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
+    return area(ranked_scores(df, label, score, positive))

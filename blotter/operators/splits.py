@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from blotter.functions.names import column
 
 
-def key_bucket(keys: list[str], seed: int, buckets: int) -> Column:
-    """A bucket number from 0 to ``buckets - 1``, even over distinct keys."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[column(k).cast("string") for k in keys])
+def key_bucket(keys: list[str], seed: int, buckets: int, purpose: str | None = None) -> Column:
+    """A bucket number from 0 to ``buckets - 1``, even over distinct keys.
+
+    Buckets of different purposes are independent of each other, also under one seed.
+    """
+    prefix = str(seed) if purpose is None else f"{purpose}:{seed}"
+    text = F.concat_ws(":", F.lit(prefix), *[column(k).cast("string") for k in keys])
     prefix = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     return (prefix % buckets).cast("int")
 
@@ -36,4 +40,4 @@ def train_test_split(
 
 def with_folds(df: DataFrame, keys: list[str], folds: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
     """Add a fold number from 0 to ``folds - 1``."""
-    return df.withColumn(name, key_bucket(keys, seed, folds))
+    return df.withColumn(name, key_bucket(keys, seed, folds, "fold"))

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from blotter.functions.names import column
 from blotter.functions.text import tokenize
-from blotter.operators.counts import token_counts
-from blotter.operators.indexing import IndexSize, join_ranks, measure
+from blotter.operators.counts import token_counts, value_counts
+from blotter.operators.indexing import HEAD_ENTRIES, IndexSize, digest, join_head, plan_heads
 from blotter.operators.positions import with_position
 from blotter.staging import stage
 
-# A table of distinct texts is broadcast only up to this many rows and bytes.
-CATEGORY_ROWS = 100_000
-CATEGORY_BYTES = 32 * 1024 * 1024
+# A table of distinct texts is broadcast up to this many bytes.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -27,11 +26,17 @@ class Vocabulary:
     size: IndexSize
 
 
-def fit_vocabulary(df: DataFrame, names: list[str]) -> Vocabulary:
-    """Number the words of all named columns together; equally frequent words by alphabet."""
-    counts = token_counts(df, names)
+def fit_vocabulary(df: DataFrame, names: list[str], min_count: int = 1, head_entries: int = HEAD_ENTRIES) -> Vocabulary:
+    """Number the words of all named columns together; equally frequent words by alphabet.
+
+    Words met fewer than ``min_count`` times are outside the vocabulary. Texts that repeat are
+    cut into words once. The ``head_entries`` most frequent words are broadcast when texts are
+    numbered, which changes the plan and not the result.
+    """
+    texts = value_counts(df, names).groupBy("value").agg(F.sum("n").alias("n"))
+    counts = token_counts(texts, ["value"], weight="n").filter(F.col("n") >= min_count)
     placed = with_position(counts, [F.desc("n"), F.col("token")], "rank", "vocabulary")
-    size = measure(placed, "rank", "token").get(None, IndexSize(0, 0))
+    size = plan_heads({"": placed.count()}, head_entries)[""]
     return Vocabulary(placed.select("token", "n", (F.col("rank") + 1).cast("int").alias("id")), size)
 
 
@@ -51,61 +56,58 @@ def texts_to_sequences(
 ) -> DataFrame:
     """Per row, the word numbers of each text in order: ``(key, *outputs)``.
 
-    ``names`` maps text columns to output columns and ``key`` must be unique. Words outside
-    the vocabulary are left out; a text without words gives an empty sequence. The texts are
+    ``names`` maps text columns to output columns; ``key`` must be unique, and rows without one
+    are left out. Words outside the vocabulary are left out; a text without words gives an empty sequence. The texts are
     distributed by key once, so that with a broadcast vocabulary the words of a row never
     leave the task that cut them.
     """
-    texts = df.select(column(key).alias("__key"), *[column(n) for n in names]).repartition("__key")
+    texts = df.select(column(key).alias("__key"), *[column(n) for n in names])
+    texts = texts.filter("__key is not null").repartition("__key")
     words = F.concat(*[_numbered_words(n, i) for i, n in enumerate(names)])
     exploded = texts.select("__key", F.explode_outer(words).alias("__w")).select(
         "__key", F.col("__w.text_no").alias("__no"), F.col("__w.at").alias("__at"), F.col("__w.word").alias("__word")
     )
     index = vocabulary.words.select(F.col("token").alias("value"), (F.col("id") - 1).alias("rank"))
-    spread = ["__key", "__no", "__at"]
-    numbered, found = join_ranks(exploded, "__word", index, vocabulary.size, "__word", spread)
-    rank = F.expr(found)
-    sequences = []
-    for i, out in enumerate(names.values()):
-        mine = F.when(
-            (F.col("__no") == i) & rank.isNotNull(),
-            F.struct(F.col("__at").alias("at"), (rank + 1).cast("int").alias("id")),
-        )
-        in_order = F.array_sort(F.collect_list(mine))
-        sequences.append(F.transform(in_order, lambda w: w["id"]).alias(out))
-    return numbered.groupBy(F.col("__key").alias(key)).agg(*sequences)
-
-
-def _category_texts(df: DataFrame, name: str) -> DataFrame | None:
-    """The distinct texts of a column, staged; none if they are too many to broadcast after all."""
-    texts = df.select(column(name).alias("text")).filter(column(name).isNotNull()).distinct()
-    texts = stage(texts, "texts")
-    rows, size = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    return texts if rows <= CATEGORY_ROWS and (size or 0) <= CATEGORY_BYTES else None
+    size = vocabulary.size
+    numbered = join_head(exploded, F.col("__word"), index, size, "__rank")
+
+    def gathered(rows: DataFrame, out: str) -> DataFrame:
+        word = F.struct(F.col("__no").alias("no"), F.col("__at").alias("at"), (F.col("__rank") + 1).cast("int").alias("id"))
+        return rows.groupBy("__key").agg(F.collect_list(F.when(F.col("__rank").isNotNull(), word)).alias(out))
+
+    # Frequent words are numbered where their text was cut; only rare ones are shuffled.
+    words_of = gathered(numbered, "__words")
+    if size.values > size.head:
+        tail = index.where(F.col("rank") >= size.head).select(digest(F.col("value")).alias("__digest"), F.col("rank").alias("__rank"))
+        rare = numbered.filter("__rank is null and __word is not null").select("__key", "__no", "__at", digest(F.col("__word")).alias("__digest"))
+        more = gathered(rare.join(tail, "__digest"), "__rare").withColumnRenamed("__key", "__rare_key")
+        words_of = words_of.join(more, F.col("__key") == F.col("__rare_key"), "left")
+        none = F.filter("__words", lambda w: F.lit(False))
+        words_of = words_of.withColumn("__words", F.concat("__words", F.coalesce(F.col("__rare"), none)))
+    in_order = F.array_sort("__words")
+
+    def of_text(no: int) -> Column:
+        return F.transform(F.filter(in_order, lambda w: w["no"] == no), lambda w: w["id"])
+
+    sequences = [of_text(i).alias(out) for i, out in enumerate(names.values())]
+    return words_of.select(F.col("__key").alias(key), *sequences)
 
 
 def encode_columns(
-    df: DataFrame, key: str, names: dict[str, str], vocabulary: Vocabulary
+    df: DataFrame, names: dict[str, str], vocabulary: Vocabulary, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """``df`` with a sequence column for each named text column.
+    """``df`` with a sequence column for each named text column; null texts give empty ones.
 
-    Category columns repeat few texts over and over. Each of their texts is encoded once and
-    the table of them, if it is small enough to broadcast, is joined to the rows, which then
-    need no shuffle. Other texts are encoded row by row and joined by key.
+    Every distinct text is encoded once and joined to the rows by the text itself, so rows need
+    no key. The table of texts and sequences is broadcast if it measures at most
+    ``broadcast_bytes``; beyond that both sides are shuffled, with the same result.
     """
-    # An estimate is enough to tell categories from free text; it only decides which way to go.
-    distinct = df.agg(*[F.approx_count_distinct(column(n)) for n in names]).first()
-    by_row: dict[str, str] = {}
-    for (name, out), estimate in zip(names.items(), distinct):
-        texts = None if estimate > CATEGORY_ROWS else _category_texts(df, name)
-        if texts is None:
-            by_row[name] = out
-            continue
-        encoded = texts_to_sequences(texts.select("text", F.col("text").alias("words")), "text", {"words": out}, vocabulary)
-        encoded = encoded.withColumnRenamed("text", "__text")
-        df = df.join(F.broadcast(encoded), column(name) == F.col("__text"), "left").drop("__text")
-        df = df.withColumn(out, F.coalesce(column(out), F.array().cast("array<int>")))
-    if by_row:
-        encoded = texts_to_sequences(df, key, by_row, vocabulary).withColumnRenamed(key, "__key")
-        df = df.join(encoded, column(key) == F.col("__key"), "left").drop("__key")
+    texts = stage(value_counts(df, list(names)).select("value").distinct(), "texts")
+    encoded = stage(texts_to_sequences(texts, "value", {"value": "__ids"}, vocabulary), "sequences")
+    size = encoded.agg(F.sum(F.octet_length("value") + 4 * F.size("__ids") + 64)).first()[0] or 0
+    for i, (name, out) in enumerate(names.items()):
+        own = encoded.select(F.col("value").alias(f"__text_{i}"), F.col("__ids").alias(f"__ids_{i}"))
+        own = F.broadcast(own) if size <= broadcast_bytes else own.hint("merge")
+        df = df.join(own, column(name).cast("string") == F.col(f"__text_{i}"), "left")
+        df = df.withColumn(out, F.coalesce(f"__ids_{i}", F.array().cast("array<int>"))).drop(f"__text_{i}", f"__ids_{i}")
     return df

@@ -17,8 +17,9 @@ from blotter.functions.names import column, index_name
 from blotter.operators.filters import drop_null_keys
 from blotter.operators.indexing import FrequencyIndexer, FrequencyIndexModel, decode
 from blotter.operators.scaling import PopulationScaler
-from blotter.operators.scores import accuracy, confusion_matrix, prediction_counts, roc_area, roc_points
-from blotter.operators.splits import with_split
+from blotter.operators.charts import confusion_heatmap, roc_chart
+from blotter.operators.scores import accuracy, area, confusion_matrix, curve, prediction_counts, ranked_scores
+from blotter.operators.splits import key_bucket, with_split
 from blotter.plans.tasks import Task
 from blotter.schema import KEY
 from blotter.staging import stage
@@ -52,25 +53,34 @@ class Forest:
 class Settings:
     """How to train.
 
-    ``fit_on`` says whether indexes, scaler and components see the training rows only or
-    ``"all"`` rows. ``exclude`` leaves features out, for inputs that give the answer away.
-    ``numeric`` takes columns as the numbers they are, not by frequency rank. ``rescale``
-    scales the features once more by the training rows, which trees do not need.
+    ``fit_on`` says whether the frequency indexes see ``"all"`` rows or the training rows only.
+    They read no label, so all rows is the default: most values of a column such as Date stand
+    in one row, and under an index of the training rows nearly every test row would have the
+    one number of unseen values, outside the range that the trees know. Scaler, components and
+    trees see the training rows only. ``labelled_rows`` bounds how many of those the trees are
+    fitted on (about; the key's hash chooses), by default all. ``exclude`` leaves features out,
+    for inputs that give the answer away. ``numeric`` takes columns as the numbers they are, not
+    by frequency rank; a value that is no number, or missing, counts as the mean of the training
+    rows. ``rescale`` scales the features once more by the training rows, which trees do not need.
     """
 
     key: str = KEY
-    fit_on: str = "train"
+    fit_on: str = "all"
     test_percent: int = 25
     seed: int = 42
     exclude: tuple[str, ...] = ()
     numeric: tuple[str, ...] = ()
     rescale: bool = False
+    labelled_rows: int | None = None
     forest: Forest = field(default_factory=Forest)
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """A trained task: ``predictions`` has the test rows with label, prediction and their values."""
+    """A trained task: ``predictions``, staged, has the test rows with label, prediction and their values.
+
+    ``positive`` is the class that ``score`` speaks of, for two classes the rarer one.
+    """
 
     task: Task
     labels: list[str]
@@ -78,21 +88,35 @@ class Outcome:
     indexer: FrequencyIndexModel
     forest: RandomForestClassificationModel
     predictions: DataFrame
+    positive: str | None = None
 
     def counts(self) -> DataFrame:
-        return prediction_counts(self.predictions)
+        return prediction_counts(self.predictions, "actual", "predicted")
 
     def accuracy(self) -> DataFrame:
         return accuracy(self.counts())
 
     def confusion(self) -> DataFrame:
-        return confusion_matrix(self.counts(), [float(i) for i in range(len(self.labels))])
+        return confusion_matrix(self.counts(), self.labels)
+
+    def ranked(self) -> DataFrame:
+        """The test rows counted by score, for curve and area."""
+        return ranked_scores(self.predictions, "actual", "score", self.positive)
 
     def roc_points(self) -> DataFrame:
-        return roc_points(self.predictions, "label", "score")
+        return curve(self.ranked())
 
     def roc_area(self) -> DataFrame:
-        return roc_area(self.predictions, "label", "score")
+        return area(self.ranked())
+
+    def charts(self) -> dict[str, DataFrame]:
+        """The tables behind the heat map of the confusion and, for two classes, the ROC chart."""
+        found = {"confusion_chart": confusion_heatmap(self.confusion(), {v: v for v in self.labels})}
+        if self.positive is not None:
+            ranked = self.ranked()
+            auc = area(ranked).first()["auc"]
+            found["roc_chart"] = roc_chart(curve(ranked), float("nan") if auc is None else auc)
+        return found
 
 
 def with_hour(df: DataFrame) -> DataFrame:
@@ -120,8 +144,12 @@ def index_task(df: DataFrame, task: Task, settings: Settings) -> tuple[DataFrame
         indexer = FrequencyIndexer(indexed, handleInvalid="keep").fit(flagged.filter(~F.col("is_test")))
     else:
         indexer = FrequencyIndexer(indexed).fit(flagged)
+    means = {}
+    if settings.numeric:
+        found = flagged.filter(~F.col("is_test")).agg(*[F.avg(column(f).try_cast("double")) for f in settings.numeric]).first()
+        means = {f: m if m is not None else 0.0 for f, m in zip(settings.numeric, found)}
     numbers = [
-        column(f).cast("double").alias(index_name(f)) if f in settings.numeric else F.col(index_name(f))
+        F.coalesce(column(f).try_cast("double"), F.lit(means[f])).alias(index_name(f)) if f in means else F.col(index_name(f))
         for f in features
     ]
     ready = indexer.transform(flagged).select(
@@ -145,8 +173,7 @@ def train_outcome(df: DataFrame, task: Task, settings: Settings = Settings()) ->
     if task.components:
         steps.append(PCA(k=task.components, inputCol=vector, outputCol="pcaFeatures"))
         vector = "pcaFeatures"
-    fit_rows = ready.filter(in_training) if settings.fit_on == "train" else ready
-    prepared = Pipeline(stages=steps).fit(fit_rows)
+    prepared = Pipeline(stages=steps).fit(ready.filter(in_training))
     explained = (
         [float(v) for v in prepared.stages[-1].explainedVariance.toArray()] if task.components else []
     )
@@ -157,7 +184,11 @@ def train_outcome(df: DataFrame, task: Task, settings: Settings = Settings()) ->
         vector = "rescaled_features"
 
     # The forest reads its rows several times before it keeps a compact copy of its own.
-    training = featured.filter(in_training).select("label", vector).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted_on = featured.filter(in_training)
+    if settings.labelled_rows is not None:
+        share = int(min(1.0, settings.labelled_rows / max(1, ready.filter(in_training).count())) * 1_000_000)
+        fitted_on = fitted_on.filter(key_bucket([settings.key], settings.seed, 1_000_000, "fit") < share)
+    training = fitted_on.select("label", vector).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forest = settings.forest.estimator("label", vector).fit(training)
     finally:
@@ -166,6 +197,9 @@ def train_outcome(df: DataFrame, task: Task, settings: Settings = Settings()) ->
         column(settings.key), "label", "prediction", "probability"
     )
     if task.binary:
-        scored = scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+        # The share of trees for the rarer class, which has the second label.
+        scored = scored.withColumn("score", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
     named = decode(decode(scored.drop("probability"), "label", labels, "actual"), "prediction", labels, "predicted")
-    return Outcome(task, labels, explained, indexer, forest, named)
+    # Accuracy, curves and charts read them again and again; the forest is applied once.
+    positive = labels[1] if task.binary and len(labels) > 1 else None
+    return Outcome(task, labels, explained, indexer, forest, stage(named, "predictions"), positive)

@@ -30,7 +30,9 @@ def project(
     """Every column that is left after the drops is a feature."""
     left = drop_columns(encoded, drops)
     features = [c for c in left.columns if c != key]
-    numbers = stage(cast_columns(left, casts), "projection")
+    # Whatever a file's types were, coordinates written as text included, features are numbers.
+    texts = [f.name for f in left.schema.fields if f.name in features and f.dataType.simpleString() == "string"]
+    numbers = stage(cast_columns(left, list(dict.fromkeys([*casts, *texts]))), "projection")
     scaled = standardize(assemble(numbers, features))
     components = fit_components(scaled, 2)
     points = vector_elements(components.transform(scaled), "pcaFeatures", ["pca1", "pca2"])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from blotter.operators.columns import drop_columns, to_canonical
 from blotter.operators.filters import drop_incomplete
 from blotter.operators.vocabulary import encode_columns, fit_vocabulary
-from blotter.schema import KEY, NULL_TOKENS, RAW_ONLY_FIELDS
+from blotter.schema import NULL_TOKENS, RAW_ONLY_FIELDS
 from blotter.sources.tables import write_table
 
 # Text columns that become word numbers, and what those are called.
@@ -19,10 +19,10 @@ def clean(raw: DataFrame, null_tokens: list[str] = NULL_TOKENS) -> DataFrame:
     return drop_incomplete(drop_columns(raw, RAW_ONLY_FIELDS), null_tokens)
 
 
-def encode(cleaned: DataFrame, key: str = KEY, names: dict[str, str] = ENCODED) -> DataFrame:
+def encode(cleaned: DataFrame, names: dict[str, str] = ENCODED) -> DataFrame:
     """The text columns replaced by word numbers from one shared vocabulary."""
     vocabulary = fit_vocabulary(cleaned, list(names))
-    return drop_columns(encode_columns(cleaned, key, names, vocabulary), list(names))
+    return drop_columns(encode_columns(cleaned, names, vocabulary), list(names))
 
 
 def write_canonical(cleaned: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blotter.functions.names import column
 from blotter.operators.filters import drop_null_keys
@@ -19,7 +20,7 @@ from blotter.operators.indexing import FrequencyIndexer
 from blotter.operators.ranking import mark_best
 from blotter.operators.scaling import assemble, standardize
 from blotter.operators.scores import prediction_counts, weighted_f1
-from blotter.operators.splits import train_test_split, with_folds
+from blotter.operators.splits import with_folds, with_split
 from blotter.plans.outcomes import label_attribute
 from blotter.plans.tasks import BEST_MARK, CV_DEPTHS, CV_LEAF_SIZES, SWEEP_GRID, TYPE_FEATURES
 from blotter.schema import KEY
@@ -43,30 +44,28 @@ def type_features(
     label: str = "Primary Type",
     key: str = KEY,
     exclude: tuple[str, ...] = (),
-    fit_rows: DataFrame | None = None,
+    split: tuple[int, int] | None = None,
+    fit_on: str = "all",
 ) -> DataFrame:
-    """Key, scaled feature vector and label index, over staged indexes.
+    """Key, scaled feature vector and label index, over staged indexes; with ``split`` also ``is_test``.
 
-    Rows without a label are left out. Index and scaler are fitted on ``fit_rows``, by default
-    on all rows; values that only other rows have then share one index after the known ones.
+    Rows without a label are left out. ``split`` is the share of test rows in percent and a seed;
+    the scaler is then fitted on the training rows, and with ``fit_on="train"`` the indexes too,
+    under which all values that only test rows have share one number after the known ones.
     """
-    df = drop_null_keys(df, [label])
     used = [f for f in features if f not in exclude]
     inputs, outputs = [*used, label], [*[f"{f}_index" for f in used], LABEL]
-    fit_rows = None if fit_rows is None else drop_null_keys(fit_rows, [label])
-    seen = df if fit_rows is None else fit_rows
-    indexer = FrequencyIndexer(inputs, outputs, "error" if fit_rows is None else "keep").fit(
-        seen.select(*[column(c) for c in inputs])
-    )
-    wanted = [column(c) for c in dict.fromkeys([key, *inputs])]
-    indexed = stage(indexer.transform(df.select(*wanted)), "type-index")
+    df = drop_null_keys(df.select(*[column(c) for c in dict.fromkeys([key, *inputs])]), [label])
+    carried = [key]
+    if split is not None:
+        df, carried = with_split(df, [key], *split), [key, "is_test"]
+    in_training = ~F.col("is_test") if split is not None else F.lit(True)
+    seen, invalid = (df.filter(in_training), "keep") if split is not None and fit_on == "train" else (df, "error")
+    indexer = FrequencyIndexer(inputs, outputs, invalid).fit(seen)
+    indexed = stage(indexer.transform(df).select(*[column(c) for c in [*carried, *outputs]]), "type-index")
     assembled = assemble(indexed, outputs[:-1])
-    if fit_rows is None:
-        fitted_on = assembled
-    else:
-        fitted_on = assemble(indexer.transform(fit_rows.select(*wanted)), outputs[:-1])
-    scaled = standardize(assembled, "features", FEATURES, fitted_on)
-    ready = scaled.select(column(key), FEATURES, LABEL)
+    scaled = standardize(assembled, "features", FEATURES, assembled.filter(in_training))
+    ready = scaled.select(*[column(c) for c in carried], FEATURES, LABEL)
     return ready.withMetadata(LABEL, label_attribute(indexer.labels(label)))
 
 
@@ -138,16 +137,21 @@ def tune_type(
     key: str = KEY,
     test_percent: int = 20,
     seed: int = 1234,
-    fit_on: str = "train",
+    fit_on: str = "all",
     **options,
 ) -> Tuned:
     """The whole job: features, split, cross-validation on the training rows, F1 on the test rows."""
-    fit_rows = train_test_split(df, [key], test_percent, seed)[0] if fit_on == "train" else None
-    ready = type_features(df, key=key, fit_rows=fit_rows)
-    train, test = train_test_split(ready, [key], test_percent, seed)
+    ready = type_features(df, key=key, split=(test_percent, seed), fit_on=fit_on)
+    train, test = ready.filter(~F.col("is_test")).drop("is_test"), ready.filter("is_test").drop("is_test")
     return cross_validate(train, key, seed=seed, test=test, **options)
 
 
+def sweep_type(df: DataFrame, key: str = KEY, test_percent: int = 20, seed: int = 1234, **options) -> Tuned:
+    """The sweep as a whole job: features, split, F1 of every point of the grid."""
+    ready = type_features(df, key=key, split=(test_percent, seed))
+    return sweep(ready.filter(~F.col("is_test")), ready.filter("is_test"), **options)
+
+
 def sweep(
     train: DataFrame,
     test: DataFrame,

@@ -40,7 +40,7 @@ select event_id as "ID",
        case when value > 70 then 'TRUE' else 'FALSE' end as "Arrest",
        case when cast(k as integer) < 20 then 'TRUE' else 'FALSE' end as "Domestic",
        cast(user_id % 25 as varchar) as "District",
-       cast(user_id % 50 as varchar) as "Ward",
+       cast(hour(ts) * 2 + user_id % 2 as varchar) as "Ward",
        cast(user_id % 77 as varchar) as "Community Area",
        lpad(cast(cast(k as integer) % 26 as varchar), 2, '0') || 'A' as "FBI Code",
        cast(year(ts) as varchar) as "Year",
@@ -74,7 +74,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         flag(F.col("value") > 70).alias("Arrest"),
         flag(code < 20).alias("Domestic"),
         (user % 25).cast("string").alias("District"),
-        (user % 50).cast("string").alias("Ward"),
+        (F.hour("ts") * 2 + user % 2).cast("string").alias("Ward"),
         (user % 77).cast("string").alias("Community Area"),
         F.concat(padded(code % 26, 2), F.lit("A")).alias("FBI Code"),
         F.year("ts").cast("string").alias("Year"),
@@ -120,7 +120,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A rule "filled if the price is above a cut" judged per fold: hits per (cut, fold).
 CUTS = [100000, 200000, 300000, 400000]
-FOLD_SQL = "cast(cast('0x' || substr(md5('42:' || o_orderkey), 1, 8) as bigint) % 5 as integer)"
+FOLD_SQL = "cast(cast('0x' || substr(md5('fold:42:' || o_orderkey), 1, 8) as bigint) % 5 as integer)"
 FOLD_METRICS_SQL = " union all ".join(
     f"select {i} as seq, cast({cut} as double) as cut, fold, "
     f"avg(cast((o_totalprice > {cut}) = (o_orderstatus = 'F') as double)) as metric "
@@ -169,7 +169,7 @@ def ranks_sql(source: str, name: str) -> str:
     )
 
 
-def bucket_sql(key: str, seed: int, buckets: int) -> str:
+def bucket_sql(key: str, seed: int | str, buckets: int) -> str:
     return f"cast('0x' || substr(md5('{seed}:' || {key}), 1, 8) as bigint) % {buckets}"
 
 

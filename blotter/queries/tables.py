@@ -227,6 +227,44 @@ def p7_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return added.select("o_orderkey", "Month")
 
 
+# DuckDB's names of the types in these tables, as Spark calls them.
+TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT[]": "array<float>"}
+
+
+@query(
+    "p8_schema",
+    " union all ".join(
+        f"""select '{t}' as "table", cast(row_number() over () - 1 as integer) as position, column_name as name, """
+        + "case column_type "
+        + " ".join(f"when '{k}' then '{v}'" for k, v in TYPE_NAMES.items())
+        + f" end as type from (describe select * from {t})"
+        for t in ("customer", "documents", "embeddings")
+    ),
+)
+def p8_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and types of the columns of some tables."""
+    listed = [
+        columns.schema_rows(table(spark, sf_dir, t)).select(F.lit(t).alias("table"), "position", "name", "type")
+        for t in ("customer", "documents", "embeddings")
+    ]
+    return listed[0].unionByName(listed[1]).unionByName(listed[2])
+
+
+@query(
+    "p4_text_flags",
+    """select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 1.0 when l_returnflag = 'A' then 0.0 end::double as flag,
+              cast(l_quantity as double) as quantity
+       from lineitem""",
+)
+def p4_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRUE and FALSE as text, and numbers as text, made numeric."""
+    flag = F.when(F.col("l_returnflag") == "R", "TRUE").when(F.col("l_returnflag") == "A", "FALSE")
+    written = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", flag.alias("flag"), F.col("l_quantity").cast("string").alias("quantity")
+    )
+    return columns.cast_columns(written, ["flag", "quantity"])
+
+
 @query("p8_peek", "select * from orders order by o_totalprice, o_orderkey limit 5")
 def p8_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.peek(table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], 5)

@@ -10,7 +10,7 @@ from blotter.operators.counts import group_sizes
 from blotter.operators.vocabulary import encode_columns, fit_vocabulary, texts_to_sequences
 from blotter.plans.tables import encode
 from blotter.queries.bindings import INCIDENTS_SQL, incidents, orders, tokens_sql
-from blotter.queries.registry import query, table
+from blotter.queries.registry import SQL, query, table
 
 
 @query(
@@ -114,13 +114,19 @@ def _sequences_sql(key: str, text: str, relation: str) -> str:
         from documents d left join a on a.doc_id = d.doc_id left join b on b.doc_id = d.doc_id""",
 )
 def x11_texts_to_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
-
     docs = table(spark, sf_dir, "documents")
-    vocabulary = fit_vocabulary(docs, ["text", "source"])
     # Words met only once or twice are outside the vocabulary here, so they are left out.
-    common = replace(vocabulary, words=vocabulary.words.filter(F.col("n") >= 3))
-    found = texts_to_sequences(docs, "doc_id", {"text": "text_seq", "source": "source_seq"}, common)
+    vocabulary = fit_vocabulary(docs, ["text", "source"], min_count=3)
+    found = texts_to_sequences(docs, "doc_id", {"text": "text_seq", "source": "source_seq"}, vocabulary)
+    return found.select("doc_id", *[F.concat_ws(" ", c).alias(c) for c in ["text_seq", "source_seq"]])
+
+
+@query("x11_texts_to_sequences_tail", SQL["x11_texts_to_sequences"])
+def x11_texts_to_sequences_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a hundred words broadcast; the others are looked up by shuffle."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = fit_vocabulary(docs, ["text", "source"], min_count=3, head_entries=100)
+    found = texts_to_sequences(docs, "doc_id", {"text": "text_seq", "source": "source_seq"}, vocabulary)
     return found.select("doc_id", *[F.concat_ws(" ", c).alias(c) for c in ["text_seq", "source_seq"]])
 
 
@@ -135,12 +141,40 @@ def x11_texts_to_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x11_encode_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type")
     vocabulary = fit_vocabulary(parts, ["p_name", "p_type"])
-    encoded = encode_columns(parts, "p_partkey", {"p_name": "name_seq", "p_type": "type_seq"}, vocabulary)
+    encoded = encode_columns(parts, {"p_name": "name_seq", "p_type": "type_seq"}, vocabulary)
     return encoded.select(
         "p_partkey", "p_brand", *[F.concat_ws(" ", c).alias(c) for c in ["name_seq", "type_seq"]]
     )
 
 
+# Part types under a key that repeats and is partly missing, some without a type.
+LOOSE_SQL = """select case when p_partkey % 3 <> 0 then p_size end as k, p_partkey,
+                      case when p_partkey % 5 <> 0 then p_type end as p_type from part"""
+LOOSE_ENCODED_SQL = f"""
+    with l as ({LOOSE_SQL}), v as ({_vocabulary_sql([('p_type', 'l')])}), a as ({_sequences_sql('p_partkey', 'p_type', 'l')})
+    select l.k, l.p_partkey, coalesce(a.seq, '') as type_seq from l left join a using (p_partkey)"""
+
+
+def _loose_encoded(spark: SparkSession, sf_dir: str, **limit: int) -> DataFrame:
+    loose = table(spark, sf_dir, "part").select(
+        F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("k"),
+        "p_partkey",
+        F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")).alias("p_type"),
+    )
+    encoded = encode_columns(loose, {"p_type": "type_seq"}, fit_vocabulary(loose, ["p_type"]), **limit)
+    return encoded.select("k", "p_partkey", F.concat_ws(" ", "type_seq").alias("type_seq"))
+
+
+@query("x11_encode_loose_keys", LOOSE_ENCODED_SQL)
+def x11_encode_loose_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loose_encoded(spark, sf_dir)
+
+
+@query("x11_encode_without_broadcast", LOOSE_ENCODED_SQL)
+def x11_encode_without_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loose_encoded(spark, sf_dir, broadcast_bytes=0)
+
+
 @query(
     "encode_incidents",
     f"""with i as ({INCIDENTS_SQL}),

@@ -25,13 +25,15 @@ def read_incidents(
 ) -> DataFrame:
     """Incident records under an explicit schema; nothing is inferred, so no pass over the data.
 
-    ``source`` is ``csv`` or ``parquet``, by default told by the file name. Empty fields and
+    ``source`` is ``csv`` or ``parquet``, by default told by the names of the files found there.
+    Parquet has types of its own, as ``clean --parquet`` writes them. In CSV, empty fields and
     numbers that cannot be read are null. ``multiline`` is for CSV with line breaks inside
     values; such files cannot be split between tasks.
     """
     if source is None:
-        first = path if isinstance(path, str) else path[0]
-        source = "parquet" if first.rstrip("/").endswith(".parquet") else "csv"
+        # A listing only; partition folders such as Year=2020 are files' parents here, not columns.
+        found = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
+        source = "parquet" if any(f.endswith(".parquet") for f in found) else "csv"
     if source == "parquet":
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
     return spark.read.options(**_CSV, multiLine=multiline, enforceSchema="true").csv(path, schema=schema)

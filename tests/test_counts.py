@@ -40,9 +40,10 @@ def test_weighted_counts_equal_plain_counts(pairs):
     assert rows(counts.crosstab(counted, "year", "type", weight="n")) == rows(counts.crosstab(pairs, "year", "type"))
 
 
-def test_too_many_categories(spark):
-    with pytest.raises(ValueError):
-        counts.category_values(spark.range(20), "id", limit=10)
+def test_any_number_of_categories(spark):
+    many = spark.range(1200).selectExpr("id", "2020 as year", "concat('c', id) as type")
+    assert len(counts.category_values(many, "type")) == 1200
+    assert len(counts.crosstab(many, "year", "type").columns) == 1201
 
 
 def test_outcomes(spark):
@@ -99,7 +100,7 @@ def test_reports(spark, incident_csv, tmp_path):
     yearly = {r["Year"]: r for r in reports["type_trends"].collect()}
     assert yearly[2019]["THEFT"] == 1 and yearly[2019]["ROBBERY"] is None
     assert rows(reports["arrests_by_location"]) == [
-        ("APARTMENT", 0, 1), ("PARKING LOT/GARAGE(NON.RESID.)", 1, 0), ("STREET", 1, 1),
+        ("APARTMENT", 0, 1), ("STREET", 1, 1),
     ]
     assert len(rows(reports["largest_outcome_groups"])) == 5
     months = {r.x: r.label for r in reports["types_by_month_chart"].collect()}

@@ -31,7 +31,8 @@ def expected_ranks(values):
 def sizes(request, monkeypatch):
     """All lookups by broadcast, and most of them by shuffle."""
     if request.param == "tail":
-        monkeypatch.setattr(indexing, "HEAD_SIZES", (3,))
+        monkeypatch.setattr(indexing, "HEAD_ENTRIES", 3)
+        monkeypatch.setattr(vocabulary.fit_vocabulary, "__defaults__", (1, 3))
     return request.param
 
 
@@ -62,19 +63,28 @@ def test_frequency_index(spark, sizes):
     assert len(found) == 4000 and all(r.i_v == expected[r.v] for r in found)
 
 
-def test_hot_value_is_spread_over_the_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(indexing, "HEAD_SIZES", (3,))
-    df = skewed(spark)
-    model = FrequencyIndexer(["v"], ["i_v"]).fit(df)
-    joined, _ = indexing.join_ranks(df, "v", model.index_of("v"), model.sizes["v"], "t", ["key", "v"])
-    # The join's only key must be one that no value dominates.
+def test_only_narrow_triples_are_shuffled_for_rare_values(spark):
+    df = skewed(spark).withColumn("w", F.concat(F.lit("w"), F.col("key") % 900)).withColumn("wide", F.repeat(F.lit("x"), 100))
+    model = FrequencyIndexer(["v", "w"], ["i_v", "i_w"], head_entries=4).fit(df)
+    assert (model.sizes["v"].head, model.sizes["w"].head) == (2, 2)
+    found = model.transform(df)
+    for name in ("v", "w"):
+        ranks = expected_ranks([r[name] for r in df.select(name).collect()])
+        assert all(r[f"i_{name}"] == ranks[r[name]] for r in found.collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        plan = model.transform(df)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert re.search(r"hashpartitioning\(key_t#\d+, \d+\)", plan)
-    assert joined.groupBy("key_t").count().agg(F.max("count")).first()[0] < 20
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    # One exchange of triples and one of the index, then the triples and the open rows by row, however many columns.
+    assert len(keys) == 4 and sum("key" in k for k in keys) == 2 and sum("__row" in k for k in keys) == 2
+
+
+def test_one_budget_for_all_heads():
+    sizes = indexing.plan_heads({"a": 2, "b": 1000, "c": 10}, 100)
+    assert {n: s.head for n, s in sizes.items()} == {"a": 2, "c": 10, "b": 88}
+    assert sum(s.head for s in indexing.plan_heads({"a": 90, "b": 90}, 100).values()) == 100
 
 
 def test_unseen_values(spark, sizes):
@@ -97,8 +107,6 @@ def test_decoding(spark):
     assert model.labels("v") == ["b", "a"]
     back = decode(model.transform(df), "i", model.labels("v"), "w").collect()
     assert all(r.v == r.w for r in back)
-    with pytest.raises(ValueError):
-        model.labels("v", limit=1)
 
 
 def test_vocabulary_and_sequences(spark, sizes):
@@ -118,13 +126,16 @@ def test_vocabulary_and_sequences(spark, sizes):
     ]
 
 
-@pytest.mark.parametrize("limit", [100_000, 1])
-def test_encode_columns_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(vocabulary, "CATEGORY_ROWS", limit)
-    df = spark.createDataFrame([(1, "x y"), (2, "y"), (3, None), (4, "x y")], "key int, a string")
+@pytest.mark.parametrize("limit", [vocabulary.BROADCAST_BYTES, 0])
+def test_encode_columns_both_ways(spark, limit):
+    rows = [(1, "x y"), (1, "y"), (None, "y z"), (None, None), (4, "x y")]
+    df = spark.createDataFrame(rows, "key int, a string")
     fitted = vocabulary.fit_vocabulary(df, ["a"])
-    found = vocabulary.encode_columns(df, "key", {"a": "seq"}, fitted).orderBy("key").collect()
-    assert [(r.key, r.a, r.seq) for r in found] == [(1, "x y", [2, 1]), (2, "y", [1]), (3, None, []), (4, "x y", [2, 1])]
+    found = vocabulary.encode_columns(df, {"a": "seq"}, fitted, broadcast_bytes=limit).collect()
+    ids = {"y": 1, "x": 2, "z": 3}
+    assert sorted(map(repr, [(r.key, r.a, r.seq) for r in found])) == sorted(
+        repr((k, a, [ids[w] for w in (a or "").split()])) for k, a in rows
+    )
 
 
 def test_casting_keeps_order_and_other_columns(spark):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from blotter.functions import as_percentage, hour_of, index_name, month_label, month_of, occurred_at, tokenize, total
@@ -22,6 +23,17 @@ def test_hours_with_one_and_two_digits(spark):
     assert all(a == b for a, b in values(df, hour_of(F.col("text")), "hour"))
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Chicago"])
+def test_hours_do_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([("03/08/2020 2:30:00 AM",), ("11/01/2020 1:30:00 AM",), ("13/45/2020 1:30:00 AM",)], "text string")
+        assert [r.h for r in df.select(hour_of(F.col("text")).alias("h")).collect()] == [2, 1, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_occurred_at_has_no_zone(spark):
     df = spark.createDataFrame([("03/08/2020 2:30:00 AM",)], "text string")
     assert df.select(occurred_at(F.col("text")).alias("t")).schema["t"].dataType.typeName() == "timestamp_ntz"

@@ -14,6 +14,11 @@ def test_clean_encode_project(spark, incident_csv, tmp_path, capsys):
     assert read_table(spark, str(tmp_path / "clean")).count() == 4
     main(["clean", incident_csv, str(tmp_path / "typed"), "--parquet"])
     assert dict(spark.read.parquet(str(tmp_path / "typed")).dtypes)["Arrest"] == "boolean"
+    main(["report", str(tmp_path / "typed"), str(tmp_path / "report")])
+    main(["report", str(tmp_path / "clean"), str(tmp_path / "same")])
+    for name in ("named_types_by_year", "types_by_month"):
+        typed, text = (read_table(spark, str(tmp_path / d / name)).collect() for d in ("report", "same"))
+        assert typed == text and len(typed) > 1
     main(["encode", incident_csv, str(tmp_path / "encoded")])
     encoded = read_table(spark, str(tmp_path / "encoded"), infer=False)
     assert encoded.filter("ID = 1").first()["Loc_Descr_Int"] == "[1]"

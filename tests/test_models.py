@@ -53,6 +53,13 @@ def test_roc_of_one_class_has_no_rate(spark):
     assert {p.fpr for p in points} == {None} and {p.tpr for p in points} == {0.0, 0.5, 1.0}
 
 
+def test_roc_of_one_class_among_three(spark):
+    rows = [(0, 0.9), (1, 0.8), (2, 0.7), (1, 0.2), (0, 0.1), (None, 0.5)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert scores.roc_area(df, positive=1).first()["auc"] == pytest.approx(brute_auc([(y == 1, s) for y, s in rows if y is not None]))
+    assert all(0 <= p.fpr <= 1 and 0 <= p.tpr <= 1 for p in scores.roc_points(df, positive=1).collect())
+
+
 def test_metrics_of_given_predictions(spark):
     data = [(0.0, 0.0)] * 5 + [(0.0, 1.0)] * 2 + [(1.0, 1.0)] * 2 + [(2.0, 0.0)]
     counts = scores.prediction_counts(spark.createDataFrame(data, "label double, prediction double"))
@@ -61,9 +68,9 @@ def test_metrics_of_given_predictions(spark):
     assert scores.weighted_f1(counts).first()[0] == pytest.approx(f1)
     matrix = [tuple(r) for r in scores.confusion_matrix(counts, [0.0, 1.0, 2.0]).collect()]
     assert matrix == [(0.0, 5, 2, 0), (1.0, 0, 2, 0), (2.0, 1, 0, 0)]
-    heat = charts.confusion_heatmap(scores.confusion_matrix(counts, [0.0, 1.0]), {0.0: "No", 1.0: "Yes"})
-    assert heat.columns == ["true_label", "Predicted No", "Predicted Yes"]
-    assert [tuple(r) for r in heat.collect()] == [("No", 5, 2), ("Yes", 0, 2)]
+    heat = charts.confusion_heatmap(scores.confusion_matrix(counts, [0.0, 1.0]), {0.0: "No", 1.0: "Yes", 2.0: "Both"})
+    assert heat.columns == ["true_label", "Predicted No", "Predicted Yes", "Predicted Both"]
+    assert [tuple(r) for r in heat.collect()] == [("No", 5, 2, 0), ("Yes", 0, 2, 0), ("Both", 1, 0, 0)]
 
 
 def test_f1_equals_the_evaluator(spark):
@@ -104,9 +111,29 @@ def separable(spark):
     )
 
 
+def test_near_unique_features_do_not_spoil_test_rows(spark):
+    i = F.col("id")
+    df = spark.range(1500).select(
+        i.alias("ID"), F.concat(F.lit("d"), i).alias("Date"), (F.hash(i) % 4).cast("string").alias("Ward"),
+        F.when((F.hash(i) % 4).isin(0, 1), "TRUE").otherwise("FALSE").alias("Flag"),
+    )
+    task = Task("flag", "Flag", ["Date", "Ward"], None, binary=True)
+    outcome = train_outcome(df, task, Settings(forest=Forest(trees=10, depth=6)))
+    assert outcome.accuracy().first()[0] > 0.95
+    assert set(outcome.charts()) == {"confusion_chart", "roc_chart"}
+
+
+def test_missing_and_malformed_numbers_count_as_the_mean(spark):
+    rows = [(i, None if i % 9 == 0 else "?" if i % 9 == 1 else str(i % 5), "TRUE" if i % 5 > 2 else "FALSE") for i in range(400)]
+    df = spark.createDataFrame(rows, "ID long, Latitude string, Flag string")
+    settings = Settings(forest=Forest(trees=5, depth=4), numeric=("Latitude",), labelled_rows=200)
+    outcome = train_outcome(df, Task("flag", "Flag", ["Latitude"], None, binary=True), settings)
+    assert outcome.predictions.count() == train_test_split(df, ["ID"], 25)[1].count()
+
+
 @pytest.mark.parametrize(
     "components,options",
-    [(None, {}), (3, {"rescale": True, "fit_on": "all"}), (None, {"numeric": ("Latitude",), "exclude": ("Noise",)})],
+    [(None, {}), (3, {"rescale": True, "fit_on": "train"}), (None, {"numeric": ("Latitude",), "exclude": ("Noise",)})],
 )
 def test_forest_beats_the_majority(separable, components, options):
     task = Task("flag", "Flag", ["Colour", "Noise", "Latitude"], components, binary=True)
