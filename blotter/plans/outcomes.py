@@ -140,10 +140,9 @@ def index_task(df: DataFrame, task: Task, settings: Settings) -> tuple[DataFrame
     keep = [column(c) for c in dict.fromkeys([settings.key, *features, task.label])]
     labelled = drop_null_keys(df.select(*keep), [task.label])
     flagged = with_split(labelled, [settings.key], settings.test_percent, settings.seed)
-    if settings.fit_on == "train":
-        indexer = FrequencyIndexer(indexed, handleInvalid="keep").fit(flagged.filter(~F.col("is_test")))
-    else:
-        indexer = FrequencyIndexer(indexed).fit(flagged)
+    # A missing value, and with ``fit_on="train"`` one that only test rows have, gets the number after the last.
+    seen = flagged.filter(~F.col("is_test")) if settings.fit_on == "train" else flagged
+    indexer = FrequencyIndexer(indexed, handleInvalid="keep").fit(seen)
     means = {}
     if settings.numeric:
         found = flagged.filter(~F.col("is_test")).agg(*[F.avg(column(f).try_cast("double")) for f in settings.numeric]).first()

@@ -51,7 +51,8 @@ def type_features(
 
     Rows without a label are left out. ``split`` is the share of test rows in percent and a seed;
     the scaler is then fitted on the training rows, and with ``fit_on="train"`` the indexes too,
-    under which all values that only test rows have share one number after the known ones.
+    under which all values that only test rows have share one number after the known ones, as
+    missing values do.
     """
     used = [f for f in features if f not in exclude]
     inputs, outputs = [*used, label], [*[f"{f}_index" for f in used], LABEL]
@@ -60,8 +61,8 @@ def type_features(
     if split is not None:
         df, carried = with_split(df, [key], *split), [key, "is_test"]
     in_training = ~F.col("is_test") if split is not None else F.lit(True)
-    seen, invalid = (df.filter(in_training), "keep") if split is not None and fit_on == "train" else (df, "error")
-    indexer = FrequencyIndexer(inputs, outputs, invalid).fit(seen)
+    seen = df.filter(in_training) if split is not None and fit_on == "train" else df
+    indexer = FrequencyIndexer(inputs, outputs, "keep").fit(seen)
     indexed = stage(indexer.transform(df).select(*[column(c) for c in [*carried, *outputs]]), "type-index")
     assembled = assemble(indexed, outputs[:-1])
     scaled = standardize(assembled, "features", FEATURES, assembled.filter(in_training))

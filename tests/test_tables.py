@@ -119,7 +119,7 @@ def test_encode(spark, incident_csv):
     rows = {r["ID"]: r for r in encoded.collect()}
     assert sorted(rows) == [1, 2, 3, 4]
     # street and theft occur twice, then the others by alphabet.
-    order = ["street", "theft", "apartment", "assault", "battery", "hallway", "porch", "residence"]
+    order = ["street", "theft", "apartment", "assault", "battery", "fence", "garden", "shed"]
     ids = {w: i for i, w in enumerate(order, start=1)}
-    assert rows[3]["Loc_Descr_Int"] == [ids["residence"], ids["porch"], ids["hallway"]]
+    assert rows[3]["Loc_Descr_Int"] == [ids["garden"], ids["shed"], ids["fence"]]
     assert rows[1]["Loc_Descr_Int"] == [1] and rows[1]["Prim_Type_Int"] == [2]
