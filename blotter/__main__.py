@@ -13,6 +13,7 @@ from blotter.plans.tasks import TASKS
 from blotter.schema import KEY
 from blotter.session import get_session
 from blotter.sources import export_batches, read_incidents, read_table, write_results, write_table
+from blotter.staging import release
 
 
 def _incidents(spark, args):
@@ -35,7 +36,7 @@ def encode(spark, args) -> None:
 
 def batches(spark, args) -> None:
     """Cut a table into files of a fixed number of rows."""
-    export_batches(spark, args.input, args.output, [args.key], args.size, args.index)
+    export_batches(spark, args.input, args.output, [args.key], args.size, args.index, args.flat)
 
 
 def report(spark, args) -> None:
@@ -97,6 +98,7 @@ def parser() -> argparse.ArgumentParser:
         if job is batches:
             one.add_argument("--size", type=int, default=30_000)
             one.add_argument("--index", action="store_true")
+            one.add_argument("--flat", action="store_true", help="files Batch_<n>.csv instead of folders")
         if job is outcome:
             one.add_argument("--task", choices=sorted(TASKS), required=True)
             one.add_argument("--trees", type=int, default=100)
@@ -111,7 +113,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    JOBS[args.job](get_session(f"blotter-{args.job}", args.master), args)
+    spark = get_session(f"blotter-{args.job}", args.master)
+    try:
+        JOBS[args.job](spark, args)
+    finally:
+        release(spark)
 
 
 if __name__ == "__main__":

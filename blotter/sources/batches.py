@@ -31,9 +31,18 @@ def with_batches(
 
 
 def export_batches(
-    spark: SparkSession, src: str | DataFrame, dst: str, keys: list[str], size: int = 30_000, index: bool = False
+    spark: SparkSession,
+    src: str | DataFrame,
+    dst: str,
+    keys: list[str],
+    size: int = 30_000,
+    index: bool = False,
+    flat: bool = False,
 ) -> None:
-    """Cut a table into files ``Batch=1`` .. ``Batch=n`` below ``dst``, one CSV file with header each.
+    """Cut a table into folders ``Batch=1`` .. ``Batch=n`` below ``dst``, one CSV file with header in each.
+
+    Read back as a table, the folders' number is a column. With ``flat`` the files are named
+    ``Batch_1.csv`` .. ``Batch_n.csv`` instead and the folders go.
 
     A file is taken over as the text it is, ordered by number where its keys are numbers. With
     ``index`` the 0-based position of each row is written as first column.
@@ -48,7 +57,8 @@ def export_batches(
     if index:
         data = [F.col("__position").alias("index"), *data]
     (
-        batched.repartition("Batch")
+        # By range: rows stand in this order already, so most of them stay among their neighbours.
+        batched.repartitionByRange("Batch")
         .sortWithinPartitions("Batch", "__position")
         .select("Batch", *data)
         .write.option("header", "true")
@@ -57,3 +67,18 @@ def export_batches(
         .partitionBy("Batch")
         .csv(dst)
     )
+    if flat:
+        name_batch_files(spark, dst)
+
+
+def name_batch_files(spark: SparkSession, dst: str) -> None:
+    """``Batch=<n>/part-*`` becomes ``Batch_<n>.csv``: a rename for each batch, whose data stay where they are."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(dst)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in store.listStatus(root):
+        kind, _, number = folder.getPath().getName().partition("=")
+        if folder.isDirectory() and kind == "Batch":
+            parts = [f.getPath() for f in store.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            if len(parts) == 1 and store.rename(parts[0], jvm.org.apache.hadoop.fs.Path(root, f"Batch_{number}.csv")):
+                store.delete(folder.getPath(), True)

@@ -49,3 +49,10 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path).select(*[column(c) for c in df.columns])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what the application has staged; DataFrames that read it cannot be used any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -113,6 +113,12 @@ def test_batches_from_a_file(spark, incident_csv, tmp_path):
     assert [(r["index"], r["ID"]) for r in rows] == [("4", "5"), ("5", "6")]
 
 
+def test_batches_in_plain_files(spark, incident_csv, tmp_path):
+    export_batches(spark, incident_csv, str(tmp_path / "b"), ["ID"], 4, flat=True)
+    assert sorted(p.name for p in (tmp_path / "b").iterdir() if not p.name.startswith((".", "_"))) == ["Batch_1.csv", "Batch_2.csv"]
+    assert read_table(spark, str(tmp_path / "b")).count() == 6
+
+
 def test_encode(spark, incident_csv):
     encoded = encode(clean(read_incidents(spark, incident_csv)))
     assert "Primary Type" not in encoded.columns
