@@ -30,8 +30,10 @@ from blotter.staging import stage
 
 COORDINATES = 32
 SHINGLE_WORDS = 5
-LEAF = 64
+LEAF = 2048  # members of a node that one task compares, and
+LOAD = 1 << 22  # their shingles
 MAX_DEPTH = 6
+_OFTEN = 24
 _SALTS = 16
 
 _SKETCH = "id long, n_shingles long, sid binary, mins array<long>"
@@ -81,29 +83,41 @@ def sketches(docs: DataFrame, id_column: str, text_column: str, words: int) -> D
 
 
 def _linked(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
-    """Which pairs of sets have ``share[1] * intersection >= share[0] * union``."""
+    """Which pairs of sets have ``share[1] * intersection >= share[0] * union``.
+
+    Items of many sets are columns of a matrix whose product with itself counts them; the others
+    are counted by pairs.
+    """
+    n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    shared = counts > 1
-    column = np.cumsum(shared) - 1
-    mask = shared[inverse]
-    owner, place = owner[mask], column[inverse[mask]]
-    common = np.zeros((len(sets), len(sets)))
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    for low in range(0, int(shared.sum()), 16384):
-        a, b = np.searchsorted(place, [low, low + 16384])
-        grid = np.zeros((len(sets), min(16384, int(shared.sum()) - low)), dtype=np.float32)
-        grid[owner[a:b], place[a:b] - low] = 1
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(inverse, kind="stable")  # by item, and within it by set
+    owner = np.repeat(np.arange(n), sizes)[order]
+    begins = np.cumsum(counts) - counts
+    common = np.zeros(n * n)
+    for c in range(2, min(_OFTEN, n + 1)):
+        at = begins[counts == c]
+        left, right = np.triu_indices(c, 1)
+        for low in range(0, len(at), 1 + (1 << 20) // len(left)):
+            held = owner[at[low : low + 1 + (1 << 20) // len(left), None] + np.arange(c)]
+            common += np.bincount((held[:, left] * n + held[:, right]).ravel(), minlength=n * n)
+    common = common.reshape(n, n)
+    common += common.T
+    often = counts >= _OFTEN
+    column = (np.cumsum(often) - 1)[inverse[order]]
+    mask = often[inverse[order]]
+    owner, column = owner[mask], column[mask]
+    for low in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        grid = np.zeros((n, min(4096, int(often.sum()) - low)), dtype=np.float32)
+        grid[owner[a:b], column[a:b] - low] = 1
         common += grid @ grid.T
-    common = np.rint(common).astype(np.int64)
     return share[1] * common >= share[0] * (sizes[:, None] + sizes[None, :] - common)
 
 
 def _forest(linked: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
     """Spanning links of the classes, and the class (its least member) of each."""
-    label = [-1] * len(linked)
+    label = np.full(len(linked), -1)
     links = []
     for root in range(len(linked)):
         if label[root] >= 0:
@@ -111,12 +125,11 @@ def _forest(linked: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
         label[root], queue = root, [root]
         while queue:
             at = queue.pop()
-            for to in np.flatnonzero(linked[at]).tolist():
-                if label[to] < 0:
-                    label[to] = root
-                    links.append((at, to))
-                    queue.append(to)
-    return links, label
+            found = np.flatnonzero(linked[at] & (label < 0)).tolist()
+            label[found] = root
+            links += [(at, to) for to in found]
+            queue += found
+    return links, label.tolist()
 
 
 def _compare(batches: Iterator[pa.RecordBatch], words: int, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -159,16 +172,21 @@ def _compare(batches: Iterator[pa.RecordBatch], words: int, share: tuple[int, in
 
 
 def _branch(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each member of the nodes along two tokens that the node's path chooses."""
+    """Each member of the nodes (path, sid) along two tokens that the node's path chooses."""
     one = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(COORDINATES))
     two = F.pmod(one + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
     step = [F.xxhash64("path", c, F.element_at("mins", (c + 1).cast("int"))) for c in (one, two)]
-    return nodes.join(sets.select("sid", "mins"), "sid").select(F.explode(F.array(*step)).alias("path"), "sid")
+    return nodes.join(sets.select("sid", "mins", "n_shingles"), "sid").select(F.explode(F.array(*step)).alias("path"), "sid", "n_shingles")
+
+
+def _blocks_of(load: str):
+    """How many times a task's share the rows of a group are, as an aggregate."""
+    return F.ceil(F.greatest(F.count("*") / LEAF, F.sum(load) / LOAD)).cast("int")
 
 
 def _counted(members: DataFrame, label: str) -> DataFrame:
-    """Members of nodes of two and more, with the node's size."""
-    sizes = members.groupBy("path").agg(F.count("*").alias("n"), F.min("sid").alias("lead")).filter("n > 1")
+    """Members of nodes of two and more, with the node's size in blocks and first member."""
+    sizes = members.groupBy("path").agg(F.count("*").alias("n"), _blocks_of("n_shingles").alias("blocks"), F.min("sid").alias("lead")).filter("n > 1")
     return stage(members.join(sizes, "path"), label)
 
 
@@ -181,28 +199,28 @@ def _uniform(big: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def candidate_nodes(sets: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
-    """Small nodes as (grp, sid), each set of members once; large nodes as (path, sid)."""
+    """Small nodes as (grp, sid), each set of members once; large nodes as (path, sid, n_shingles)."""
     roots = [F.xxhash64(F.lit(t), F.lit(c), F.element_at("mins", c + 1)) for t in range(trees) for c in (2 * t, 2 * t + 1)]
-    members = sets.select(F.explode(F.array(*roots)).alias("path"), "sid")
+    members = sets.select(F.explode(F.array(*roots)).alias("path"), "sid", "n_shingles")
     small, large = [], []
     for depth in range(1, MAX_DEPTH + 1):
         counted = _counted(members, "nodes")
-        small.append(counted.filter(F.col("n") <= LEAF).select("path", "sid"))
-        big = counted.filter(F.col("n") > LEAF)
+        small.append(counted.filter("blocks = 1").select("path", "sid"))
+        big = counted.filter("blocks > 1")
         if big.isEmpty():
             break
         if depth == MAX_DEPTH:
-            large.append(big.select("path", "sid"))
+            large.append(big.select("path", "sid", "n_shingles"))
             break
         told = stage(_uniform(big, sets), "uniform")
-        large.append(big.join(told.filter("uniform"), "path", "left_semi").select("path", "sid"))
+        large.append(big.join(told.filter("uniform"), "path", "left_semi").select("path", "sid", "n_shingles"))
         members = _branch(big.join(told.filter("not uniform"), "path", "left_semi").select("path", "sid"), sets)
     leaves = small[0]
     for more in small[1:]:
         leaves = leaves.unionByName(more)
     alike = leaves.groupBy("path").agg(F.sort_array(F.collect_list("sid")).alias("sids")).select("sids").distinct()
     groups = alike.select(F.xxhash64("sids").alias("grp"), F.explode("sids").alias("sid"))
-    rest = sets.select(F.lit(0).cast("long").alias("path"), "sid").limit(0)
+    rest = sets.select(F.lit(0).cast("long").alias("path"), "sid", "n_shingles").limit(0)
     for more in large:
         rest = rest.unionByName(more)
     return groups, rest
@@ -226,15 +244,16 @@ class _Texts:
 
 
 def _blocks(rest: DataFrame, round_: int) -> DataFrame:
-    """Members of each node in random blocks of about ``LEAF``."""
-    sizes = rest.groupBy("path").agg(F.ceil(F.count("*") / LEAF).alias("blocks"))
-    block = F.pmod(F.xxhash64("sid", "path", F.lit(round_)), F.col("blocks"))
+    """Members of each node in random blocks of about half a task's share."""
+    sizes = rest.groupBy("path").agg(_blocks_of("n_shingles").alias("blocks"))
+    several = F.when(F.col("blocks") > 1, 2 * F.col("blocks")).otherwise(1)
+    block = F.pmod(F.xxhash64("sid", "path", F.lit(round_)), several)
     return rest.join(sizes, "path").select(F.col("path").alias("node"), block.alias("grp"), "sid")
 
 
 def _crossed(rest: DataFrame) -> DataFrame:
     """Every two blocks of a node together: the exact way for members that do not shrink."""
-    sizes = rest.groupBy("path").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
+    sizes = rest.groupBy("path").agg((3 * _blocks_of("n_shingles")).alias("blocks"))
     block = F.pmod(F.xxhash64("sid", "path"), F.col("blocks")).cast("int")
     other = rest.join(sizes, "path").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"))
@@ -254,7 +273,9 @@ def links(docs: DataFrame, id_column: str, text_column: str, sets: DataFrame, tr
         if left == count:
             break
         standing = compared.filter("stands").select(F.col("node").alias("path"), "sid").distinct()
-        spread = standing.join(rest.groupBy("path").agg((F.count("*") > LEAF).alias("open")).filter("open"), "path", "left_semi")
+        spread = rest.join(standing, ["path", "sid"], "left_semi").join(
+            rest.groupBy("path").agg(_blocks_of("n_shingles").alias("blocks")).filter("blocks > 1"), "path", "left_semi"
+        )
         rest, round_, before = stage(spread, "large"), round_ + 1, left
         left = rest.count()
         count = left if 2 * left > before else 0
@@ -298,12 +319,12 @@ def near_duplicates(
     spark = docs.sparkSession
     drawn = stage(sketches(docs, id_column, text_column, words), "sketches")
     sets = stage(
-        drawn.filter("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("mins").alias("mins")),
+        drawn.filter("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins")),
         "sets",
     )
     edges = links(docs, id_column, text_column, sets, trees, words, share)
     roots = components(stage(edges, "edges"))
-    classes = sets.select("sid", "low", "copies").join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left")
+    classes = sets.select("sid", "low").join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left")
     joined = classes.filter("root is not null")
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = joined.join(lowest, "root").select("sid", "component_id").unionByName(
