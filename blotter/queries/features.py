@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from blotter.operators import scaling, splits
 from blotter.operators.columns import vector_elements
+from blotter.operators.counts import correlations
 from blotter.operators.indexing import FrequencyIndexer, decode
 from blotter.plans.projection import project
 from blotter.plans.tables import clean, encode
@@ -145,6 +146,39 @@ def x6_pca_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_elements(reduced.select("vec_id", "label", "pcaFeatures"), "pcaFeatures", names).drop("pcaFeatures")
 
 
+def _all_components(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    df = table(spark, sf_dir, "lineitem").withColumn("row_id", F.expr(ROW_ID))
+    scaled = scaling.standardize(scaling.assemble(df, MEASURES)).select("row_id", "scaled_features")
+    names = [f"pca{i + 1}" for i in range(len(MEASURES))]
+    reduced = scaling.fit_components(scaled, len(names)).transform(scaled)
+    return vector_elements(reduced.select("row_id", "pcaFeatures"), "pcaFeatures", names), names
+
+
+@query(
+    "x6_all_components_keep_lengths",
+    "select row_id, round("
+    + " + ".join(f"z{i} * z{i}" for i in range(len(MEASURES)))
+    + f", 4) as squares from (select {ROW_ID} as row_id, "
+    + ", ".join(f"({c} - avg({c}) over ()) / stddev_samp({c}) over () as z{i}" for i, c in enumerate(MEASURES))
+    + " from lineitem)",
+)
+def x6_all_components_keep_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of n features only turn the rows: each keeps its sum of squares."""
+    points, names = _all_components(spark, sf_dir)
+    return points.select("row_id", F.round(sum(F.col(c) * F.col(c) for c in names), 4).alias("squares"))
+
+
+@query(
+    "x6_components_are_uncorrelated",
+    "select a, b, true as uncorrelated from (values "
+    + ", ".join(f"('pca{i}', 'pca{j}')" for i in range(1, len(MEASURES)) for j in range(i + 1, len(MEASURES) + 1))
+    + ") p(a, b), (select count(*) from lineitem)",
+)
+def x6_components_are_uncorrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, names = _all_components(spark, sf_dir)
+    return correlations(points, names).filter("a < b").select("a", "b", (F.abs("r") < 1e-6).alias("uncorrelated"))
+
+
 @query(
     "x7_pca_two",
     # Four digits: the two columns hardly correlate, so the eigenvalues are close and the computed

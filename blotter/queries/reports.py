@@ -252,9 +252,8 @@ ROC_SQL = f"""
     from p, a""",
 )
 def c8_roc_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = scored(spark, sf_dir)
-    area = scores.roc_area(given).first()["auc"]
-    chart = charts.roc_chart(scores.roc_points(given), area)
+    ranked = scores.ranked_scores(scored(spark, sf_dir))
+    chart = charts.roc_chart(scores.curve(ranked), scores.area(ranked).first()["auc"])
     return chart.select(*[F.round(c, 9).alias(c) for c in ["fpr", "tpr", "diagonal"]], "legend")
 
 
