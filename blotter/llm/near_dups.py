@@ -21,10 +21,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blotter.llm.tables import named, partitions
+from blotter.llm.tables import fresh_name, named, partitions
 from blotter.llm.tokens import SPACES, mixed, numbers, pieces, shingles
 from blotter.staging import stage
 
@@ -343,15 +343,17 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the document of the smallest id.
 
-    Of rows that repeat an id, the one whose text has the smallest hash stays; rows without an
-    id all stay unless a document with an id has the same set.
+    Of rows that repeat an id, the one whose text has the smallest hash stays. Rows without an
+    id cannot be told apart and all stay.
     """
-    from pyspark.sql import Window
-
     columns = docs.columns
-    kept = near_duplicates(docs, id_column, text_column, **settings).filter("kept").select(F.col(id_column).alias("__id")).distinct()
+    kept = near_duplicates(docs, id_column, text_column, **settings).filter("kept")
+    kept = kept.select(F.col(id_column).alias("__kept")).filter("__kept is not null").distinct()
     own = named(docs, id_column)
-    stay = docs.join(kept, own.cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    # Join and window need the same distribution, so texts are exchanged once.
+    stay = docs.join(kept, own == F.col("__kept"), "left_semi")
     order = Window.partitionBy(named(stay, id_column)).orderBy(F.xxhash64(named(stay, text_column)))
-    ranked = stay.withColumn("__rank", F.row_number().over(order))
-    return ranked.filter((F.col("__rank") == 1) | named(ranked, id_column).isNull()).select(*[named(ranked, c) for c in columns])
+    rank = fresh_name(docs, "__rank")
+    ranked = stay.withColumn(rank, F.row_number().over(order))
+    first = ranked.filter(F.col(rank) == 1).select(*[named(ranked, c) for c in columns])
+    return first.unionByName(docs.filter(own.isNull()))
