@@ -95,7 +95,7 @@ def e5_roc_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- outcome models ----------------------------------------------------------
 
 # The library's own forest, fitted on at most about so many of the training rows.
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 2_000
 SETTINGS = Settings(labelled_rows=LABELLED_ROWS)
 
 _trained: dict[tuple[str, str, str], Outcome] = {}
