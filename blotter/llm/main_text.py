@@ -55,6 +55,8 @@ def _marked(name: str, attributes: str, in_main: bool) -> bool:
     if _HIDDEN.search(attributes):
         return True
     words = {w for m in _MARKS.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+    if words & {"no", "has", "with", "without"}:  # such as "no-sidebar", of a page that has or lacks such parts
+        return False
     return bool(words & ASIDE_NAMES) or ("header" in words and not in_main)
 
 

@@ -15,6 +15,7 @@ TEXT = "One two & three four.\nFive six seven eight."
         (f"<main>{BODY}<div class='ad banner'>Buy <div>now</div> this</div><p>Nine.</p></main>", TEXT + "\nNine."),
         (f"<article>{BODY}<section class=comments><p>Reader says a lot of things here.</p></section></article>", TEXT),
         (f"<article><form>Name <input> <b>send</b></form>{BODY}<!-- <p>no</p> -->", TEXT),
+        (f"<div class='page no-sidebar'>{BODY}</div><div class='related-posts'><p>Other things to read.</p></div>", TEXT),
         ("", ""), ("<html></html>", ""), ("plain words only", "plain words only"), ("<p><b>a<p>b", "a\nb"), ("<article>x &lt;b&gt; &am", "x <b> &am"),
     ],
 )
