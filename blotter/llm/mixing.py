@@ -20,6 +20,7 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 1024
 _CHUNK = 1 << 14
+_STREAM_CHUNKS = 4096  # fixed, so that a stream does not depend on the session
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -70,7 +71,7 @@ def schedule(quotas: DataFrame, slots_log2: int) -> DataFrame:
 
 def _streams(rows: DataFrame) -> DataFrame:
     """Where each document's words begin in its source's stream (``begin``)."""
-    spread = rows.withColumn("order", F.xxhash64("doc_id", F.lit("mix"))).withColumn("chunk", F.pmod("order", F.lit(4 * partitions(rows.sparkSession))))
+    spread = rows.withColumn("order", F.xxhash64("doc_id", F.lit("mix"))).withColumn("chunk", F.pmod("order", F.lit(_STREAM_CHUNKS)))
     within = Window.partitionBy("source", "chunk").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     counts = spread.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
