@@ -25,7 +25,7 @@ from blotter.llm.tokens import NOT_ALPHANUMERIC, SPACES, pieces, text_bytes
 from blotter.staging import stage
 
 FEATURE_BITS = 16
-LABELLED_ROWS = 200_000
+LABELLED_ROWS = 100_000
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1e6
 _ALL = 1 << FEATURE_BITS
 MEASURES = 5
@@ -142,7 +142,8 @@ def site_quality(
     drawn = F.pmod(F.xxhash64("of", F.lit("fit")), F.lit(1 << 40))
     # Words are weighed on one half of the labelled rows, the classifier fitted on the other.
     words_half = told.filter((drawn < bound) & (drawn % 2 == 0))
-    odds = word_odds(rows.join(words_half, F.col("id") == F.col("of")).select("good", "text"))
+    # An id and a label for each of at most about half of ``labelled_rows``: broadcast, so no text moves.
+    odds = word_odds(rows.join(F.broadcast(words_half), F.col("id") == F.col("of")).select("good", "text"))
     kind = rows.schema["id"].dataType.simpleString()
     measure = partial(_measure, odds=spark.sparkContext.broadcast(odds))
     measured = rows.mapInArrow(measure, f"id {kind}, host string, path string, measures array<double>")
