@@ -108,16 +108,22 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) ->
     languages = sorted({r.lang for r in rows})
     if not rows:
         return LanguageModel([], np.zeros((1 << FEATURE_BITS, 0), np.float32))
-    x = np.stack([np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8)) for r in rows]).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    def vectors(some: list) -> np.ndarray:
+        x = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in some), np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        return x
+
+    # Only the landmarks' vectors and those of a hundred rows are unpacked at a time.
     y = np.array([[1.0 if r.lang == name else -1.0 for name in languages] for r in rows])
     chosen = np.random.default_rng(7).permutation(len(rows))[:landmarks]
-    to_landmarks = (x @ x[chosen].T).astype(np.float64)
+    marks = vectors([rows[i] for i in chosen])
+    to_landmarks = np.concatenate([vectors(rows[low : low + 100]) @ marks.T for low in range(0, len(rows), 100)]).astype(np.float64)
     among = to_landmarks[chosen]
     # Ridge regression in the space the landmarks span: minimise |K w - y|^2 + ridge * n * w' K_mm w.
     left = to_landmarks.T @ to_landmarks + ridge * len(rows) * among + 1e-6 * np.eye(len(chosen))
     weights = np.linalg.solve(left, to_landmarks.T @ y)
-    return LanguageModel(languages, (x[chosen].T.astype(np.float64) @ weights).astype(np.float32))
+    return LanguageModel(languages, marks.T @ weights.astype(np.float32))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
