@@ -9,8 +9,9 @@ first-level nodes with probability (1 - s) ** (2 * trees), for 0.85 and three tr
 
 A large node whose members mostly agree with one of them would not shrink by branching. It is cut
 into random blocks that are compared exhaustively; two members stand for each class found, and the
-next round compares those, until one block is left. What does not shrink that way either is
-compared block by block, exactly. Comparisons return a spanning forest of the confirmed links,
+next round compares those, until one block is left or they no longer halve. That only joins most
+members cheaply: then every two members of the node that are still not joined meet, block by
+block, so a large node finds the same components as a small one. Comparisons return a spanning forest of the confirmed links,
 never all pairs, so the links grow with the members.
 """
 
@@ -21,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.llm.tables import fresh_name, named, partitions
@@ -179,9 +180,10 @@ def _branch(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return nodes.join(sets.select("sid", "mins", "n_shingles"), "sid").select(F.explode(F.array(*step)).alias("path"), "sid", "n_shingles")
 
 
-def _blocks_of(load: str):
-    """How many times a task's share the rows of a group are, as an aggregate."""
-    return F.ceil(F.greatest(F.count("*") / LEAF, F.sum(load) / LOAD)).cast("int")
+def _blocks_of(load: str, times: int = 1, of: Column | None = None):
+    """How many times a task's share the rows of a group (or those ``of`` it) are, as an aggregate."""
+    counted = F.lit(True) if of is None else of
+    return F.ceil(times * F.greatest(F.count_if(counted) / LEAF, F.sum(F.when(counted, F.col(load))) / LOAD)).cast("int")
 
 
 def _counted(members: DataFrame, label: str) -> DataFrame:
@@ -251,38 +253,48 @@ def _blocks(rest: DataFrame, round_: int) -> DataFrame:
     return rest.join(sizes, "path").select(F.col("path").alias("node"), block.alias("grp"), "sid")
 
 
-def _crossed(rest: DataFrame) -> DataFrame:
-    """Every two blocks of a node together: the exact way for members that do not shrink."""
-    sizes = rest.groupBy("path").agg((3 * _blocks_of("n_shingles")).alias("blocks"))
-    block = F.pmod(F.xxhash64("sid", "path"), F.col("blocks")).cast("int")
-    other = rest.join(sizes, "path").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _crossed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Groups in which every two members of a large node meet that are not yet joined by links.
+
+    In each node the members joined with one another in the greatest number (``main``) need not
+    meet; the others, in blocks, meet every block of both.
+    """
+    told = members.join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    parts = told.groupBy("path", "root").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
+    told = stage(told.join(parts.filter("parts > 1"), "path").select("path", "sid", "n_shingles", (F.col("root") == F.col("main")).alias("main")), "parts")
+    # Two blocks together are within a task's share.
+    blocks = told.groupBy("path").agg(*[_blocks_of("n_shingles", 3, F.col("main") == main).alias(name) for main, name in ((True, "of_main"), (False, "of_rest"))])
+    own = F.when(F.col("main"), F.pmod(F.xxhash64("sid", "path"), F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(F.xxhash64("sid", "path"), F.col("of_rest")))
+    first = F.when(F.col("main"), F.col("of_main")).otherwise(0)
+    spread = told.join(blocks, "path").withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(first, F.col("of_main") + F.col("of_rest") - 1)))
     pair = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"))
-    return other.select(F.col("path").alias("node"), pair.alias("grp"), "sid")
+    return spread.filter("own <> other").select(F.col("path").alias("node"), pair.alias("grp"), "sid")
 
 
 def links(docs: DataFrame, id_column: str, text_column: str, sets: DataFrame, trees: int, words: int, share: tuple[int, int]) -> DataFrame:
     """Confirmed links (a, b) that join the same sets as all confirmed links."""
     texts = _Texts(docs, id_column, text_column, sets, words, share)
-    groups, rest = candidate_nodes(sets, trees)
-    found = [texts.compare(groups.select(F.lit(0).cast("long").alias("node"), "grp", "sid"), "links")]
-    rest, count, round_ = stage(rest, "large"), 0, 0
-    left = rest.count()
+    groups, large = candidate_nodes(sets, trees)
+    every = texts.compare(groups.select(F.lit(0).cast("long").alias("node"), "grp", "sid"), "links").select("a", "b")
+    members = stage(large, "large")
+    rest, left, round_ = members, members.count(), 0
     while left:
-        compared = texts.compare(_blocks(rest, round_) if left != count else _crossed(rest), "links")
-        found.append(compared)
-        if left == count:
-            break
+        compared = texts.compare(_blocks(rest, round_), "links")
+        every = every.unionByName(compared.select("a", "b"))
         standing = compared.filter("stands").select(F.col("node").alias("path"), "sid").distinct()
         spread = rest.join(standing, ["path", "sid"], "left_semi").join(
             rest.groupBy("path").agg(_blocks_of("n_shingles").alias("blocks")).filter("blocks > 1"), "path", "left_semi"
         )
         rest, round_, before = stage(spread, "large"), round_ + 1, left
         left = rest.count()
-        count = left if 2 * left > before else 0
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.filter("a is not null").select("a", "b").distinct()
+        if 2 * left > before:
+            break
+    if round_:
+        # The rounds join most members cheaply; those they left apart have not met all others.
+        crossed = stage(_crossed(members, components(every.filter("a is not null").distinct())), "crossed")
+        if not crossed.isEmpty():
+            every = every.unionByName(texts.compare(crossed, "links").select("a", "b"))
+    return every.filter("a is not null").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

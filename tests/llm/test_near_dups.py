@@ -54,6 +54,27 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert found(docs, share=(85, 100)) == brute_force(rows, 85)
 
 
+def test_members_of_large_nodes_meet_all_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "LEAF", 32)
+    monkeypatch.setattr(near_dups, "LOAD", 32 * 400)
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 200):  # a star: copies like the original but not like one another
+        changed = list(words)
+        for k, at in enumerate(rng.sample(range(8, 392, 8), 6)):
+            changed[at] = f"star{i}x{k}"
+        rows.append((i, " ".join(changed)))
+    chain = [f"c{rng.randrange(3000)}" for _ in range(400)]
+    for i in range(300, 380):  # a chain: each like the one before and the one after
+        chain[(i - 300) * 4 : (i - 300) * 4 + 24] = [f"chain{i}x{k}" for k in range(22)]
+        rows.append((i, " ".join(chain)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    stars = [shingle_set(t) for i, t in rows if 0 < i < 50]
+    assert all(100 * len(x & y) < 85 * len(x | y) for x, y in combinations(stars, 2))
+    assert found(docs, share=(85, 100)) == brute_force(rows, 85)
+
+
 def test_rows_without_id_repeats_and_empty_tables(spark):
     docs = documents(spark)
     told = near_duplicates(docs)
