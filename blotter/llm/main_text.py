@@ -27,6 +27,9 @@ LABELLED_PAGES = 2000
 
 # Fixed lists of HTML: elements whose content is not text, that part blocks, and that are empty.
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas audio video title select textarea button".split())
+# Of those, the ones whose content runs to the end of a page that does not close them, and that cannot hold their like.
+SCRIPTS = frozenset(["script", "style"])
+ONCE = frozenset("title select textarea button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -44,6 +47,9 @@ ASIDE_NAMES = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:\shidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in UNSEEN}
+_AGAIN = {name: re.compile(rf"<{name}(?=[\s/>])", re.I) for name in ONCE}
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
@@ -60,22 +66,39 @@ def _marked(name: str, attributes: str, in_main: bool) -> bool:
     return bool(words & ASIDE_NAMES) or ("header" in words and not in_main)
 
 
+def _markup(page: str) -> Iterator[tuple[str, str, str, str | None]]:
+    """(closing, name, attributes, text) of tags, and of words as text; what unseen elements hold is passed over.
+
+    An unseen element ends at its own end tag, whatever stands before that. Without one (or if another
+    of a kind that cannot hold its like begins first) it ends before the next block tag.
+    """
+    at, endless = 0, set()
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        closing, name, attributes, text = m[1] or "", (m[2] or "").lower(), m[3] or "", m[4]
+        if text is not None or name:
+            yield closing, name, attributes, text
+        if name in UNSEEN and not closing and not attributes.endswith("/"):
+            end = None if name in endless else _ENDS[name].search(page, at)
+            if not end:
+                endless.add(name)
+            elif name not in ONCE or not _AGAIN[name].search(page, at, end.start()):
+                at = end.end()
+                continue
+            block = None if name in SCRIPTS else _BLOCK.search(page, at)
+            at = block.start() if block else len(page)
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, parts): words with their text and kind, tags with theirs; ``parts`` if a block ends there."""
     has_main = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
-    aside, aside_depth, unseen, main, links = "", 0, "", 0, 0
-    for m in _TOKEN.finditer(page):
-        closing, name, attributes, text = m[1], (m[2] or "").lower(), m[3] or "", m[4]
-        if unseen:
-            if closing and name == unseen:
-                unseen = ""
-            continue
+    aside, aside_depth, main, links = "", 0, 0, 0
+    for closing, name, attributes, text in _markup(page):
         if text is not None:
             kind = "word:aside" if aside else "word:main" if main else "word:outside" if has_main else "word:plain"
             yield ("word:link" if links and kind == "word:plain" else kind), text, False
-        elif name:
+        else:
             if name in UNSEEN and not closing and not attributes.endswith("/"):
-                unseen = name
                 yield f"tag:{name}" if not aside else "tag:aside", "", False
                 continue
             if aside:

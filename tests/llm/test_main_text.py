@@ -23,6 +23,22 @@ def test_pages(page, text):
     assert extract(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<head><script>for(var i=0;i<n;i++){{s+=i}}</script></head><article>{BODY}</article><script>x()</script>", TEXT),
+        (f"<body><SCRIPT>if(a<b&&c)document.write('<script src=x>')</SCRIPT ><div>{BODY}</div>", TEXT),
+        (f"<style>a<b 'c{{}}</style><div>{BODY}</div>", TEXT),
+        (f"<title>Never closed<body><div>{BODY}</div>", TEXT),
+        (f"<body><svg><path d=x><div>{BODY}</div>", TEXT),
+        (f"<body><button>Go<div>{BODY}</div><button>Go</button>", TEXT),
+        (f"<div>{BODY}</div><script>for(;i<n;) '<p>no text</p>'", TEXT),
+    ],
+)
+def test_unseen_elements_end_at_their_own_end(page, text):
+    assert extract(page, WEIGHTS) == text
+
+
 def test_table_of_pages(spark):
     pages = [(i, "u", f"<nav><a>m {i}</a></nav><article>{BODY}<p>{i}</p></article><footer>f</footer>", "t") for i in range(40)]
     pages += [(100, None, None, "t"), (101, "u", "", "t"), (0, "u", pages[0][2], "t"), (None, "u", "<article>" + "<p>long text</p>" * 5000, "t")]
