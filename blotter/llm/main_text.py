@@ -2,8 +2,8 @@
 
 A page is a row of words and tags. A word's kind says where it stands: in an article or main
 element, outside that of a page that has one, in a page without one, in a link, or in a part such as
-a menu or footer. Labelled pages, those with an article or main element, give each kind a weight,
-the log-odds of standing inside it; a tag's weight is at most slightly negative, and a plain word's
+a menu or footer; what encloses most of the text is no such part, whatever its name. Labelled pages,
+those with an article or main element, give each kind a weight, the log-odds of standing inside it; a tag's weight is at most slightly negative, and a plain word's
 slightly positive at least. One linear scan finds the contiguous region of the greatest sum, and its blocks,
 without the parts that are never text, are the page's text.
 """
@@ -37,6 +37,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(["article", "main"])
 ASIDE = frozenset("nav aside footer form menu dialog".split())
+PARTS = ASIDE - {"form"} | {"header"}  # these wrap a page only if they enclose its article or main element
 # Words of class and id attributes and roles that mark parts other than the text.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar nav navigation navbar menu menubar breadcrumb breadcrumbs footer "
@@ -89,11 +90,46 @@ def _markup(page: str) -> Iterator[tuple[str, str, str, str | None]]:
             at = block.start() if block else len(page)
 
 
+def _wrappers(row: list[tuple[str, str, str, str | None]]) -> set[int]:
+    """Places of the opening tags that look like those of parts but enclose the page's text.
+
+    They hold more than half of the plain words (those outside links) of the article and main elements, or
+    of the page if those have none. A menu, footer or the like, and what is hidden, must enclose these elements.
+    """
+    main, links, words, within = 0, 0, [0], [0]  # words before each place, and those of them in article and main
+    open_: dict[str, list[int]] = {}
+    ends: dict[int, tuple[int, str]] = {}  # where each ends, and what it may enclose
+    for i, (closing, name, attributes, text) in enumerate(row):
+        n = len(text.split()) if text is not None and not links else 0
+        words.append(words[-1] + n)
+        within.append(within[-1] + (n if main else 0))
+        if text is not None or name in UNSEEN:
+            continue
+        if name == "a":
+            links = 0 if closing else 1
+        if closing:
+            if open_.get(name):
+                at = open_[name].pop()
+                if at in ends:
+                    ends[at] = (i, ends[at][1])
+        elif name not in VOID and not attributes.endswith("/"):
+            open_.setdefault(name, []).append(i)
+            if _marked(name, attributes, main > 0):
+                part = name in PARTS or _HIDDEN.search(attributes) is not None
+                ends[i] = (len(row), "main" if part and not main else "" if part else "any")
+        if name in MAIN:
+            main = max(0, main + (-1 if closing else 1))
+    counts, enclosed = (within, ("any", "main")) if within[-1] else (words, ("any",))
+    return {at for at, (end, what) in ends.items() if what in enclosed and 2 * (counts[end] - counts[at]) > counts[-1]}
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, parts): words with their text and kind, tags with theirs; ``parts`` if a block ends there."""
     has_main = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
     aside, aside_depth, main, links = "", 0, 0, 0
-    for closing, name, attributes, text in _markup(page):
+    row = list(_markup(page))
+    wrappers = _wrappers(row)
+    for i, (closing, name, attributes, text) in enumerate(row):
         if text is not None:
             kind = "word:aside" if aside else "word:main" if main else "word:outside" if has_main else "word:plain"
             yield ("word:link" if links and kind == "word:plain" else kind), text, False
@@ -105,7 +141,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 aside_depth += (name == aside) * (-1 if closing else 1)
                 if not aside_depth:
                     aside = ""
-            elif not closing and name not in VOID and not attributes.endswith("/") and _marked(name, attributes, main > 0):
+            elif not closing and name not in VOID and not attributes.endswith("/") and i not in wrappers and _marked(name, attributes, main > 0):
                 aside, aside_depth = name, 1
             if name in MAIN:
                 main = max(0, main + (-1 if closing else 1))

@@ -39,6 +39,19 @@ def test_unseen_elements_end_at_their_own_end(page, text):
     assert extract(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize("wrapper", ["<form id=aspnetForm>{}</form>", "<div class='page right-sidebar'>{}</div>", "<div id=social><div class=search>{}</div></div>", "<section class=notice>{}"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main><div class='social'>{}</div></main>", "<div>{}</div>"])
+def test_wrappers_are_no_parts(wrapper, inner):
+    around = "<nav><a>Home</a></nav>{}<div class=sidebar>Not this</div><footer>nor that</footer>"
+    assert extract("<body>" + wrapper.format(around.format(inner.format(BODY))), WEIGHTS) == TEXT
+
+
+def test_small_and_inner_parts_stay_parts():
+    assert extract(f"<main>{BODY}</main><aside><article>A card</article></aside><div hidden><article>B</article></div>", WEIGHTS) == TEXT
+    assert extract(f"<div>{BODY}</div><footer>{'legal words ' * 90}</footer>", WEIGHTS) == TEXT
+    assert extract(f"<aside><main>{BODY}</main></aside>", WEIGHTS) == TEXT
+
+
 def test_table_of_pages(spark):
     pages = [(i, "u", f"<nav><a>m {i}</a></nav><article>{BODY}<p>{i}</p></article><footer>f</footer>", "t") for i in range(40)]
     pages += [(100, None, None, "t"), (101, "u", "", "t"), (0, "u", pages[0][2], "t"), (None, "u", "<article>" + "<p>long text</p>" * 5000, "t")]
