@@ -72,15 +72,16 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
                 sids.append(_identity(items))
                 mins.append(least.view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sids, pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
-            names=["id", "n_shingles", "sid", "mins"],
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sids, pa.binary()), pa.array(mins, pa.list_(pa.int64())), *batch.columns[2:]],
+            names=["id", "n_shingles", "sid", "mins", *batch.schema.names[2:]],
         )
 
 
-def sketches(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """For each row its id, set size, the set's identity and minwise tokens (null: empty set)."""
-    narrow = docs.select(named(docs, id_column).cast("long").alias("id"), named(docs, text_column).alias("text"))
-    return narrow.mapInArrow(partial(_sketch, words=words), _SKETCH)
+def sketches(docs: DataFrame, id_column: str, text_column: str, words: int, tie: bool = False) -> DataFrame:
+    """For each row its id, set size, the set's identity and minwise tokens (null: empty set), and on request a hash of its text (``tie``)."""
+    text = named(docs, text_column)
+    narrow = docs.select(named(docs, id_column).cast("long").alias("id"), text.alias("text"), *([F.xxhash64(text).alias("tie")] if tie else []))
+    return narrow.mapInArrow(partial(_sketch, words=words), _SKETCH + (", tie long" if tie else ""))
 
 
 def _linked(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
@@ -312,6 +313,29 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def _told(docs: DataFrame, id_column: str, text_column: str, share: tuple[int, int], words: int, trees: int, tie: bool = False) -> DataFrame:
+    """The rows of ``near_duplicates`` with the set that stands for the component (``root``), null for the empty set, and with ``tie`` on request."""
+    drawn = stage(sketches(docs, id_column, text_column, words, tie), "sketches")
+    sets = stage(
+        drawn.filter("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins")),
+        "sets",
+    )
+    edges = links(docs, id_column, text_column, sets, trees, words, share)
+    roots = components(stage(edges, "edges"))
+    classes = sets.select("sid", "low").join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left")
+    joined = classes.filter("root is not null")
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    labels = joined.join(lowest, "root").select("sid", "component_id", "root").unionByName(
+        classes.filter("root is null").select("sid", F.col("low").alias("component_id"), F.col("sid").alias("root"))
+    )
+    # One set may own a third of the documents: its label is repeated for each salt.
+    salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    rows = drawn.select("id", "n_shingles", "sid", *(["tie"] if tie else []), F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt"))
+    told = rows.join(salted, ["sid", "salt"], "left")
+    component = F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return told.withColumn("component_id", component).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -328,44 +352,35 @@ def near_duplicates(
     an id do not link others: they get the component of a document of the same set, else null
     (and then are kept). Other columns of ``docs`` are neither read nor returned.
     """
-    spark = docs.sparkSession
-    drawn = stage(sketches(docs, id_column, text_column, words), "sketches")
-    sets = stage(
-        drawn.filter("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins")),
-        "sets",
-    )
-    edges = links(docs, id_column, text_column, sets, trees, words, share)
-    roots = components(stage(edges, "edges"))
-    classes = sets.select("sid", "low").join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left")
-    joined = classes.filter("root is not null")
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = joined.join(lowest, "root").select("sid", "component_id").unionByName(
-        classes.filter("root is null").select("sid", F.col("low").alias("component_id"))
-    )
-    # One set may own a third of the documents: its label is repeated for each salt.
-    salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    rows = drawn.select("id", "n_shingles", "sid", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt"))
-    told = rows.join(salted, ["sid", "salt"], "left")
-    component = F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return told.select(
-        F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
-    )
+    told = _told(docs, id_column, text_column, share, words, trees)
+    return told.select(F.col("id").alias(id_column), "n_shingles", "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    share: tuple[int, int] = (80, 100),
+    words: int = SHINGLE_WORDS,
+    trees: int = 3,
+) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the document of the smallest id.
 
-    Of rows that repeat an id, the one whose text has the smallest hash stays. Rows without an
-    id cannot be told apart and all stay.
+    Of rows of one group that repeat its id, the one whose text has the smallest hash stays; an
+    id that stands at texts of several groups is reduced in each alone. Rows without an id cannot
+    be told apart and all stay.
     """
     columns = docs.columns
-    kept = near_duplicates(docs, id_column, text_column, **settings).filter("kept")
-    kept = kept.select(F.col(id_column).alias("__kept")).filter("__kept is not null").distinct()
-    own = named(docs, id_column)
+    told = _told(docs, id_column, text_column, share, words, trees, tie=True).filter("kept and id is not null")
+    # Rows with the empty set are linked with nothing, so each text is a group.
+    group = F.coalesce("root", F.col("tie").cast("string").cast("binary"))
+    kept = told.groupBy("id", group.alias("group")).agg(F.min("tie").alias("__tie")).select(F.col("id").alias("__kept"), "__tie").distinct()
+    hash_ = fresh_name(docs, "__hash")
+    hashed = docs.withColumn(hash_, F.xxhash64(named(docs, text_column)))
     # Join and window need the same distribution, so texts are exchanged once.
-    stay = docs.join(kept, own == F.col("__kept"), "left_semi")
-    order = Window.partitionBy(named(stay, id_column)).orderBy(F.xxhash64(named(stay, text_column)))
+    stay = hashed.join(kept, (named(hashed, id_column) == F.col("__kept")) & (F.col(hash_) == F.col("__tie")), "left_semi")
+    order = Window.partitionBy(named(stay, id_column), hash_).orderBy(hash_)
     rank = fresh_name(docs, "__rank")
     ranked = stay.withColumn(rank, F.row_number().over(order))
     first = ranked.filter(F.col(rank) == 1).select(*[named(ranked, c) for c in columns])
-    return first.unionByName(docs.filter(own.isNull()))
+    return first.unionByName(docs.filter(named(docs, id_column).isNull()))

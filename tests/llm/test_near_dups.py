@@ -86,3 +86,14 @@ def test_rows_without_id_repeats_and_empty_tables(spark):
     assert stay.columns == docs.columns
     ids = [r.doc_id for r in stay.filter("doc_id is not null").collect()]
     assert len(ids) == len(set(ids)) and {0, 3} <= set(ids) and not {36, 37} & set(ids)
+
+
+def test_an_id_at_unlike_texts_is_reduced_in_each_group_alone(spark):
+    unlike = [" ".join(f"{name}{i}" for i in range(200)) for name in "abcdefgh"]
+    rows = [(1, unlike[0]), (2, unlike[1]), (2, unlike[2]), (2, unlike[2]), (2, unlike[2] + " end")]
+    for i, text in enumerate(unlike[3:], 3):  # each of these ids also stands at a copy of the first text
+        rows += [(i, text), (i, unlike[0])]
+    rows += [(20, ""), (20, None), (20, "")]
+    stay = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id, (r.text or "").removesuffix(" end")) for r in stay)
+    assert found == sorted([(1, unlike[0]), (2, unlike[1]), (2, unlike[2]), *enumerate(unlike[3:], 3), (20, ""), (20, "")])
