@@ -223,11 +223,11 @@ def r10_decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         from i join r on r.value = i."District" where {bucket_sql('i."ID"', 1234, 100)} < 20""",
 )
 def r10_tree_of_a_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label that one feature of 25 values decides: the tree has to find it without error."""
+    """A label that one feature of 25 values decides: the tree, as deep as it needs, has to find it without error."""
     df = incidents(spark, sf_dir)
     ranked = FrequencyIndexer(["District"], ["rank"]).fit(df).transform(df).select("ID", "rank", (F.col("rank") % 3).alias("label"))
     train, test = train_test_split(assemble(ranked, ["rank"], FEATURES), ["ID"], 20, 1234)
-    return tree(label="label", maxDepth=15, maxBins=32).fit(train).transform(test).select("ID", "label", "prediction")
+    return tree(label="label", maxDepth=30, maxBins=32).fit(train).transform(test).select("ID", "label", "prediction")
 
 
 # --- tuning ------------------------------------------------------------------
