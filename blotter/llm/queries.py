@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm import chat, decontaminate, fingerprints, language, main_text, mixing, near_dups, sharding, site_quality, warc
+from blotter.llm import chat, decontaminate, fingerprints, language, main_text, mixing, near_dups, sharding, site_quality, trie, warc
 from blotter.llm.sql_text import ALPHANUMERIC, SPACED, lowered, words
 from blotter.llm.tables import table
 from blotter.staging import fresh_path
@@ -121,6 +121,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt with shared beginnings."""
+    return trie.prefix_trie(trie.rebuilt_sequences(table(spark, sf_dir, "conversations")))
+
+
 SQL["op2_decontamination"] = f"""
 with d as (select doc_id, {words(lowered('text'), ALPHANUMERIC)} as w from documents),
 b as (select item_id, w, least(len(w), 13) as n from (select item_id, {words(lowered('text'), ALPHANUMERIC)} as w from benchmark)),
@@ -189,3 +195,44 @@ select page_id, payload_bytes, payload_digest,
   case when first <> page_id then first end as refers_to
 from s left join f using (payload_digest)
 """
+
+# crc32 of a string of ASCII characters, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::ubigint)),"
+    " lambda a, b: list_reduce(list_prepend(xor(a, b), [0::ubigint, 0, 0, 0, 0, 0, 0, 0]),"
+    " lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint)"
+)
+SQL["op13_prefix_trie"] = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+g as (
+  select *, octet_length(encode(text)) as bytes,
+    substr(sha256(octet_length(encode(role)) || ':' || role || text), 1, 32) as digest from t
+),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, digest) as i from g),
+c as (select conv_id, conv_id - conv_id % 5 as base, cast({_CRC.format("cast(conv_id as varchar)")} % 9 as bigint) as h from (select distinct conv_id from t)),
+r as (
+  select c.conv_id, o.i, o.digest, o.bytes from c join o on o.conv_id = c.base and o.i <= c.h
+  union all
+  select c.conv_id, o.i - c.h + coalesce(s.n, 0), o.digest, o.bytes
+  from c join o on o.conv_id = c.conv_id and o.i > c.h
+  left join (select c.conv_id, count(*) as n from c join o on o.conv_id = c.base and o.i <= c.h group by 1) s on s.conv_id = c.conv_id
+),
+p as (select conv_id, i, bytes, string_agg(digest, '') over (partition by conv_id order by i) as path from r),
+m as (
+  select conv_id, i as depth, path, bytes from p
+  union all select conv_id, 0, '', 0 from c
+),
+last as (select conv_id, max(depth) as depth from m group by conv_id),
+n as (select path, any_value(depth) as depth, any_value(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs from m group by path),
+e as (select m.path, sha256(string_agg(cast(m.conv_id as varchar), ',' order by m.conv_id)) as ends from m join last using (conv_id, depth) group by m.path),
+k as (select substr(path, 1, 32 * (depth - 1)) as path, count(*) as n_children from n where depth > 0 group by 1),
+up as (
+  select substr(n.path, 1, 32 * d) as path, cast(sum(case when k.path is null then 1 else 0 end) as bigint) as n_leaves,
+    cast(sum((n_convs - 1) * bytes) as bigint) as saved_tokens
+  from (select *, unnest(range(0, depth + 1)) as d from n) n left join k on k.path = n.path group by 1
+)
+select n.conv_id, n.depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children, up.n_leaves, up.saved_tokens,
+  coalesce(e.ends, sha256('')) as ends_sha256
+from n join up on up.path = n.path left join k on k.path = n.path left join e on e.path = n.path
+left join n q on n.depth > 0 and q.path = substr(n.path, 1, 32 * (n.depth - 1))
+"""
