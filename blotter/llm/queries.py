@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm import chat, decontaminate, fingerprints, language, main_text, mixing, near_dups, sharding, site_quality, trie, warc
+from blotter.llm import chat, decontaminate, fingerprints, language, main_text, mixing, near_dups, sharding, site_quality, top_k, trie, warc
 from blotter.llm.sql_text import ALPHANUMERIC, SPACED, lowered, words
 from blotter.llm.tables import table
 from blotter.staging import fresh_path
@@ -121,6 +121,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, vectors["vec_id"] % 20 == 0)
+
+
 @_query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, rebuilt with shared beginnings."""
@@ -196,6 +203,20 @@ select page_id, payload_bytes, payload_digest,
 from s left join f using (payload_digest)
 """
 
+SQL["op12_top_k"] = """
+with v as (
+  select row_number() over () as place, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))::hugeint) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select q.vec_id as query_id, q.place as asked, x.vec_id, cast(list_sum(list_transform(list_zip(q.v, x.v, true), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v x on q.vec_id % 20 = 0 and q.place <> x.place
+),
+r as (select *, row_number() over (partition by asked order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""
+
 # crc32 of a string of ASCII characters, bit by bit.
 _CRC = (
     "xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::ubigint)),"
