@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm import chat, decontaminate, fingerprints, language, main_text, mixing, near_dups, sharding, site_quality, top_k, trie, warc
+from blotter.llm import chat, decontaminate, fingerprints, language, main_text, mixing, near_dups, phrases, sharding, site_quality, top_k, trie, warc
 from blotter.llm.sql_text import ALPHANUMERIC, SPACED, lowered, words
 from blotter.llm.tables import table
 from blotter.staging import fresh_path
@@ -121,6 +121,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of every language that occur a hundred times."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector with all others."""
@@ -203,6 +209,35 @@ select page_id, payload_bytes, payload_digest,
 from s left join f using (payload_digest)
 """
 
+SQL["op11_collocations"] = f"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({lowered('text')}, '[.,;:!?\\x0A-\\x0D]')) as s from documents
+),
+w as (select lang, regexp_extract_all(s, '[^\\x20\\x09]+') as w from p),
+n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+g as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (select unnest(range(1, 6)) as k) where len(w) >= k)
+),
+f as (select lang, k, phrase, count(*) as a from g group by lang, k, phrase having count(*) >= 100),
+cuts as (
+  select lang, k, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') as head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') as tail
+  from (select *, unnest(range(1, k)) as j from f where k > 1)
+),
+s as (
+  select c.lang, c.phrase, c.a, l.a as l, r.a as r, n.n, cast((1000::hugeint * c.a * n.n) // (l.a::hugeint * r.a) as bigint) as score, j
+  from cuts c join f l on l.lang = c.lang and l.phrase = c.head join f r on r.lang = c.lang and r.phrase = c.tail join n on n.lang = c.lang
+),
+weakest as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (
+  select distinct lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') as phrase, a
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from f where k > 2))
+),
+kept as (select * from weakest where not exists (select 1 from inside i where i.lang = weakest.lang and i.phrase = weakest.phrase and 100 * i.a >= 100 * weakest.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""
+
 SQL["op12_top_k"] = """
 with v as (
   select row_number() over () as place, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))::hugeint) as v
