@@ -1,24 +1,23 @@
 """Phrases that occur often, by dynamic itemset counting, and how strongly their words belong together.
 
 The texts are spread over ``SHARDS`` shards that are scanned in turn, again and again; one scan of a
-shard is a step. Words are counted from the first step on. A longer phrase is activated when both
+shard is a step. Words are counted in the first cycle. A longer phrase is activated when both
 phrases of one word less, its beginning and its end, have reached the threshold, in whatever part
-of their cycle they are; it is counted from the next step on, for one whole cycle, after which its
-count is exact. So lengths are counted side by side, and the scans end when no phrase that has
-reached the threshold is younger than a cycle.
+of their cycle they are; it is counted from the next step on, for one whole cycle. So lengths are
+counted side by side, and the scans end when no phrase that has reached the threshold is younger
+than a cycle. Any ``SHARDS`` consecutive steps see every shard once, so their sum never
+exceeds a phrase's true count, and it is that count when the phrase's cycle ends.
 
-A task learns what is active from two bit tables (of bounded size) over the phrases that have reached
-the threshold: all of them, and those of the last cycle. What the tables let through by chance
-is counted too, but drops out when counts are joined with the exact phrases that activate them; only
-counts of the steps between activation and the end of the cycle are added up. A task's counts
-leave it as one row for each phrase, so a common phrase weighs no more than a rare one.
+In the steps a phrase is a 64-bit number, and a task gives one count for each. A task learns
+what is active from two bit tables (of bounded size) over the phrases that have reached the threshold:
+all of them, and those of the last cycle. What the tables let through by chance is counted too, which
+costs time but changes no result. At the end the phrases found are counted once more by their words,
+which are never written out for any others: that gives the exact counts, whatever two numbers meet.
 
 Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and those into words at spaces
 and tabs. Null texts are empty, a null language is ``und``; every row counts, copies too. A text of
-any length is read a megabyte at a time. Other columns are not read. Within a task phrases of
-one language are told apart by 64-bit numbers, between tasks by their words.
+any length is read a megabyte at a time. Other columns are not read.
 """
-
 from __future__ import annotations
 
 import zlib
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.tables import named
+from blotter.llm.tables import discard, named
 from blotter.llm.tokens import _words_of, grams, mixed, numbers, text_bytes
 from blotter.operators.positions import with_position
 from blotter.staging import stage
@@ -40,8 +39,9 @@ LONGEST = 5
 SHARDS = 3
 UNKNOWN = "und"
 WINDOW = 1_000_000  # bytes that are numbered at once
-HELD = 400_000  # phrases that a task holds before it gives their counts
-_LEAST_BITS, _MOST_BITS, _BITS_EACH = 20, 27, 16
+HELD = 3_000_000  # occurrences that a task holds before it gives their counts, and
+TOLD = 200_000  # phrases that it holds in words
+_LEAST_BITS, _MOST_BITS, _BITS_EACH = 20, 27, 32
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -50,7 +50,8 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(BREAKS)] = True
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-_COUNTS = "lang string, words int, phrase string, number long, occurrences long"
+_NUMBERS = "number long, occurrences long"
+_COUNTS = "lang string, words int, phrase string, occurrences long"
 
 
 # --- one task ---------------------------------------------------------------------
@@ -91,108 +92,132 @@ def language_number(lang: str) -> np.uint64:
     return mixed(numbers(1, zlib.crc32(data) << 32 | zlib.adler32(data)))[0]
 
 
-def _slots(number: np.ndarray, bits: int) -> np.ndarray:
-    return mixed(number ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - bits)
+def numbered(words: np.ndarray, n: int, own: np.uint64) -> np.ndarray:
+    """The number of every run of ``n`` words in a language; its last three bits are ``n``."""
+    number = (words if n == 1 else grams(words, n)) ^ own
+    return (number & ~np.uint64(7)) | np.uint64(n)
 
 
-def _holds(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _slots(number: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a bit table for each number."""
+    one = mixed(number ^ np.uint64(0x2545F4914F6CDD1D))
+    return one >> np.uint64(64 - bits), mixed(one) >> np.uint64(64 - bits)
 
 
-class Counter:
-    """Counts of one task, by language and number, and the words of each number."""
+def _holds(table: np.ndarray, slots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    found = np.ones(len(slots[0]), dtype=bool)
+    for slot in slots:
+        found &= (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
 
-    def __init__(self):
-        self.clear()
 
-    def clear(self) -> None:
-        self.counts: dict[tuple[str, int], dict[int, int]] = {}
-        self.words: dict[tuple[str, int], dict[int, str]] = {}
-        self.held = 0
+def _set(table: np.ndarray, slots: tuple[np.ndarray, ...]) -> None:
+    for slot in slots:
+        np.bitwise_or.at(table, slot >> np.uint64(3), np.left_shift(1, slot & np.uint64(7)).astype(np.uint8))
 
-    def add(self, lang: str, words: int, number: np.ndarray, part: bytes, first: np.ndarray, last: np.ndarray) -> None:
-        """One occurrence each of the phrases at bytes ``first`` to ``last``."""
-        if not len(number):
-            return
-        each, at, times = np.unique(number, return_index=True, return_counts=True)
-        counts, told = self.counts.setdefault((lang, words), {}), self.words.setdefault((lang, words), {})
-        for n, i, c in zip(each.view(np.int64).tolist(), at.tolist(), times.tolist()):
-            if n in counts:
-                counts[n] += c
-            else:
-                counts[n] = c
-                told[n] = b" ".join(part[first[i] : last[i]].split()).decode(errors="replace")
-                self.held += 1
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        for (lang, words), counts in self.counts.items():
-            told = self.words[lang, words]
-            for low in range(0, len(counts), 50_000):
-                some = list(counts.items())[low : low + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(some)),
-                        pa.array([words] * len(some), pa.int32()),
-                        pa.array([told.get(n, "") for n, _ in some]),
-                        pa.array([n for n, _ in some], pa.int64()),
-                        pa.array([c for _, c in some], pa.int64()),
-                    ],
-                    names=["lang", "words", "phrase", "number", "occurrences"],
-                )
-        self.clear()
-
-
-def count_window(counter: Counter, lang: str, window: tuple, singles: bool, tables: tuple[np.ndarray, np.ndarray, int] | None) -> None:
-    """Count the words of a window, if asked, and the longer phrases that the tables make active."""
-    part, first, ends, number, piece, new = window
-    own = language_number(lang)
-    if singles:
-        counter.add(lang, 1, number[new:] ^ own, part, first[new:], ends[new:])
-        total = counter.counts.setdefault((lang, 0), {})
-        counter.words.setdefault((lang, 0), {})
-        total[0] = total.get(0, 0) + len(number) - new
-    if tables is None:
-        return
+
+def active_phrases(window: tuple, own: np.uint64, tables: tuple[np.ndarray, np.ndarray, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, positions, numbers) of the longer phrases whose two shorter ones are held, one of them as recent."""
+    _, _, _, words, piece, new = window
     reached, recent, bits = tables
-    shorter = number ^ own  # numbers of the phrases of n - 1 words at each position
+    shorter = numbered(words, 1, own)
     for n in range(2, LONGEST + 1):
-        places = len(number) - n + 1
+        places = len(words) - n + 1
         if places <= 0:
             return
         slots = _slots(shorter, bits)
-        old, young = _holds(reached, slots), _holds(recent, slots)
+        old = _holds(reached, slots)
+        young = old if recent is reached else _holds(recent, slots)
         active = old[:places] & old[1 : places + 1] & (young[:places] | young[1 : places + 1])
         active &= piece[:places] == piece[n - 1 :]
         active[: max(0, new - n + 1)] = False
-        shorter = grams(number, n) ^ own
+        shorter = numbered(words, n, own)
         at = np.flatnonzero(active)
-        counter.add(lang, n, shorter[at], part, first[at], ends[at + n - 1])
+        yield n, at, shorter[at]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], singles: bool, tables) -> Iterator[pa.RecordBatch]:
-    tables = None if tables is None else tables.value
-    counter = Counter()
+def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, tuple]]:
+    """The windows of (lang, text) rows, a few megabytes of one language at a time."""
     for batch in batches:
         offsets, data = text_bytes(batch.column(1))
-        by_lang: dict[str, list[bytes]] = {}
+        by_lang: dict[str, list[tuple[int, int]]] = {}
         for lang, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-            by_lang.setdefault(lang, []).append(data[a:b].tobytes())
-        for lang, some in by_lang.items():
-            for window in windows(b"\n".join(some).translate(_LOWER)):
-                count_window(counter, lang, window, singles, tables)
-                if counter.held >= HELD:
-                    yield from counter.batches()
-    yield from counter.batches()
+            by_lang.setdefault(lang, []).append((a, b))
+        for lang, spans in by_lang.items():
+            low = 0
+            while low < len(spans):
+                high, size = low, 0
+                while high < len(spans) and size < WINDOW:
+                    size += spans[high][1] - spans[high][0] + 1
+                    high += 1
+                for window in windows(b"\n".join(data[a:b].tobytes() for a, b in spans[low:high]).translate(_LOWER)):
+                    yield lang, window
+                low = high
+
+
+def _stepped(batches: Iterator[pa.RecordBatch], singles: bool, tables) -> Iterator[pa.RecordBatch]:
+    """One step over a part of a shard: counts by number."""
+    tables = None if tables is None else tables.value
+    held, waiting = [], 0
+
+    def counts() -> pa.RecordBatch:
+        number, times = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(times.astype(np.int64))], names=["number", "occurrences"])
+
+    for lang, window in _windows_of(batches):
+        words, new, own = window[3], window[5], language_number(lang)
+        found = [numbered(words[new:], 1, own)] if singles else []
+        if tables is not None:
+            found += [number for *_, number in active_phrases(window, own, tables)]
+        held += found
+        waiting += sum(map(len, found))
+        if waiting >= HELD:
+            yield counts()
+            waiting = 0
+    yield counts()
+
+
+def _told(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
+    """Counts by words of what the table holds; words 0 stands for all words of a language."""
+    reached, _, bits = tables.value
+    counts: dict[tuple[str, int, bytes], int] = {}
+    known: dict[int, tuple[str, int, bytes]] = {}
+
+    def given() -> pa.RecordBatch:
+        columns = [[k[0] for k in counts], [k[1] for k in counts], [k[2].decode(errors="replace") for k in counts], list(counts.values())]
+        counts.clear()
+        known.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "words", "phrase", "occurrences"])
+
+    for lang, window in _windows_of(batches):
+        part, first, ends, words, _, new = window
+        own = language_number(lang)
+        counts[lang, 0, b""] = counts.get((lang, 0, b""), 0) + len(words) - new
+        singles = numbered(words, 1, own)
+        phrases = [(1, np.arange(new, len(words)), singles[new:]), *active_phrases(window, own, (reached, reached, bits))]
+        for n, at, number in phrases:
+            good = _holds(reached, _slots(number, bits))
+            each, where, times = np.unique(number[good], return_index=True, return_counts=True)
+            at = at[good][where] if len(each) else at[:0]
+            for value, i, c in zip(each.tolist(), at.tolist(), times.tolist()):
+                key = known.get(value)
+                if key is None:
+                    key = known[value] = (lang, n, b" ".join(part[first[i] : ends[i + n - 1]].split()))
+                counts[key] = counts.get(key, 0) + c
+        if len(counts) >= TOLD:
+            yield given()
+    yield given()
 
 
 def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Numbers to the bytes of their bits: (byte, all, recent)."""
     tables = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
     for batch in batches:
-        slots = _slots(np.asarray(batch.column(0)).view(np.uint64), bits)
+        number = np.asarray(batch.column(0)).view(np.uint64)
         recent = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for table, some in zip(tables, (slots, slots[recent])):
-            np.bitwise_or.at(table, some >> np.uint64(3), np.left_shift(1, some & np.uint64(7)).astype(np.uint8))
+        _set(tables[0], _slots(number, bits))
+        _set(tables[1], _slots(number[recent], bits))
     at = np.flatnonzero(tables[0])
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(t[at].astype(np.int64)) for t in tables)], names=["byte", "reached", "recent"])
 
@@ -200,10 +225,10 @@ def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 # --- steps ------------------------------------------------------------------------
 
 
-def _tables(reached: DataFrame, entries: int, step: int, shards: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bit tables over the phrases that have reached the threshold, and those of them that did so in the last cycle."""
+def _tables(reached: DataFrame, entries: int, oldest: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bit tables over all numbers, and over those that reached the threshold in step ``oldest`` or later."""
     bits = min(max((_BITS_EACH * max(entries, 1)).bit_length(), _LEAST_BITS), _MOST_BITS)
-    asked = reached.filter(F.col("words") < LONGEST).select("number", (F.col("reached") > step - 1 - shards).alias("recent"))
+    asked = reached.select("number", (F.col("step") >= oldest).alias("recent"))
     rows = asked.mapInArrow(partial(_bits, bits=bits), "byte long, reached long, recent long").groupBy("byte").agg(F.bit_or("reached").alias("reached"), F.bit_or("recent").alias("recent")).toArrow()
     tables = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
     for table, name in zip(tables, ("reached", "recent")):
@@ -211,47 +236,6 @@ def _tables(reached: DataFrame, entries: int, step: int, shards: int) -> tuple[n
     return tables[0], tables[1], bits
 
 
-def first_words(phrase: Column) -> Column:
-    """All words but the last."""
-    return F.substring(phrase, F.lit(1), F.length(phrase) - F.length(F.substring_index(phrase, " ", -1)) - 1)
-
-
-def last_words(phrase: Column) -> Column:
-    """All words but the first."""
-    return F.substring(phrase, F.length(F.substring_index(phrase, " ", 1)) + 2, F.length(phrase))
-
-
-def _judged(counts: list[tuple[int, DataFrame]], reached: DataFrame | None, step: int, threshold: int, shards: int) -> DataFrame:
-    """What the last cycle of steps says: (lang, words, phrase, number, occurrences, reached, done).
-
-    ``reached`` is this step for a phrase whose count reached the threshold in it, ``done`` holds where
-    the cycle of a phrase ends with this step, with its final count.
-    """
-    each = reduce(DataFrame.unionByName, [rows.withColumn("step", F.lit(s)) for s, rows in counts])
-    sums = [F.sum(F.when(F.col("step") == s, F.col("occurrences"))).alias(f"at_{s}") for s, _ in counts]
-    total = each.groupBy("lang", "words", "phrase", "number").agg(F.sum("occurrences").alias("all"), *sums)
-    often = total.filter((F.col("all") >= threshold) | (F.col("words") == 0))
-    single = often.filter("words <= 1").withColumn("start", F.lit(0))
-    if reached is not None:
-        known = reached.select("lang", F.col("phrase"), F.col("reached"))
-        longer = often.filter("words > 1").withColumn("head", first_words(F.col("phrase"))).withColumn("tail", last_words(F.col("phrase")))
-        longer = longer.join(known.select("lang", F.col("phrase").alias("head"), F.col("reached").alias("head_at")), ["lang", "head"])
-        longer = longer.join(known.select("lang", F.col("phrase").alias("tail"), F.col("reached").alias("tail_at")), ["lang", "tail"])
-        single = single.unionByName(longer.withColumn("start", F.greatest("head_at", "tail_at")).select(single.columns))
-    exact = reduce(Column.__add__, [F.when(F.col("start") < s, F.coalesce(f"at_{s}", F.lit(0))).otherwise(0) for s, _ in counts])
-    judged = single.filter(F.col("start") >= step - shards).withColumn("occurrences", exact.cast("long"))
-    judged = judged.filter((F.col("occurrences") >= threshold) | (F.col("words") == 0))
-    if reached is not None:
-        judged = judged.join(known.withColumnRenamed("reached", "before"), ["lang", "phrase"], "left")
-    else:
-        judged = judged.withColumn("before", F.lit(None).cast("int"))
-    return judged.select(
-        "lang", "words", "phrase", "number", "occurrences",
-        F.when(F.col("before").isNull() & (F.col("words") > 0), F.lit(step)).alias("reached"),
-        (F.col("start") == step - shards).alias("done"),
-    )
-
-
 def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS) -> DataFrame:
     """(lang, words, phrase, occurrences) of all phrases of up to ``LONGEST`` words with that many occurrences.
 
@@ -264,24 +248,42 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
         F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
     )
     texts = stage(texts, "phrase-shards", "shard")
-    counts: list[tuple[int, DataFrame]] = []
-    marked: list[DataFrame] = []
+    cycle: list[DataFrame] = []  # the counts of the last steps, at most one of each shard
     reached, entries, youngest, step = None, 0, 0, 0
     while step < shards or youngest > step - shards:
         step += 1
-        tables = spark.sparkContext.broadcast(_tables(reached, entries, step, shards)) if entries else None
+        tables = spark.sparkContext.broadcast(_tables(reached.filter(_words() < LONGEST), entries, step - shards)) if entries else None
         shard = texts.filter(F.col("shard") == (step - 1) % shards).select("lang", "text")
-        counted = shard.mapInArrow(partial(_counted, singles=step <= shards, tables=tables), _COUNTS)
-        counts = [*counts, (step, stage(counted, f"phrase-counts-{step}"))][-shards:]
-        judged = stage(_judged(counts, reached, step, threshold, shards), f"phrase-steps-{step}")
-        marked.append(judged)
-        new = judged.filter("reached is not null").select("lang", "words", "phrase", "number", "reached")
-        reached = new if reached is None else reached.unionByName(new)
-        found = new.agg(F.count(F.lit(1)), F.max(F.when(F.col("words") < LONGEST, F.col("reached")))).first()
-        entries, youngest = entries + found[0], found[1] or youngest
+        counted = stage(shard.mapInArrow(partial(_stepped, singles=step <= shards, tables=tables), _NUMBERS), f"phrase-counts-{step}")
+        if len(cycle) == shards:
+            discard(cycle.pop(0))
+        cycle.append(counted)
+        before, reached = reached, stage(_reached(cycle, reached, step, threshold), f"phrases-reached-{step}")
+        if before is not None:
+            discard(before)
+        entries, youngest = reached.agg(F.count(F.lit(1)), F.coalesce(F.max(F.when(_words() < LONGEST, F.col("step"))), F.lit(0))).first()
         if tables is not None:
             tables.unpersist()
-    return reduce(DataFrame.unionByName, marked).filter("done").select("lang", "words", "phrase", "occurrences")
+    for counted in cycle:
+        discard(counted)
+    tables = spark.sparkContext.broadcast(_tables(reached, entries, 0))
+    told = texts.select("lang", "text").mapInArrow(partial(_told, tables=tables), _COUNTS)
+    return told.groupBy("lang", "words", "phrase").agg(F.sum("occurrences").alias("occurrences")).filter((F.col("occurrences") >= threshold) | (F.col("words") == 0))
+
+
+def _reached(cycle: list[DataFrame], before: DataFrame | None, step: int, threshold: int) -> DataFrame:
+    """(number, step) of all phrases that the last cycle or one before found often enough, with the first such step."""
+    none = F.lit(None).cast("int")
+    rows = reduce(DataFrame.unionByName, [counted.withColumn("step", none) for counted in cycle])
+    if before is not None:
+        rows = rows.unionByName(before.withColumn("occurrences", F.lit(0).cast("long")))
+    summed = rows.groupBy("number").agg(F.sum("occurrences").alias("occurrences"), F.min("step").alias("step"))
+    often = summed.filter(F.col("step").isNotNull() | (F.col("occurrences") >= threshold))
+    return often.select("number", F.coalesce("step", F.lit(step)).alias("step"))
+
+
+def _words() -> Column:
+    return F.col("number").bitwiseAND(F.lit(7))
 
 
 # --- collocations -----------------------------------------------------------------

@@ -27,6 +27,15 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again."""
+    spark = staged.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in staged.inputFiles()}
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of other than space, tab, line ends; null has none."""
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
