@@ -8,11 +8,12 @@ counted side by side, and the scans end when no phrase that has reached the thre
 than a cycle. Any ``SHARDS`` consecutive steps see every shard once, so their sum never
 exceeds a phrase's true count, and it is that count when the phrase's cycle ends.
 
-In the steps a phrase is a 64-bit number, and a task gives one count for each. A task learns
-what is active from two bit tables (of bounded size) over the phrases that have reached the threshold:
-all of them, and those of the last cycle. What the tables let through by chance is counted too, which
-costs time but changes no result. At the end the phrases found are counted once more by their words,
-which are never written out for any others: that gives the exact counts, whatever two numbers meet.
+A phrase is a 64-bit number (three bits of which are its length) until its count is known, and a
+task gives one count for each. A task learns what is active from two bit tables (of bounded size)
+over the phrases that have reached the threshold: all of them, and those of the last cycle. What the
+tables let through by chance is counted too, which costs time but changes no result. At the end
+the numbers found are told in words: by a part of the texts, in which most of them occur, and
+those still missing by the others.
 
 Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and those into words at spaces
 and tabs. Null texts are empty, a null language is ``und``; every row counts, copies too. A text of
@@ -36,11 +37,13 @@ from blotter.staging import stage
 
 THRESHOLD = 100
 LONGEST = 5
-SHARDS = 3
+SHARDS = 2
+TELLERS = 16  # a part of the texts out of so many tells most phrases
 UNKNOWN = "und"
 WINDOW = 1_000_000  # bytes that are numbered at once
 HELD = 3_000_000  # occurrences that a task holds before it gives their counts, and
 TOLD = 200_000  # phrases that it holds in words
+FEW_LANGUAGES = 10_000  # so many totals are broadcast
 _LEAST_BITS, _MOST_BITS, _BITS_EACH = 20, 27, 32
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -51,7 +54,7 @@ _BREAK[list(BREAKS)] = True
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _NUMBERS = "number long, occurrences long"
-_COUNTS = "lang string, words int, phrase string, occurrences long"
+_TOLD = "number long, lang string, words int, phrase string"
 
 
 # --- one task ---------------------------------------------------------------------
@@ -98,6 +101,11 @@ def numbered(words: np.ndarray, n: int, own: np.uint64) -> np.ndarray:
     return (number & ~np.uint64(7)) | np.uint64(n)
 
 
+def total_number(own: np.uint64) -> np.uint64:
+    """What counts all words of a language."""
+    return own & ~np.uint64(7)
+
+
 def _slots(number: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places in a bit table for each number."""
     one = mixed(number ^ np.uint64(0x2545F4914F6CDD1D))
@@ -156,18 +164,23 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, tuple]
 
 
 def _stepped(batches: Iterator[pa.RecordBatch], singles: bool, tables) -> Iterator[pa.RecordBatch]:
-    """One step over a part of a shard: counts by number."""
+    """One step over a part of a shard: counts by number, among them of all words of a language."""
     tables = None if tables is None else tables.value
-    held, waiting = [], 0
+    held, waiting, totals = [], 0, {}
 
     def counts() -> pa.RecordBatch:
         number, times = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+        number, times = np.append(number, np.array(list(totals), np.uint64)), np.append(times, list(totals.values())).astype(np.int64)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(times.astype(np.int64))], names=["number", "occurrences"])
+        totals.clear()
+        return pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(times)], names=["number", "occurrences"])
 
     for lang, window in _windows_of(batches):
         words, new, own = window[3], window[5], language_number(lang)
-        found = [numbered(words[new:], 1, own)] if singles else []
+        found = []
+        if singles:
+            found.append(numbered(words[new:], 1, own))
+            totals[total_number(own)] = totals.get(total_number(own), 0) + len(words) - new
         if tables is not None:
             found += [number for *_, number in active_phrases(window, own, tables)]
         held += found
@@ -179,33 +192,28 @@ def _stepped(batches: Iterator[pa.RecordBatch], singles: bool, tables) -> Iterat
 
 
 def _told(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
-    """Counts by words of what the table holds; words 0 stands for all words of a language."""
-    reached, _, bits = tables.value
-    counts: dict[tuple[str, int, bytes], int] = {}
+    """What the table holds, in words, each once or a few times a task."""
+    table, _, bits = tables.value
     known: dict[int, tuple[str, int, bytes]] = {}
 
     def given() -> pa.RecordBatch:
-        columns = [[k[0] for k in counts], [k[1] for k in counts], [k[2].decode(errors="replace") for k in counts], list(counts.values())]
-        counts.clear()
+        keys = np.array(list(known), np.uint64).view(np.int64)
+        columns = [keys, [k[0] for k in known.values()], [k[1] for k in known.values()], [k[2].decode(errors="replace") for k in known.values()]]
         known.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "words", "phrase", "occurrences"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()))], names=["number", "lang", "words", "phrase"])
 
     for lang, window in _windows_of(batches):
-        part, first, ends, words, _, new = window
+        part, first, ends, words, piece, _ = window
         own = language_number(lang)
-        counts[lang, 0, b""] = counts.get((lang, 0, b""), 0) + len(words) - new
-        singles = numbered(words, 1, own)
-        phrases = [(1, np.arange(new, len(words)), singles[new:]), *active_phrases(window, own, (reached, reached, bits))]
-        for n, at, number in phrases:
-            good = _holds(reached, _slots(number, bits))
-            each, where, times = np.unique(number[good], return_index=True, return_counts=True)
-            at = at[good][where] if len(each) else at[:0]
-            for value, i, c in zip(each.tolist(), at.tolist(), times.tolist()):
-                key = known.get(value)
-                if key is None:
-                    key = known[value] = (lang, n, b" ".join(part[first[i] : ends[i + n - 1]].split()))
-                counts[key] = counts.get(key, 0) + c
-        if len(counts) >= TOLD:
+        known.setdefault(int(total_number(own)), (lang, 0, b""))
+        for n in range(1, min(LONGEST, len(words)) + 1):
+            number = numbered(words, n, own)
+            at = np.flatnonzero(_holds(table, _slots(number, bits)) & (piece[: len(number)] == piece[n - 1 :]))
+            each, where = np.unique(number[at], return_index=True)
+            for value, i in zip(each.tolist(), at[where].tolist()):
+                if value not in known:
+                    known[value] = (lang, n, b" ".join(part[first[i] : ends[i + n - 1]].split()))
+        if len(known) >= TOLD:
             yield given()
     yield given()
 
@@ -245,14 +253,16 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
     texts = docs.select(
         F.coalesce(named(docs, "lang"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(named(docs, "text"), F.lit("")).alias("text"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    texts = stage(texts, "phrase-shards", "shard")
+    spread = [F.pmod("row", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.floor(F.col("row") / shards), F.lit(TELLERS)).cast("int").alias("teller")]
+    texts = stage(texts.select("lang", "text", *spread[::-1]), "phrase-shards", "shard")
     cycle: list[DataFrame] = []  # the counts of the last steps, at most one of each shard
     reached, entries, youngest, step = None, 0, 0, 0
     while step < shards or youngest > step - shards:
         step += 1
-        tables = spark.sparkContext.broadcast(_tables(reached.filter(_words() < LONGEST), entries, step - shards)) if entries else None
+        longer = reached.filter(_words().between(1, LONGEST - 1)) if entries else None
+        tables = spark.sparkContext.broadcast(_tables(longer, entries, step - shards)) if entries else None
         shard = texts.filter(F.col("shard") == (step - 1) % shards).select("lang", "text")
         counted = stage(shard.mapInArrow(partial(_stepped, singles=step <= shards, tables=tables), _NUMBERS), f"phrase-counts-{step}")
         if len(cycle) == shards:
@@ -261,25 +271,39 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
         before, reached = reached, stage(_reached(cycle, reached, step, threshold), f"phrases-reached-{step}")
         if before is not None:
             discard(before)
-        entries, youngest = reached.agg(F.count(F.lit(1)), F.coalesce(F.max(F.when(_words() < LONGEST, F.col("step"))), F.lit(0))).first()
+        entries, youngest = reached.agg(F.count(F.lit(1)), F.coalesce(F.max(F.when(_words().between(1, LONGEST - 1), F.col("step"))), F.lit(0))).first()
         if tables is not None:
             tables.unpersist()
     for counted in cycle:
         discard(counted)
-    tables = spark.sparkContext.broadcast(_tables(reached, entries, 0))
-    told = texts.select("lang", "text").mapInArrow(partial(_told, tables=tables), _COUNTS)
-    return told.groupBy("lang", "words", "phrase").agg(F.sum("occurrences").alias("occurrences")).filter((F.col("occurrences") >= threshold) | (F.col("words") == 0))
+    in_words = _in_words(texts.filter(F.col("teller") == 0), reached, entries, "phrases-told")
+    missing = stage(reached.join(in_words, "number", "left_anti"), "phrases-missing")
+    others = missing.count()
+    if others:
+        in_words = in_words.unionByName(_in_words(texts.filter(F.col("teller") != 0), missing, others, "phrases-told-late"))
+    return reached.join(in_words, "number").select("lang", "words", "phrase", "occurrences")
+
+
+def _in_words(texts: DataFrame, reached: DataFrame, entries: int, label: str) -> DataFrame:
+    """(number, lang, words, phrase) of the numbers that occur in these texts."""
+    tables = texts.sparkSession.sparkContext.broadcast(_tables(reached, entries, 0))
+    told = texts.select("lang", "text").mapInArrow(partial(_told, tables=tables), _TOLD)
+    one = told.groupBy("number").agg(F.min(F.struct("lang", "words", "phrase")).alias("p")).select("number", "p.*")
+    return stage(one.join(reached.select("number"), "number", "left_semi"), label)
 
 
 def _reached(cycle: list[DataFrame], before: DataFrame | None, step: int, threshold: int) -> DataFrame:
-    """(number, step) of all phrases that the last cycle or one before found often enough, with the first such step."""
-    none = F.lit(None).cast("int")
-    rows = reduce(DataFrame.unionByName, [counted.withColumn("step", none) for counted in cycle])
+    """(number, step, occurrences) of all phrases that the last cycle or one before found often enough.
+
+    ``step`` is the first that did; the largest sum of any cycle is the phrase's count. Totals of
+    languages (of no words) are kept whatever they are.
+    """
+    rows = reduce(DataFrame.unionByName, [counted.select("number", "occurrences", F.lit(None).cast("int").alias("step"), F.lit(0).cast("long").alias("most")) for counted in cycle])
     if before is not None:
-        rows = rows.unionByName(before.withColumn("occurrences", F.lit(0).cast("long")))
-    summed = rows.groupBy("number").agg(F.sum("occurrences").alias("occurrences"), F.min("step").alias("step"))
-    often = summed.filter(F.col("step").isNotNull() | (F.col("occurrences") >= threshold))
-    return often.select("number", F.coalesce("step", F.lit(step)).alias("step"))
+        rows = rows.unionByName(before.select("number", F.lit(0).cast("long").alias("occurrences"), "step", F.col("occurrences").alias("most")))
+    summed = rows.groupBy("number").agg(F.sum("occurrences").alias("now"), F.min("step").alias("step"), F.max("most").alias("most"))
+    often = summed.filter(F.col("step").isNotNull() | (F.col("now") >= threshold) | (_words() == 0))
+    return often.select("number", F.coalesce("step", F.lit(step)).alias("step"), F.greatest("now", "most").alias("occurrences"))
 
 
 def _words() -> Column:
@@ -317,7 +341,8 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, most: int = 2000,
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("right"), F.col("occurrences").alias("r")), ["lang", "right"])
     # Whole-number division of decimals: exact up to 10^17 occurrences.
     product = "cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(16,0))"
-    scored = cuts.join(every, "lang").withColumn("score", F.expr(f"({product}) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"))
+    few = every.count() <= FEW_LANGUAGES
+    scored = cuts.join(F.broadcast(every) if few else every, "lang").withColumn("score", F.expr(f"({product}) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("w")).select("lang", "phrase", "w.a", "w.l", "w.r", "w.n", "w.score")
 
     inner = reduce(DataFrame.unionByName, [longer.filter(F.col("words") == n).select("lang", F.explode(_parts(n)).alias("phrase"), "a") for n in range(3, LONGEST + 1)])
