@@ -24,26 +24,30 @@ def accuracy(counts: DataFrame) -> DataFrame:
     return counts.agg(F.try_divide(right.cast("double"), F.sum("n")).alias("accuracy"))
 
 
-def class_scores(counts: DataFrame) -> DataFrame:
-    """Per class: rows with it, rows predicted as it, hits and F1 (0 for a class never met)."""
+def class_scores(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per class: rows with it, rows predicted as it, hits and F1 (0 for a class never met).
+
+    Counts of several results at once are told apart by the columns ``by``.
+    """
+    by = by or []
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     sides = F.array(
         F.struct(F.col("label").alias("class"), F.col("n").alias("s"), F.lit(0).cast("long").alias("p"), hit.alias("h")),
         F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("s"), F.col("n").alias("p"), F.lit(0).cast("long").alias("h")),
     )
     per_class = (
-        counts.select(F.inline(sides))
-        .groupBy("class")
+        counts.select(*[column(c) for c in by], F.inline(sides))
+        .groupBy(*by, "class")
         .agg(F.sum("s").alias("support"), F.sum("p").alias("predicted"), F.sum("h").alias("hits"))
     )
     f1 = 2.0 * F.col("hits") / (F.col("support") + F.col("predicted"))
     return per_class.withColumn("f1", f1)
 
 
-def weighted_f1(counts: DataFrame) -> DataFrame:
-    """Mean of the F1 of the classes, weighted by how often they occur, in one row."""
-    scored = class_scores(counts)
-    return scored.agg(
+def weighted_f1(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean of the F1 of the classes, weighted by how often they occur, in one row, or in one for each value of ``by``."""
+    scored = class_scores(counts, by)
+    return scored.groupBy(*(by or [])).agg(
         F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1")
     )
 

@@ -9,8 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from blotter.operators.ranking import mark_best
 from blotter.operators.scaling import assemble, standardize
 from blotter.operators.scores import prediction_counts, weighted_f1
 from blotter.operators.splits import with_folds, with_split
+from blotter.plans.depths import counts_by_depth
 from blotter.plans.outcomes import label_attribute
 from blotter.plans.tasks import BEST_MARK, CV_DEPTHS, CV_LEAF_SIZES, SWEEP_GRID, TYPE_FEATURES
 from blotter.schema import KEY
@@ -84,8 +84,9 @@ def param_grid(estimator: DecisionTreeClassifier, depths: list[int], leaf_sizes:
     )
 
 
-def _f1(label: str) -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="f1")
+def _f1_by_depth(model: Model, rows: DataFrame, label: str, depths: list[int]) -> dict[int, float]:
+    scored = weighted_f1(counts_by_depth(model, rows, label, depths), ["depth"])
+    return {r["depth"]: r["f1"] for r in scored.collect()}
 
 
 def cross_validate(
@@ -102,35 +103,36 @@ def cross_validate(
 ) -> Tuned:
     """Mean F1 of every parameter set over folds that depend on the key alone.
 
-    One cross-validator runs the whole grid, so the best tree is trained once more and not
-    once per parameter set. With ``test`` the best tree is judged on those rows too.
+    In each fold one tree is fitted for each leaf size, to the greatest depth, and cut at the others.
+    The best tree is fitted once more on all rows; with ``test`` it is judged on those rows too.
     """
-    estimator = tree(features, label)
-    grid = param_grid(estimator, depths, leaf_sizes)
-    evaluator = _f1(label)
     data = with_folds(df.select(column(key), features, label), [key], folds, seed)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def run(step: tuple[int, int]) -> dict[int, float]:
+        fold, leaf = step
+        model = tree(features, label, maxDepth=max(depths), minInstancesPerNode=leaf).fit(data.filter(F.col("fold") != fold))
+        return _f1_by_depth(model, data.filter(F.col("fold") == fold), label, depths)
+
+    estimator = tree(features, label)
+    points = [(m[estimator.maxDepth], m[estimator.minInstancesPerNode]) for m in param_grid(estimator, depths, leaf_sizes)]
+    steps = [(fold, leaf) for leaf in leaf_sizes for fold in range(folds)]
     try:
-        fitted = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=grid,
-            evaluator=evaluator,
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        ).fit(data)
+        scores = dict(zip(steps, in_threads(run, steps, parallelism)))
+        rows = [
+            (i, float(depth), float(leaf), sum(scores[fold, leaf].get(depth, 0.0) for fold in range(folds)) / folds)
+            for i, (depth, leaf) in enumerate(points)
+        ]
+        _, depth, leaf, _ = max(rows, key=lambda r: (r[3], -r[0]))
+        best = tree(features, label, maxDepth=int(depth), minInstancesPerNode=int(leaf)).fit(data)
     finally:
         data.unpersist()
-    rows = [
-        (i, float(m[estimator.maxDepth]), float(m[estimator.minInstancesPerNode]), float(f1))
-        for i, (m, f1) in enumerate(zip(grid, fitted.avgMetrics))
-    ]
     table = df.sparkSession.createDataFrame(
         rows, "seq int, max_depth double, minInstancesPerNode double, avg_f1 double"
     )
     marked = mark_best(table, "avg_f1", "seq", "bestModel", float(BEST_MARK)).orderBy("seq").drop("seq")
-    test_f1 = None if test is None else evaluator.evaluate(fitted.bestModel.transform(test))
-    return Tuned(marked, fitted.bestModel, test_f1)
+    test_f1 = None if test is None else weighted_f1(prediction_counts(best.transform(test), label)).first()["f1"]
+    return Tuned(marked, best, test_f1)
 
 
 def tune_type(
@@ -161,22 +163,26 @@ def sweep(
     features: str = FEATURES,
     label: str = LABEL,
 ) -> Tuned:
-    """F1 on the training and on the test rows for every (depth, leaf size); the best test F1 is marked."""
+    """F1 on the training and on the test rows for every (depth, leaf size); the best test F1 is marked.
 
-    def f1_of(model: Model, rows: DataFrame) -> float:
-        return weighted_f1(prediction_counts(model.transform(rows), label)).first()["f1"]
+    One tree is fitted for each leaf size, to its greatest depth, and cut at its other depths.
+    """
+    by_leaf: dict[int, list[int]] = {}
+    for depth, leaf in grid:
+        by_leaf.setdefault(leaf, []).append(depth)
 
-    def run(step: tuple[int, tuple[int, int]]) -> tuple:
-        seq, (depth, leaf) = step
-        model = tree(features, label, maxDepth=depth, minInstancesPerNode=leaf).fit(train)
-        return seq, depth, leaf, f1_of(model, train), f1_of(model, test)
+    def run(step: tuple[int, list[int]]) -> tuple[dict[int, float], dict[int, float]]:
+        leaf, depths = step
+        model = tree(features, label, maxDepth=max(depths), minInstancesPerNode=leaf).fit(train)
+        return _f1_by_depth(model, train, label, depths), _f1_by_depth(model, test, label, depths)
 
     train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = in_threads(run, list(enumerate(grid)), parallelism)
+        scores = dict(zip(by_leaf, in_threads(run, list(by_leaf.items()), parallelism)))
     finally:
         train.unpersist()
         test.unpersist()
+    rows = [(i, depth, leaf, *(of.get(depth) for of in scores[leaf])) for i, (depth, leaf) in enumerate(grid)]
     table = train.sparkSession.createDataFrame(
         rows,
         "seq int, max_depth int, minInstancesPerNode int, `training f1` double, `testing f1` double",

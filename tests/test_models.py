@@ -1,11 +1,14 @@
 import random
 
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from blotter.operators import charts, scores
 from blotter.operators.scaling import assemble
 from blotter.operators.splits import train_test_split
+from blotter.plans.depths import counts_by_depth
 from blotter.plans.outcomes import Forest, Settings, train_outcome
 from blotter.plans.tasks import BEST_MARK, CV_DEPTHS, CV_LEAF_SIZES, SWEEP_GRID, TASKS, TYPE_FEATURES, Task
 from blotter.plans.tuning import cross_validate, param_grid, sweep, tree, tune_type, type_features
@@ -150,7 +153,7 @@ def test_forest_beats_the_majority(separable, components, options):
     assert named == 0
 
 
-def test_grid_order():
+def test_grid_order(spark):
     estimator = tree()
     grid = param_grid(estimator, [30, 25], [3, 5])
     assert [(m[estimator.maxDepth], m[estimator.minInstancesPerNode]) for m in grid] == [(30, 3), (30, 5), (25, 3), (25, 5)]
@@ -185,6 +188,37 @@ def test_sweep(ready):
     assert best["Best Model"] == BEST_MARK and rows[0]["training f1"] < best["training f1"]
 
 
+def test_one_tree_for_all_depths(spark, monkeypatch):
+    """A tree cut at a depth says what the tree fitted to that depth says, row counts and F1 alike."""
+    rnd = random.Random(9)
+    rows = [(i, float(rnd.randrange(8)), float(rnd.randrange(6)), float(rnd.randrange(20))) for i in range(1500)]
+    df = spark.createDataFrame([(*r, float((r[1] * r[2] + r[3] // 7 + (rnd.random() < 0.2)) % 3)) for r in rows], "ID long, a double, b double, c double, i_type double")
+    ready = assemble(df, ["a", "b", "c"], "scaledFeatures").select("ID", "scaledFeatures", "i_type")
+    train, test = train_test_split(ready, ["ID"], 30, 1234)
+    depths = [0, 3, 30]
+    deep = tree(maxDepth=30, minInstancesPerNode=4).fit(train)
+    counted = counts_by_depth(deep, test, "i_type", depths).collect()
+    for depth in depths:
+        alone = tree(maxDepth=depth, minInstancesPerNode=4).fit(train)
+        own = {tuple(r) for r in scores.prediction_counts(alone.transform(test), "i_type").collect()}
+        assert {(r.label, r.prediction, r.n) for r in counted if r.depth == depth} == own
+    fits = []
+    fit = DecisionTreeClassifier.fit
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", lambda self, *a: fits.append(self.getMaxDepth()) or fit(self, *a))
+    points = [(2, 1), (4, 6), (5, 1)]
+    swept = sweep(train, test, points, parallelism=1).results.collect()
+    assert sorted(fits) == [4, 5]
+    evaluator = MulticlassClassificationEvaluator(labelCol="i_type", metricName="f1")
+    for r, (depth, leaf) in zip(swept, points):
+        alone = fit(tree(maxDepth=depth, minInstancesPerNode=leaf), train)
+        assert (r.max_depth, r.minInstancesPerNode) == (depth, leaf)
+        assert r["training f1"] == pytest.approx(evaluator.evaluate(alone.transform(train)), abs=1e-12)
+        assert r["testing f1"] == pytest.approx(evaluator.evaluate(alone.transform(test)), abs=1e-12)
+    fits.clear()
+    cross_validate(train, depths=[6, 2], leaf_sizes=[1, 5], folds=3, parallelism=1)
+    assert len(fits) == 2 * 3 + 1
+
+
 def test_tune_type_fits_on_training_rows(spark):
     i = F.col("id")
     df = spark.range(400).select(
