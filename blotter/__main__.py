@@ -36,7 +36,8 @@ def encode(spark, args) -> None:
 
 def batches(spark, args) -> None:
     """Cut a table into files of a fixed number of rows."""
-    export_batches(spark, args.input, args.output, [args.key], args.size, args.index, args.flat)
+    keys = None if args.source_order else [args.key]
+    export_batches(spark, args.input, args.output, keys, args.size, args.index, args.flat)
 
 
 def report(spark, args) -> None:
@@ -98,6 +99,7 @@ def parser() -> argparse.ArgumentParser:
         if job is batches:
             one.add_argument("--size", type=int, default=30_000)
             one.add_argument("--index", action="store_true")
+            one.add_argument("--source-order", action="store_true", help="rows as they stand in the files, not by key")
             one.add_argument("--flat", action="store_true", help="files Batch_<n>.csv instead of folders")
         if job is outcome:
             one.add_argument("--task", choices=sorted(TASKS), required=True)

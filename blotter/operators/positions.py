@@ -68,6 +68,34 @@ def with_position(
     )
 
 
+def with_source_position(df: DataFrame, position: str = "position", label: str = "source") -> DataFrame:
+    """Add the 0-based position of each row in the files ``df`` is read from: by file name, then as they stand in it.
+
+    Nothing is sorted or exchanged. A block is what one task reads of one file, whose rows come in
+    order; what precedes it is known from the blocks' row counts, one number for each.
+    """
+    if "_metadata" in df.columns:
+        raise ValueError("the column _metadata hides where the rows are read from")
+    file, start, number = "__file", "__start", "__number"
+    read = df.select(
+        "*",
+        F.col("_metadata.file_path").alias(file),
+        F.col("_metadata.file_block_start").alias(start),
+        F.monotonically_increasing_id().alias(number),
+    )
+    # Written once, so that counting and numbering see the same rows in the same blocks.
+    staged = stage(read, label)
+    blocks = staged.groupBy(file, start).agg(F.count(F.lit(1)).alias("__rows"), F.min(number).alias("__first"))
+    earlier = Window.orderBy(file, start).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
+    offset = _fetched(blocks.select(file, start, (before - F.col("__first")).alias("__offset")))
+    return (
+        staged.join(offset, [file, start])
+        .withColumn(position, F.col("__offset") + F.col(number))
+        .select(*[column(c) for c in df.columns], position)
+    )
+
+
 def with_running_totals(
     df: DataFrame, order: list[Column], sums: dict[str, Column], label: str = "running"
 ) -> DataFrame:

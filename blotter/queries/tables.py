@@ -110,6 +110,22 @@ def s5_export_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_incidents(spark, path, schema).withColumnsRenamed({"Batch": "batch", "index": "position"})
 
 
+@query(
+    "s5_source_order",
+    f"""
+    select cast(floor((row_number() over (order by o_totalprice desc, o_orderkey) - 1) / {BATCH_SIZE}) + 1 as integer) as batch,
+           row_number() over (order by o_totalprice desc, o_orderkey) - 1 as position, o_orderkey, o_totalprice
+    from orders""",
+)
+def s5_source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are sorted by price are cut as they stand, whatever their keys."""
+    source, path = fresh_path(spark, "by-price"), fresh_path(spark, "batches")
+    write_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey"), source)
+    export_batches(spark, source, path, size=BATCH_SIZE, index=True)
+    read = read_incidents(spark, path, "index long, o_orderkey long, o_totalprice double, Batch int")
+    return read.withColumnsRenamed({"Batch": "batch", "index": "position"})
+
+
 @query(
     "s5_batch_numbers",
     """

@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.functions.names import column
-from blotter.operators.positions import with_position
+from blotter.operators.positions import with_position, with_source_position
 from blotter.sources.tables import as_csv_columns, read_table
 
 
 def with_batches(
-    df: DataFrame, keys: list[str | Column], size: int = 30_000, name: str = "Batch"
+    df: DataFrame, keys: list[str | Column] | None, size: int = 30_000, name: str = "Batch"
 ) -> DataFrame:
-    """Add the 1-based batch number of each row: ``size`` rows per batch in key order, the last may be short.
+    """Add the 1-based batch number of each row: ``size`` rows per batch, the last may be short.
 
-    Rows with equal keys are ordered by their content and full copies by where they stand in
+    Without ``keys`` rows stand as in the files they are read from, the files by name; nothing
+    is sorted then. With keys they stand in key order. Rows with equal keys are ordered by their content and full copies by where they stand in
     the input, so a key that fills much of the table is still spread over many tasks. The input
     should be a table read from files: those come in the same order when a task is repeated.
     """
+    if not keys:
+        return _cut(with_source_position(df, "__position", "batches"), size, name)
     content, place = "__content", "__place"
     told_apart = df.withColumns(
         {content: F.xxhash64(*[column(c) for c in df.columns]), place: F.monotonically_increasing_id()}
@@ -27,6 +30,10 @@ def with_batches(
     placed = with_position(
         told_apart, [*order, F.col(content), F.col(place)], "__position", "batches"
     ).drop(content, place)
+    return _cut(placed, size, name)
+
+
+def _cut(placed: DataFrame, size: int, name: str) -> DataFrame:
     return placed.withColumn(name, F.floor(F.col("__position") / size).cast("long") + 1)
 
 
@@ -34,7 +41,7 @@ def export_batches(
     spark: SparkSession,
     src: str | DataFrame,
     dst: str,
-    keys: list[str],
+    keys: list[str] | None = None,
     size: int = 30_000,
     index: bool = False,
     flat: bool = False,
@@ -44,14 +51,15 @@ def export_batches(
     Read back as a table, the folders' number is a column. With ``flat`` the files are named
     ``Batch_1.csv`` .. ``Batch_n.csv`` instead and the folders go.
 
-    A file is taken over as the text it is, ordered by number where its keys are numbers. With
+    Without ``keys`` rows keep the order of their source. A file is taken over as the text it is,
+    with keys ordered by number where they are numbers. With
     ``index`` the 0-based position of each row is written as first column.
     """
     if isinstance(src, str):
         df = read_table(spark, src, infer=False)
-        order = [c for k in keys for c in (column(k).try_cast("double"), column(k))]
+        order = [c for k in keys or [] for c in (column(k).try_cast("double"), column(k))]
     else:
-        df, order = src, list(keys)
+        df, order = src, list(keys or [])
     batched = with_batches(as_csv_columns(df), order, size)
     data = [column(c) for c in df.columns]
     if index:

@@ -8,6 +8,7 @@ from blotter.operators.columns import schema_rows, to_canonical
 from blotter.operators.filters import drop_incomplete
 from blotter.plans.tables import clean, encode, write_canonical
 from blotter.schema import INCIDENT_FIELDS
+from blotter.operators.positions import with_source_position
 from blotter.sources import export_batches, read_incidents, read_table, with_batches, write_results, write_table
 
 
@@ -113,6 +114,31 @@ def test_batches_from_a_file(spark, incident_csv, tmp_path):
     assert [(r["index"], r["ID"]) for r in rows] == [("4", "5"), ("5", "6")]
 
 
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_batches_in_source_order(spark, tmp_path, kind):
+    """Several files, each read in several splits, with repeated rows and an empty file."""
+    path, rows = str(tmp_path / "rows"), []
+    for i in range(4):
+        part = [((i * 7919 + j * 104729) % 1000, f"row {i} {j % 5}" * 9) for j in range(0 if i == 2 else 900)]
+        rows += part
+        df = spark.createDataFrame(part, "k int, v string").coalesce(1)
+        getattr(df.write.mode("append").option("header", "true").option("parquet.block.size", 1 << 14), kind)(f"{path}/{i}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 13)
+    try:
+        read = spark.read.option("recursiveFileLookup", "true").option("header", "true").schema("k int, v string")
+        df = getattr(read, kind)(path)
+        assert df.rdd.getNumPartitions() >= 4
+        placed = with_batches(df, None, 500).orderBy("__position").collect()
+        assert [(r["k"], r["v"]) for r in placed] == rows
+        assert [r["__position"] for r in placed] == list(range(len(rows)))
+        assert [r["Batch"] for r in placed] == [i // 500 + 1 for i in range(len(rows))]
+        some = with_source_position(df.filter("k % 2 = 0").select("v"), "at").orderBy("at")
+        assert [r["v"] for r in some.collect()] == [v for k, v in rows if k % 2 == 0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_batches_in_plain_files(spark, incident_csv, tmp_path):
     export_batches(spark, incident_csv, str(tmp_path / "b"), ["ID"], 4, flat=True)
     assert sorted(p.name for p in (tmp_path / "b").iterdir() if not p.name.startswith((".", "_"))) == ["Batch_1.csv", "Batch_2.csv"]
