@@ -5,10 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from blotter.functions.dates import hour_of
 from blotter.functions.names import column, index_name
 from blotter.operators.filters import drop_null_keys
 from blotter.operators.indexing import FrequencyIndexer, FrequencyIndexModel, decode
+from blotter.operators.moments import Moments
 from blotter.operators.scaling import PopulationScaler
 from blotter.operators.charts import confusion_heatmap, roc_chart
 from blotter.operators.scores import accuracy, area, confusion_matrix, curve, prediction_counts, ranked_scores
@@ -62,6 +61,8 @@ class Settings:
     for inputs that give the answer away. ``numeric`` takes columns as the numbers they are, not
     by frequency rank; a value that is no number, or missing, counts as the mean of the training
     rows. ``rescale`` scales the features once more by the training rows, which trees do not need.
+    ``explained`` takes, for tasks with components, as many as explain more than that share of the
+    variance instead of the task's fixed number.
     """
 
     key: str = KEY
@@ -71,6 +72,7 @@ class Settings:
     exclude: tuple[str, ...] = ()
     numeric: tuple[str, ...] = ()
     rescale: bool = False
+    explained: float | None = None
     labelled_rows: int | None = None
     forest: Forest = field(default_factory=Forest)
 
@@ -164,19 +166,17 @@ def train_outcome(df: DataFrame, task: Task, settings: Settings = Settings()) ->
     inputs = [index_name(f) for f in task.features if f not in settings.exclude]
     in_training = ~F.col("is_test")
 
-    steps = [
-        VectorAssembler(inputCols=inputs, outputCol="features"),
-        StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True, withStd=True),
-    ]
-    vector = "scaled_features"
-    if task.components:
-        steps.append(PCA(k=task.components, inputCol=vector, outputCol="pcaFeatures"))
-        vector = "pcaFeatures"
-    prepared = Pipeline(stages=steps).fit(ready.filter(in_training))
-    explained = (
-        [float(v) for v in prepared.stages[-1].explainedVariance.toArray()] if task.components else []
-    )
-    featured = prepared.transform(ready)
+    # One pass over the training rows gives scales and components; a row is scaled and turned in one go.
+    moments = Moments.fit(ready.filter(in_training), inputs)
+    components, k = moments.components(), task.components
+    if k and settings.explained is not None:
+        k = components.enough(settings.explained)
+    if k:
+        vector, explained = "pcaFeatures", [float(v) for v in components.explained[:k]]
+        featured = components.first(k).transform(ready, vector)
+    else:
+        vector, explained = "scaled_features", []
+        featured = ready.withColumn(vector, array_to_vector(F.array(*moments.scaled([column(c) for c in inputs]))))
     if settings.rescale:
         scaler = PopulationScaler.fit(featured.filter(in_training), vector)
         featured = scaler.transform(featured, vector, "rescaled_features")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from blotter.functions.names import column
 from blotter.operators.columns import cast_columns, drop_columns, vector_elements
-from blotter.operators.scaling import Components, assemble, fit_components, standardize
+from blotter.operators.moments import Moments, Turned
 from blotter.schema import KEY, PROJECTION_CASTS, PROJECTION_DROPS
 from blotter.staging import stage
 
@@ -18,7 +18,7 @@ class Projection:
     """``points (key, pca1, pca2)`` and the components they come from."""
 
     points: DataFrame
-    components: Components
+    components: Turned
 
 
 def project(
@@ -33,7 +33,7 @@ def project(
     # Whatever a file's types were, coordinates written as text included, features are numbers.
     texts = [f.name for f in left.schema.fields if f.name in features and f.dataType.simpleString() == "string"]
     numbers = stage(cast_columns(left, list(dict.fromkeys([*casts, *texts]))), "projection")
-    scaled = standardize(assemble(numbers, features))
-    components = fit_components(scaled, 2)
-    points = vector_elements(components.transform(scaled), "pcaFeatures", ["pca1", "pca2"])
+    components = Moments.fit(numbers, features).components().first(2)
+    turned = components.transform(numbers)
+    points = vector_elements(turned, "pcaFeatures", ["pca1", "pca2"])
     return Projection(points.select(column(key), "pca1", "pca2"), components)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from blotter.operators import scaling, splits
 from blotter.operators.columns import vector_elements
 from blotter.operators.counts import correlations
 from blotter.operators.indexing import FrequencyIndexer, decode
+from blotter.operators.moments import Moments
 from blotter.plans.projection import project
 from blotter.plans.tables import clean, encode
 from blotter.plans.tasks import TYPE_FEATURES
@@ -218,6 +221,56 @@ def x9_choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "threshold double, k int")
 
 
+@query(
+    "x7_one_pass",
+    f"""select row_id, round((z1 + sign(r) * z2) / sqrt(2), 4) + 0.0 as pca1,
+               round((z1 - sign(r) * z2) / sqrt(2), 4) + 0.0 as pca2 from ({PAIR_SQL})""",
+)
+def x7_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scales and components from one row of aggregates."""
+    df = table(spark, sf_dir, "lineitem").withColumn("row_id", F.expr(ROW_ID))
+    reduced = Moments.fit(df, PAIR).components().first(2).transform(df).select("row_id", "pcaFeatures")
+    names = ["pca1", "pca2"]
+    return _rounded(vector_elements(reduced, "pcaFeatures", names).drop("pcaFeatures"), names, 4)
+
+
+@query(
+    "a9_a10_one_pass",
+    "select a, b, round(mean, 5) as mean, round(std, 5) as std, round(r, 5) as r from ("
+    + " union all ".join(
+        f"select '{a}' as a, '{b}' as b, avg({a}) as mean, stddev_samp({a}) as std, corr({a}, {b}) as r from lineitem"
+        for i, a in enumerate(MEASURES)
+        for b in MEASURES[i:]
+    )
+    + ")",
+)
+def a9_a10_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations with mean and deviation of the first column; halves of the table are merged."""
+    df = table(spark, sf_dir, "lineitem")
+    halves = [Moments.fit(df.filter(F.col("l_linenumber") % 2 == i), MEASURES) for i in (0, 1)]
+    whole = halves[0].merged(halves[1])
+    described = whole.described(spark).withColumnRenamed("feature", "a")
+    return _rounded(whole.correlated(spark).join(described, "a").select("a", "b", "mean", "std", "r"), ["mean", "std", "r"], 5)
+
+
+@query(
+    "x9_explained_components",
+    """with c as (select abs(corr(l_quantity, l_extendedprice)) as r from lineitem)
+       select t.threshold, case when (1 + r) / 2 > t.threshold then 1 else 2 end as k, case when (1 + r) / 2 > t.threshold then 1 else 2 end as width
+       from c, (values (0.4::double), (0.9::double), (0.999999::double)) t(threshold)""",
+)
+def x9_explained_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many components as explain the share: their number, and the width of the vectors made with it."""
+    df = table(spark, sf_dir, "lineitem")
+    turned = Moments.fit(df, ["l_quantity", "l_extendedprice"]).components()
+    rows = [(t, turned.enough(t)) for t in (0.4, 0.9, 0.999999)]
+    wide = [
+        turned.first(k).transform(df).agg(F.lit(t).alias("threshold"), F.lit(k).alias("k"), F.max(F.size(vector_to_array("pcaFeatures"))).alias("width"))
+        for t, k in rows
+    ]
+    return reduce(DataFrame.unionByName, wide)
+
+
 @query("projection")
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole view: clean, encode, drop, cast, scale and reduce to two components."""

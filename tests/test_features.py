@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from blotter.operators import indexing, scaling, splits, vocabulary
 from blotter.operators.columns import cast_columns, vector_elements
 from blotter.operators.indexing import FrequencyIndexer, decode
+from blotter.operators.moments import Moments
 from blotter.operators.positions import with_position, with_running_totals
 from blotter.plans.projection import project
 
@@ -193,3 +195,31 @@ def test_splits_do_not_depend_on_partitioning(spark):
     assert ids != {r.id for r in splits.train_test_split(df, ["id"], 25, seed=7)[1].collect()}
     folds = splits.with_folds(df, ["id"]).groupBy("fold").count().collect()
     assert sorted(r.fold for r in folds) == [0, 1, 2, 3, 4] and min(r["count"] for r in folds) > 1400
+
+
+def test_moments_of_one_pass(spark):
+    """Against the scaler and the components that each read all rows; merged parts equal the whole."""
+    rnd = random.Random(4)
+    rows = [(rnd.gauss(1e6, 2), rnd.gauss(0, 1), 7.0, rnd.random()) for _ in range(400)]
+    rows = [(a, a * 0.3 + b, c, d) for a, b, c, d in rows]
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0, 3.0)], "`a.x` double, b double, c double, d double")
+    names = ["a.x", "b", "c", "d"]
+    found = Moments.fit(df, names)
+    assert found.n == 400
+    scaled = scaling.standardize(scaling.assemble(df.toDF("a", "b", "c", "d").dropna(), ["a", "b", "c", "d"]))
+    fitted = scaling.fit_components(scaled, 3)
+    expected = vector_elements(fitted.transform(scaled), "pcaFeatures", ["p", "q", "r"]).orderBy("d").collect()
+    turned = found.components().first(3)
+    points = vector_elements(turned.transform(df.filter("`a.x` is not null")), "pcaFeatures", ["p", "q", "r"]).orderBy("d").collect()
+    for x, y in zip(expected, points):
+        assert [x.p, x.q, x.r] == pytest.approx([y.p, y.q, y.r], abs=1e-6)
+    assert list(turned.explained) == pytest.approx(fitted.explained, abs=1e-9)
+    assert found.components().enough(0.9) == scaling.choose_k(scaled, 0.9)
+    parts = [Moments.fit(df.filter(f"d {side} 0.3"), names) for side in ("<", ">=")]
+    merged = parts[0].merged(parts[1])
+    assert merged.n == found.n and merged.means == pytest.approx(found.means)
+    assert merged.covariances == pytest.approx(found.covariances, rel=1e-6, abs=1e-9)
+    assert {r.feature: r.std for r in merged.described(spark).collect()}["c"] == pytest.approx(0.0, abs=1e-9)
+    assert {(r.a, r.b): r.r for r in found.correlated(spark).collect()}["c", "d"] is None
+    with pytest.raises(ValueError):
+        Moments.fit(df.filter("false"), names)
