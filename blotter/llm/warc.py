@@ -4,8 +4,9 @@ An archive is a folder of files of gzip members, one for each record. A member's
 the member's length in an extra field, which any gzip reader passes over; this reader first
 decompresses only as far as the record's headers go, and skips the member if the pushed filters
 do not want the record, or nobody wants its payload. Files are bounded by the writer; each is a
-partition. A write lists its files only when all tasks have ended, so files of lost or repeated
-task attempts are never read. Paths may be any that ``pyarrow.fs`` opens, local or ``file:``,
+partition. A write lists its files, in a list of its own, only when all tasks have ended, so files
+of lost or repeated task attempts are never read, and what was written before stays; mode
+``overwrite`` removes the lists before. Paths may be any that ``pyarrow.fs`` opens, local or ``file:``,
 ``hdfs:``, ``s3:`` and ``gs:``.
 """
 
@@ -44,13 +45,18 @@ _DATE = "1970-01-01T00:00:00Z"  # pages have no date of their own
 _HEADER = "<4sIBBHccHQ"  # magic and flags, time, 2 bytes, length of the extra field, its two letters and length, member length
 _HEADER_BYTES = struct.calcsize(_HEADER)
 _HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest")
-_LIST = "_files.json"
+_LIST, _LIST_END = "_files", ".json"  # names of the lists, one for each write
 
 
 def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if ":" in path else (pyarrow.fs.LocalFileSystem(), path)
 
 
+def _lists(store: pyarrow.fs.FileSystem, root: str) -> list[str]:
+    found = store.get_file_info(pyarrow.fs.FileSelector(root))
+    return sorted(f.path for f in found if f.base_name.startswith(_LIST) and f.base_name.endswith(_LIST_END))
+
+
 def member(data: bytes) -> bytes:
     """One gzip member that tells its own length."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -95,8 +101,8 @@ def _named_record(value: str | None) -> str | None:
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, overwrite: bool = False):
+        self.path, self.file_bytes, self.overwrite = path, file_bytes, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _opened(self.path)
@@ -121,8 +127,11 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         store, root = _opened(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{_LIST}") as out:
+        before = _lists(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{_LIST}-{uuid.uuid4().hex}{_LIST_END}") as out:
             out.write(json.dumps(sorted(f for m in messages if m is not None for f in m.files)).encode())
+        for listed in before:
+            store.delete_file(listed)
 
     def abort(self, messages) -> None:
         """Files that no list names are not read."""
@@ -147,8 +156,11 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         store, root = _opened(self.path)
-        with store.open_input_stream(f"{root}/{_LIST}") as listed:
-            return [InputPartition(f"{root}/{name}") for name, size in json.loads(listed.read()) if size] or [InputPartition("")]
+        names = []
+        for path in _lists(store, root):
+            with store.open_input_stream(path) as listed:
+                names += [name for name, size in json.loads(listed.read()) if size]
+        return [InputPartition(f"{root}/{name}") for name in names] or [InputPartition("")]
 
     def _takes(self, row: dict) -> bool:
         return all(row[c] in values for c, values in self.wanted.items()) and all((row[c] or "").startswith(p) and row[c] is not None for c, p in self.prefixes.items())
@@ -214,7 +226,7 @@ class WarcSource(DataSource):
         return _Reader(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)))
+        return _Writer(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -255,7 +267,7 @@ def records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
 
 def write_archive(pages: DataFrame, path: str, **columns) -> None:
-    """Write the pages' records as an archive below ``path``."""
+    """Write the pages' records below ``path``, beside those of earlier writes, which they do not revisit."""
     register(pages.sparkSession)
     store, root = _opened(path)
     store.create_dir(root, recursive=True)

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from blotter.llm.warc import read_archive, write_archive
+from blotter.llm.warc import read_archive, records, write_archive
 
 FIELDS = "page_id long, url string, html string, record_type string"
 
@@ -51,3 +51,14 @@ def test_files_are_plain_gzip_and_may_be_empty(spark, tmp_path):
     assert text.count(b"WARC/1.1\r\n") == len(ROWS)
     empty = write(spark, tmp_path / "none", [])
     assert read_archive(spark, empty).count() == 0
+
+
+def test_writing_again_keeps_what_was_written(spark, tmp_path):
+    path = write(spark, tmp_path, ROWS)
+    (tmp_path / "archive" / "lost-attempt.warc.gz").write_bytes(b"not listed")
+    write(spark, tmp_path, [(100, "new", "a page"), (101, "new", "x" * 200), (102, "new", "x" * 200)])
+    found = read_archive(spark, path).collect()
+    assert sorted(r.record_id or "" for r in found) == sorted([*("" if r[0] is None else str(r[0]) for r in ROWS), "100", "101", "102"])
+    assert {r.record_id for r in found if r.record_type == "revisit"} == {"7", "9", None, "102"}
+    records(spark.createDataFrame([(5, "u", "only this", "clash")], FIELDS)).write.format("warc").mode("overwrite").save(path)
+    assert [r.record_id for r in read_archive(spark, path).collect()] == ["5"]
