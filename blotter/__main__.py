@@ -54,11 +54,25 @@ def project(spark, args) -> None:
 
 
 def outcome(spark, args) -> None:
-    """Train one of the prediction tasks; writes the predictions of the test rows."""
+    """Train one of the prediction tasks; writes the predictions of the test rows, and with --charts the tables of its charts."""
     forest = outcomes.Forest(trees=args.trees, depth=args.depth)
-    settings = outcomes.Settings(key=args.key, fit_on=args.fit_on, exclude=tuple(args.exclude), forest=forest)
+    settings = outcomes.Settings(
+        key=args.key,
+        fit_on=args.fit_on,
+        exclude=tuple(args.exclude),
+        numeric=tuple(args.numeric),
+        rescale=args.rescale,
+        explained=args.explained,
+        labelled_rows=args.labelled_rows,
+        forest=forest,
+    )
     found = outcomes.train_outcome(_incidents(spark, args), TASKS[args.task], settings)
     write_table(found.predictions, args.output)
+    if args.charts:
+        for name, table in {"confusion": found.confusion(), **found.charts()}.items():
+            write_results(table, f"{args.charts}/{name}")
+    if found.explained:
+        print(f"Explained variance: {sum(found.explained):.4f} by {len(found.explained)} components")
     # Both are null where no test row allows them.
     share = found.accuracy().select(as_percentage(F.col("accuracy"))).first()[0]
     print(f"Accuracy: {share}%")
@@ -106,6 +120,11 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--trees", type=int, default=100)
             one.add_argument("--depth", type=int, default=30)
             one.add_argument("--exclude", nargs="*", default=[])
+            one.add_argument("--numeric", nargs="*", default=[], help="columns taken as the numbers they are")
+            one.add_argument("--rescale", action="store_true")
+            one.add_argument("--explained", type=float, help="as many components as explain more than this share")
+            one.add_argument("--labelled-rows", type=int, help="about so many rows to fit the trees on; default: all")
+            one.add_argument("--charts", help="folder for the confusion matrix, its heat map and the ROC chart")
         if job in (tune, sweep):
             one.add_argument("--parallelism", type=int, default=2)
         if job in (outcome, tune):

@@ -96,6 +96,26 @@ def with_source_position(df: DataFrame, position: str = "position", label: str =
     )
 
 
+def with_next(df: DataFrame, order: list[Column], names: list[str], label: str = "next") -> DataFrame:
+    """Add ``next_<name>`` of the named columns: their values in the row that follows, null after the last row.
+
+    Only the first row of each block is exchanged, with the block before it.
+    """
+    blocks = in_blocks(df, order, label)
+    one_on = Window.orderBy(_BLOCK)
+    firsts = blocks.filter(F.col(_ROW) == 0).select(
+        F.lag(_BLOCK).over(one_on).alias(_BLOCK), *[column(c).alias(f"__after_{c}") for c in names]
+    )
+    after = _fetched(firsts.filter(F.col(_BLOCK).isNotNull()))
+    within = Window.partitionBy(_BLOCK).orderBy(_ROW)
+    last = "__last"
+    led = blocks.select(
+        "*", F.lead(_ROW).over(within).isNull().alias(last), *[F.lead(column(c)).over(within).alias(f"__lead_{c}") for c in names]
+    )
+    following = [F.when(F.col(last), column(f"__after_{c}")).otherwise(column(f"__lead_{c}")).alias(f"next_{c}") for c in names]
+    return led.join(after, _BLOCK, "left").select(*[column(c) for c in df.columns], *following)
+
+
 def with_running_totals(
     df: DataFrame, order: list[Column], sums: dict[str, Column], label: str = "running"
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blotter.functions.names import column
-from blotter.operators.positions import with_running_totals
+from blotter.operators.positions import with_next, with_running_totals
 
 
 def prediction_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -113,6 +113,17 @@ def curve(ranked: DataFrame) -> DataFrame:
     )
 
 
+def corners(ranked: DataFrame) -> DataFrame:
+    """The ranked scores without those at which the curve goes on as it came: same step of both counts as the next.
+
+    The first and the last stay, so the area under the points that are left is the same.
+    """
+    steps = with_next(ranked, [F.desc("score")], ["pos", "neg"], "corners")
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    turns = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    return steps.filter(first | F.col("next_pos").isNull() | turns).drop("next_pos", "next_neg")
+
+
 def area(ranked: DataFrame) -> DataFrame:
     """Area under the ROC curve by trapezoids, in one row; null where a class has no rows."""
     # Sums of products of two row counts outgrow 64 bits, hence doubles.
@@ -121,8 +132,12 @@ def area(ranked: DataFrame) -> DataFrame:
     return ranked.agg(F.try_divide(F.sum(strip), whole).alias("auc"))
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
-    return curve(ranked_scores(df, label, score, positive))
+def roc_points(
+    df: DataFrame, label: str = "label", score: str = "score", positive=1, drop_collinear: bool = False
+) -> DataFrame:
+    """The curve at all scores, or with ``drop_collinear`` at those where it turns."""
+    ranked = ranked_scores(df, label, score, positive)
+    return curve(corners(ranked) if drop_collinear else ranked)
 
 
 def roc_area(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:

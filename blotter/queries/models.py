@@ -74,6 +74,21 @@ def e4_roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.select(F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"), "threshold")
 
 
+@query(
+    "e4_roc_corners",
+    ROC_SQL
+    + """, d as (select *, fpr - lag(fpr) over w as dx, tpr - lag(tpr) over w as dy,
+                  lead(fpr) over w - fpr as nx, lead(tpr) over w - tpr as ny, row_number() over w as i
+                from p window w as (order by threshold desc nulls first))
+        select round(fpr, 9) as fpr, round(tpr, 9) as tpr, threshold from d
+        where i <= 2 or nx is null or abs(nx - dx) > 1e-12 or abs(ny - dy) > 1e-12""",
+)
+def e4_roc_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve without the scores at which it goes straight on."""
+    curve = scores.roc_points(scored(spark, sf_dir), drop_collinear=True)
+    return curve.select(F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"), "threshold")
+
+
 @query(
     "e5_roc_area_of_class",
     f"""with s as (select label, round(o_totalprice / 500000, 2) as score from ({JUDGED_SQL}) join orders using (o_orderkey)),

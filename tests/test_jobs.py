@@ -41,10 +41,14 @@ def test_outcome(spark, tmp_path, capsys, task):
     (tmp_path / "many.csv").write_text("\n".join([HEADER, *many]) + "\n")
     main(
         ["outcome", str(tmp_path / "many.csv"), str(tmp_path / "p"), "--task", task, "--trees", "5", "--depth", "4",
-         "--exclude", "Block"]
+         "--exclude", "Block", "--explained", "0.8", "--rescale", "--labelled-rows", "80", "--charts", str(tmp_path / "charts")]
     )
+    charts = {"confusion", "confusion_chart", *(["roc_chart"] if task == "arrest" else [])}
+    assert {p.name for p in (tmp_path / "charts").iterdir()} == charts
+    assert read_table(spark, str(tmp_path / "charts" / "confusion")).count() > 1
     predictions = read_table(spark, str(tmp_path / "p"))
-    assert ("ROC area" in capsys.readouterr().out) == (task == "arrest")
+    printed = capsys.readouterr().out
+    assert ("ROC area" in printed) == ("Explained variance" in printed) == (task == "arrest")
     # One in six records has no readable time, so no hour to predict.
     assert predictions.count() == sum(1 for _ in expected_keys(spark, len(many), task))
 

@@ -134,6 +134,27 @@ def test_missing_and_malformed_numbers_count_as_the_mean(spark):
     assert outcome.predictions.count() == train_test_split(df, ["ID"], 25)[1].count()
 
 
+def test_roc_corners(spark):
+    """Straight runs that cross blocks keep their ends; the area under the corners is that under all points."""
+    rnd = random.Random(6)
+    pairs = [(k % 2, i / 1000) for i in range(300) for k in (0, 1)]  # a long straight run
+    pairs += [(rnd.random() < 0.5, 1 + round(rnd.random(), 2)) for _ in range(400)]
+    ranked = scores.ranked_scores(scored(spark, pairs))
+    every, kept = ([(r.fpr, r.tpr) for r in scores.curve(x).orderBy("fpr", "tpr").collect()] for x in (ranked, scores.corners(ranked)))
+    counts = sorted((r.score, r.pos, r.neg) for r in ranked.collect())[::-1]
+    expected = sum(
+        i in (0, len(counts) - 1) or counts[i][1:] != counts[i + 1][1:] for i in range(len(counts))
+    )
+    assert len(kept) == expected + 1 < len(every) - 250 and set(kept) <= set(every)
+
+    def under(points):
+        return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+
+    assert under(kept) == pytest.approx(under(every)) == pytest.approx(scores.area(ranked).first()["auc"])
+    one = scores.ranked_scores(scored(spark, [(1, 0.5), (0, 0.5)]))
+    assert scores.corners(one).count() == 1
+
+
 @pytest.mark.parametrize(
     "components,options",
     [(None, {}), (3, {"rescale": True, "fit_on": "train"}), (None, {"numeric": ("Latitude",), "exclude": ("Noise",)})],
