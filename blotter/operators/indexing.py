@@ -11,12 +11,15 @@ digest of the value, 16 bytes whatever its length, so their number of entries
 bounds their size; one budget of entries serves all columns of a model together.
 What the heads leave open are rare values. They are looked up as narrow triples
 (row, column, digest), all columns in one shuffle, and brought back to their rows
-in another; rows without open values take no part in either.
+in another; rows without open values take no part in either. A value may be rare or unknown in the
+index and yet fill the rows at hand: a sketch of those finds such values, which are looked up
+once and sent by broadcast too, so that no task of the shuffle gets more of them than others.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasHandleInvalid, HasInputCols, HasOutputCols
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from blotter.functions.names import column, index_name, literal, quoted
 from blotter.operators.ranking import frequency_ranks
+from blotter.operators.skew import heavy_values, spread
 from blotter.staging import stage
 
 # Entries that the heads of all columns of a model have together; some 50 MB as hash tables.
@@ -149,16 +153,28 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
             self.index_of(name).where(F.col("rank") >= size.head).select(F.lit(i).alias("no"), digest(F.col("value")).alias("key"), "rank")
             for i, name, _, size in large
         ]
-        tail = tails[0]
-        for more in tails[1:]:
-            tail = tail.unionByName(more)
+        tail = reduce(DataFrame.unionByName, tails)
         sought = open_.select(_ROW, F.inline(_OPEN))
-        met = sought.join(tail, ["no", "key"]).groupBy(_ROW).agg(
-            F.map_from_entries(F.collect_list(F.struct("no", F.col("rank").cast("long")))).alias(_FOUND)
-        )
+        heavy = heavy_values(rows, {i: F.when(F.col(f"__head_{i}").isNull(), text) for i, _, text, _ in large})
+        sought = self._with_heavy(sought, heavy, tail)
+        known = tail.select(F.col("no").alias("__no"), F.col("key").alias("__key"), F.col("rank").alias("__rank"))
+        looked_up = sought.join(known, (F.col("no") == F.col("__no")) & (F.col("spread") == F.col("__key")), "left")
+        rank = F.coalesce("heavy_rank", "__rank").cast("long")
+        met = looked_up.filter(rank.isNotNull()).groupBy(_ROW).agg(F.map_from_entries(F.collect_list(F.struct("no", rank))).alias(_FOUND))
         answered = opened.filter(F.size(_OPEN) == 0).withColumn(_FOUND, F.lit(None).cast("map<int,bigint>"))
         return open_.join(met, _ROW, "left").unionByName(answered).drop(_OPEN)
 
+    @staticmethod
+    def _with_heavy(sought: DataFrame, heavy: list[tuple[int, str]], tail: DataFrame) -> DataFrame:
+        """The sought values with the rank of heavy ones, and a key under which the others are looked up."""
+        spark = sought.sparkSession
+        asked = spark.createDataFrame(heavy, "no int, value string").select("no", digest(F.col("value")).alias("key"))
+        found = {(r["no"], bytes(r["key"])): r["rank"] for r in tail.join(F.broadcast(asked), ["no", "key"]).collect()} if heavy else {}
+        answers = [(no, key, found.get((no, key))) for no, key in ((r["no"], bytes(r["key"])) for r in asked.collect())]
+        told = spark.createDataFrame(answers, "no int, key binary, heavy_rank long").withColumn("settled", F.lit(True))
+        joined = sought.join(F.broadcast(told), ["no", "key"], "left")
+        return joined.withColumn("spread", spread(F.col("key"), F.col("settled").isNotNull(), F.col(_ROW)))
+
 
 def decode(df: DataFrame, prediction: str, labels: list[str], out: str) -> DataFrame:
     """Turn predicted ranks back into the values they stand for."""

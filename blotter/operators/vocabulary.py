@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.functions.names import column
@@ -12,6 +12,7 @@ from blotter.functions.text import tokenize
 from blotter.operators.counts import token_counts, value_counts
 from blotter.operators.indexing import HEAD_ENTRIES, IndexSize, digest, join_head, plan_heads
 from blotter.operators.positions import with_position
+from blotter.operators.skew import HEAVY_SHARE, spread
 from blotter.staging import stage
 
 # A table of distinct texts is broadcast up to this many bytes.
@@ -100,14 +101,41 @@ def encode_columns(
 
     Every distinct text is encoded once and joined to the rows by the text itself, so rows need
     no key. The table of texts and sequences is broadcast if it measures at most
-    ``broadcast_bytes``; beyond that both sides are shuffled, with the same result.
+    ``broadcast_bytes``, which is one budget for all columns; beyond that the texts that stand in
+    many rows are, as far as they measure no more, and the rows are shuffled by the others. The
+    result is the same.
     """
-    texts = stage(value_counts(df, list(names)).select("value").distinct(), "texts")
+    counted = value_counts(df, list(names)).groupBy("value").agg(F.max("n").alias("n"))
+    texts = stage(counted, "texts")
     encoded = stage(texts_to_sequences(texts, "value", {"value": "__ids"}, vocabulary), "sequences")
-    size = encoded.agg(F.sum(F.octet_length("value") + 4 * F.size("__ids") + 64)).first()[0] or 0
+    width = F.octet_length("value") + 4 * F.size("__ids") + 64
+    size = (encoded.agg(F.sum(width)).first()[0] or 0) * len(names)
+    if size > broadcast_bytes:
+        return _encode_by_shuffle(df, names, encoded, texts, broadcast_bytes // len(names))
     for i, (name, out) in enumerate(names.items()):
         own = encoded.select(F.col("value").alias(f"__text_{i}"), F.col("__ids").alias(f"__ids_{i}"))
-        own = F.broadcast(own) if size <= broadcast_bytes else own.hint("merge")
-        df = df.join(own, column(name).cast("string") == F.col(f"__text_{i}"), "left")
+        df = df.join(F.broadcast(own), column(name).cast("string") == F.col(f"__text_{i}"), "left")
         df = df.withColumn(out, F.coalesce(f"__ids_{i}", F.array().cast("array<int>"))).drop(f"__text_{i}", f"__ids_{i}")
     return df
+
+
+def _encode_by_shuffle(df: DataFrame, names: dict[str, str], encoded: DataFrame, texts: DataFrame, budget: int) -> DataFrame:
+    """Frequent texts by broadcast, so that no task of the shuffle gets all rows of one of them."""
+    rows = texts.agg(F.sum("n")).first()[0] or 0
+    often = texts.filter(F.col("n") * HEAVY_SHARE > rows).select("value", "n")
+    heavy = stage(encoded.join(F.broadcast(often), "value").select(F.unhex(F.md5("value")).alias("key"), "__ids", "n"), "texts-heavy")
+    # Fewer than HEAVY_SHARE texts for each column; of long sequences those that occur most.
+    upto = F.sum(4 * F.size("__ids") + 64).over(Window.orderBy(F.desc("n"), "key").rowsBetween(Window.unboundedPreceding, 0))
+    heavy = heavy.select("key", "__ids", upto.alias("upto")).filter(F.col("upto") <= budget).drop("upto")
+    digests = encoded.select(F.unhex(F.md5("value")).alias("key"), "__ids")
+    # Numbered before anything is shuffled, so that a repeated task deals out rows as before.
+    df = df.withColumn("__row", F.monotonically_increasing_id())
+    for i, (name, out) in enumerate(names.items()):
+        key, near, far, by = (f"__{what}_{i}" for what in ("key", "near", "far", "by"))
+        df = df.withColumn(key, F.unhex(F.md5(column(name).cast("string"))))
+        df = df.join(F.broadcast(heavy.toDF(f"{key}_h", near)), F.col(key) == F.col(f"{key}_h"), "left")
+        df = df.withColumn(by, spread(F.col(key), F.col(near).isNotNull(), F.col("__row")))
+        df = df.join(digests.toDF(f"{key}_t", far).hint("merge"), F.col(by) == F.col(f"{key}_t"), "left")
+        ids = F.coalesce(near, far, F.array().cast("array<int>"))
+        df = df.withColumn(out, ids).drop(key, near, far, by, f"{key}_h", f"{key}_t")
+    return df.drop("__row")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from blotter.operators import indexing, scaling, splits, vocabulary
+from blotter.operators import indexing, scaling, skew, splits, vocabulary
 from blotter.operators.columns import cast_columns, vector_elements
 from blotter.operators.indexing import FrequencyIndexer, decode
 from blotter.operators.moments import Moments
@@ -223,3 +223,40 @@ def test_moments_of_one_pass(spark):
     assert {(r.a, r.b): r.r for r in found.correlated(spark).collect()}["c", "d"] is None
     with pytest.raises(ValueError):
         Moments.fit(df.filter("false"), names)
+
+
+def test_heavy_unseen_value(spark):
+    """A value that no index knows fills half of the rows: found, answered, and spread over the tasks."""
+    known = spark.createDataFrame([(f"v{k % 90}",) for k in range(400)], "v string")
+    model = FrequencyIndexer(["v"], ["i_v"], "keep", head_entries=5).fit(known)
+    i = F.col("id")
+    rows = spark.range(4000).select(i.alias("key"), F.when(i % 2 == 0, "new").when(i % 3 == 0, "v89").otherwise(F.concat(F.lit("v"), (i % 95).cast("string"))).alias("v"))
+    order = expected_ranks([r.v for r in known.collect()])
+    found = model.transform(rows).collect()
+    assert len(found) == 4000 and all(r.i_v == order.get(r.v, 90) for r in found)
+    heavy = skew.heavy_values(rows, {3: F.col("v")})
+    assert {(3, "new"), (3, "v89")} <= set(heavy)
+    sought = rows.select(F.col("key").alias("__row"), F.lit(0).alias("no"), indexing.digest(F.col("v")).alias("key"))
+    tail = model.index_of("v").select(F.lit(0).alias("no"), indexing.digest(F.col("value")).alias("key"), "rank")
+    told = model._with_heavy(sought, [(0, v) for _, v in heavy], tail)
+    tasks = sorted(r["count"] for r in told.groupBy(F.expr("pmod(hash(no, spread), 16)")).count().collect())
+    assert len(tasks) == 16 and tasks[-1] < 2 * tasks[8]
+    assert {r.heavy_rank for r in told.filter(F.col("key") == indexing.digest(F.lit("v89"))).collect()} == {order["v89"]}
+
+
+def test_heavy_texts_beyond_the_broadcast(spark):
+    """Half of the rows hold one text and a third none; the plan still shuffles, evenly, and the result stays."""
+    i = F.col("id")
+    texts = F.when(i % 2 == 0, "one hot text").when(i % 3 == 0, None).otherwise(F.concat(F.lit("word"), i.cast("string"), F.lit(" hot")))
+    df = spark.range(3000).select("id", texts.alias("a"), F.when(i % 5 > 0, "hot again").alias("b"))
+    fitted = vocabulary.fit_vocabulary(df, ["a", "b"])
+    names = {"a": "seq_a", "b": "seq_b"}
+    expected = vocabulary.encode_columns(df, names, fitted)
+    found = vocabulary.encode_columns(df, names, fitted, broadcast_bytes=2000)
+    assert found.columns == expected.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+    spread = skew.spread(indexing.digest(F.col("a")), F.col("a") == "one hot text", F.col("id"))
+    tasks = sorted(r["count"] for r in df.groupBy(F.pmod(F.hash(spread), F.lit(16))).count().collect())
+    assert len(tasks) == 16 and tasks[-1] < 2 * tasks[8]
