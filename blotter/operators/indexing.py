@@ -158,7 +158,7 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
         heavy = heavy_values(rows, {i: F.when(F.col(f"__head_{i}").isNull(), text) for i, _, text, _ in large})
         sought = self._with_heavy(sought, heavy, tail)
         known = tail.select(F.col("no").alias("__no"), F.col("key").alias("__key"), F.col("rank").alias("__rank"))
-        looked_up = sought.join(known, (F.col("no") == F.col("__no")) & (F.col("spread") == F.col("__key")), "left")
+        looked_up = sought.join(known, (F.col("no") == F.col("__no")) & (F.col("spread_key") == F.col("__key")), "left")
         rank = F.coalesce("heavy_rank", "__rank").cast("long")
         met = looked_up.filter(rank.isNotNull()).groupBy(_ROW).agg(F.map_from_entries(F.collect_list(F.struct("no", rank))).alias(_FOUND))
         answered = opened.filter(F.size(_OPEN) == 0).withColumn(_FOUND, F.lit(None).cast("map<int,bigint>"))
@@ -173,7 +173,7 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
         answers = [(no, key, found.get((no, key))) for no, key in ((r["no"], bytes(r["key"])) for r in asked.collect())]
         told = spark.createDataFrame(answers, "no int, key binary, heavy_rank long").withColumn("settled", F.lit(True))
         joined = sought.join(F.broadcast(told), ["no", "key"], "left")
-        return joined.withColumn("spread", spread(F.col("key"), F.col("settled").isNotNull(), F.col(_ROW)))
+        return joined.withColumn("spread_key", spread(F.col("key"), F.col("settled").isNotNull(), F.col(_ROW)))
 
 
 def decode(df: DataFrame, prediction: str, labels: list[str], out: str) -> DataFrame:

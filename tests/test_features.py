@@ -239,7 +239,7 @@ def test_heavy_unseen_value(spark):
     sought = rows.select(F.col("key").alias("__row"), F.lit(0).alias("no"), indexing.digest(F.col("v")).alias("key"))
     tail = model.index_of("v").select(F.lit(0).alias("no"), indexing.digest(F.col("value")).alias("key"), "rank")
     told = model._with_heavy(sought, [(0, v) for _, v in heavy], tail)
-    tasks = sorted(r["count"] for r in told.groupBy(F.expr("pmod(hash(no, spread), 16)")).count().collect())
+    tasks = sorted(r["count"] for r in told.groupBy(F.expr("pmod(hash(no, spread_key), 16)")).count().collect())
     assert len(tasks) == 16 and tasks[-1] < 2 * tasks[8]
     assert {r.heavy_rank for r in told.filter(F.col("key") == indexing.digest(F.lit("v89"))).collect()} == {order["v89"]}
 
