@@ -26,6 +26,7 @@ from blotter.queries.bindings import (
 )
 from blotter.queries.registry import query
 from blotter.queries.reports import ROC_SQL
+from blotter.staging import tenure
 
 # --- evaluation --------------------------------------------------------------
 
@@ -113,12 +114,12 @@ def e5_roc_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELLED_ROWS = 2_000
 SETTINGS = Settings(labelled_rows=LABELLED_ROWS)
 
-_trained: dict[tuple[str, str, str], Outcome] = {}
+_trained: dict[tuple, Outcome] = {}
 
 
 def _train(spark: SparkSession, sf_dir: str, task: str) -> Outcome:
     """The trained task; its staged predictions serve all queries on it of one application."""
-    known = (spark.sparkContext.applicationId, sf_dir, task)
+    known = (tenure(spark), sf_dir, task)
     if known not in _trained:
         _trained[known] = train_outcome(incidents(spark, sf_dir), TASKS[task], SETTINGS)
     return _trained[known]
@@ -254,18 +255,18 @@ def r11_r12_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cross_validated(spark, sf_dir)
 
 
-_results: dict[tuple[str, str, str], DataFrame] = {}
+_results: dict[tuple, DataFrame] = {}
 
 
 def _cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = (spark.sparkContext.applicationId, sf_dir, "folds")
+    known = (tenure(spark), sf_dir, "folds")
     if known not in _results:
         _results[known] = cross_validate(_type_rows(spark, sf_dir)[0], parallelism=8).results
     return _results[known]
 
 
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = (spark.sparkContext.applicationId, sf_dir, "sweep")
+    known = (tenure(spark), sf_dir, "sweep")
     if known not in _results:
         _results[known] = sweep(*_type_rows(spark, sf_dir), parallelism=8).results
     return _results[known]

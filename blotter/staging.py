@@ -18,6 +18,7 @@ from blotter.functions.names import column
 
 _SETTING = "spark.checkpoint.dir"
 _own_folder: str | None = None
+_released = 0
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -51,8 +52,15 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*[column(c) for c in df.columns])
 
 
+def tenure(spark: SparkSession) -> tuple[str, str, int]:
+    """What staged tables belong to: they can be used again as long as this stays the same."""
+    return spark.sparkContext.applicationId, staging_root(spark), _released
+
+
 def release(spark: SparkSession) -> None:
     """Delete what the application has staged; DataFrames that read it cannot be used any more."""
+    global _released
+    _released += 1
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/{spark.sparkContext.applicationId}")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
