@@ -33,6 +33,8 @@ from blotter.staging import stage
 
 # Entries that the heads of all columns of a model have together; some 50 MB as hash tables.
 HEAD_ENTRIES = 500_000
+# Labels that a plan holds as literals.
+LITERAL_LABELS = 1_000
 _ROW, _OPEN, _FOUND = "__row", "__open", "__found"
 
 
@@ -177,6 +179,13 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
 
 
 def decode(df: DataFrame, prediction: str, labels: list[str], out: str) -> DataFrame:
-    """Turn predicted ranks back into the values they stand for."""
-    values = F.array(*[F.lit(v) for v in labels])
-    return df.withColumn(out, F.get(values, column(prediction).cast("int")))
+    """Turn predicted ranks back into the values they stand for, null where there is none.
+
+    Few labels are an array in the plan; more are a table that is joined.
+    """
+    rank = column(prediction).cast("int")
+    if len(labels) <= LITERAL_LABELS:
+        return df.withColumn(out, F.get(F.array(*[F.lit(v) for v in labels]), rank))
+    named = df.sparkSession.createDataFrame(list(enumerate(labels)), "__no int, __label string")
+    kept = [column(c) for c in df.columns if c != out]
+    return df.join(named, rank == F.col("__no"), "left").select(*kept, F.col("__label").alias(out))

@@ -260,3 +260,14 @@ def test_heavy_texts_beyond_the_broadcast(spark):
     spread = skew.spread(indexing.digest(F.col("a")), F.col("a") == "one hot text", F.col("id"))
     tasks = sorted(r["count"] for r in df.groupBy(F.pmod(F.hash(spread), F.lit(16))).count().collect())
     assert len(tasks) == 16 and tasks[-1] < 2 * tasks[8]
+
+
+def test_decode_many_labels(spark):
+    labels = [f"class {i}" for i in range(2500)]
+    df = spark.range(3000).select("id", (F.col("id") % 2600).cast("double").alias("p"))
+    found = decode(df, "p", labels, "named")
+    assert found.columns == ["id", "p", "named"]
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert all(r.named == (labels[int(r.p)] if r.p < 2500 else None) for r in found.collect())
+    few = decode(df, "p", labels[:3], "named").filter("id < 4").orderBy("id").collect()
+    assert [r.named for r in few] == ["class 0", "class 1", "class 2", None]
