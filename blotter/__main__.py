@@ -42,7 +42,7 @@ def batches(spark, args) -> None:
 
 def report(spark, args) -> None:
     """All reports and chart tables, as CSV."""
-    for name in reports.write_reports(_incidents(spark, args), args.output):
+    for name in reports.write_reports(_incidents(spark, args), args.output, args.wide):
         print(name)
 
 
@@ -115,6 +115,8 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--index", action="store_true")
             one.add_argument("--source-order", action="store_true", help="rows as they stand in the files, not by key")
             one.add_argument("--flat", action="store_true", help="files Batch_<n>.csv instead of folders")
+        if job is report:
+            one.add_argument("--wide", action="store_true", help="the matrix of all types in tables of a bounded width")
         if job is outcome:
             one.add_argument("--task", choices=sorted(TASKS), required=True)
             one.add_argument("--trees", type=int, default=100)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.operators import charts, counts, ranking, scores
+from blotter.operators import charts, counts, matrices, ranking, scores
 from blotter.plans.reports import incident_reports
 from blotter.queries.bindings import (
     INCIDENTS_SQL,
@@ -69,6 +69,28 @@ def a1_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.crosstab(orders(spark, sf_dir), "year", "o_orderpriority")
 
 
+# Suppliers are as many as the data has; the SQL lists every block's names and counts in their order.
+BLOCK_WIDTH = 64
+
+
+@query(
+    "a1_crosstab_blocks",
+    f"""with pairs as (select l_shipmode, l_suppkey, count(*) as n from lineitem
+                      where l_shipmode is not null and l_suppkey is not null group by all),
+             names as (select l_suppkey, (row_number() over (order by l_suppkey) - 1) // {BLOCK_WIDTH} as block
+                       from (select distinct l_suppkey from pairs)),
+             keys as (select distinct l_shipmode from pairs)
+        select l_shipmode, cast(block as integer) as block,
+               string_agg(cast(l_suppkey as varchar), ',' order by l_suppkey) as names,
+               string_agg(cast(coalesce(n, 0) as varchar), ',' order by l_suppkey) as counts
+        from keys cross join names left join pairs using (l_shipmode, l_suppkey) group by all""",
+)
+def a1_crosstab_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matrices.crosstab_blocks(table(spark, sf_dir, "lineitem"), "l_shipmode", "l_suppkey", BLOCK_WIDTH)
+    listed = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("names", "counts")]
+    return found.select("l_shipmode", "block", *listed)
+
+
 @query("a2_crosstab_named", _matrix_sql("year", NAMED))
 def a2_crosstab_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.crosstab(orders(spark, sf_dir), "year", "o_orderpriority", NAMED)
@@ -233,6 +255,18 @@ def c7_confusion_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.confusion_heatmap(confusion, {0: "Not Arrested", 1: "Arrested"})
 
 
+@query(
+    "c1_stacked_counts",
+    """select x, series, value, cast(sum(value) over w - value as bigint) as y0, cast(sum(value) over w as bigint) as y1
+       from (select l_shipmode as x, l_partkey as series, count(*) as value from lineitem group by all)
+       where x is not null and series is not null
+       window w as (partition by x order by series rows unbounded preceding)""",
+)
+def c1_stacked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = counts.group_sizes(table(spark, sf_dir, "lineitem"), ["l_shipmode", "l_partkey"])
+    return matrices.stacked_counts(sizes, "l_shipmode", "l_partkey")
+
+
 ROC_SQL = f"""
     with s as (select score, sum(label) as pos, sum(1 - label) as neg from ({SCORED_SQL}) group by 1),
          r as (select *, sum(pos) over w as tp, sum(neg) over w as fp from s

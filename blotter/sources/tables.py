@@ -16,6 +16,16 @@ from blotter.schema import INCIDENT_SCHEMA
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
 
 
+def _source_of(spark: SparkSession, path: str | list[str]) -> str:
+    """``parquet`` if the files end so, ``csv`` if none does. Tasks look at the names, whose content is not read."""
+    # Partition folders such as Year=2020 are files' parents here, not columns.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kinds = files.select(F.col("path").endswith(".parquet").alias("parquet")).distinct().collect()
+    if len(kinds) > 1:
+        raise ValueError(f"Parquet and other files together in {path}: name the source")
+    return "parquet" if kinds and kinds[0]["parquet"] else "csv"
+
+
 def read_incidents(
     spark: SparkSession,
     path: str | list[str],
@@ -25,15 +35,14 @@ def read_incidents(
 ) -> DataFrame:
     """Incident records under an explicit schema; nothing is inferred, so no pass over the data.
 
-    ``source`` is ``csv`` or ``parquet``, by default told by the names of the files found there.
+    ``source`` is ``csv`` or ``parquet``, by default told by the names of the files found there,
+    which must be all of one kind.
     Parquet has types of its own, as ``clean --parquet`` writes them. In CSV, empty fields and
     numbers that cannot be read are null. ``multiline`` is for CSV with line breaks inside
     values; such files cannot be split between tasks.
     """
     if source is None:
-        # A listing only; partition folders such as Year=2020 are files' parents here, not columns.
-        found = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
-        source = "parquet" if any(f.endswith(".parquet") for f in found) else "csv"
+        source = _source_of(spark, path)
     if source == "parquet":
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
     return spark.read.options(**_CSV, multiLine=multiline, enforceSchema="true").csv(path, schema=schema)

@@ -155,3 +155,14 @@ def test_encode(spark, incident_csv):
     ids = {w: i for i, w in enumerate(order, start=1)}
     assert rows[3]["Loc_Descr_Int"] == [ids["garden"], ids["shed"], ids["fence"]]
     assert rows[1]["Loc_Descr_Int"] == [1] and rows[1]["Prim_Type_Int"] == [2]
+
+
+def test_kind_of_files(spark, incident_csv, tmp_path):
+    write_canonical(read_incidents(spark, incident_csv), str(tmp_path / "typed"))
+    assert read_incidents(spark, str(tmp_path / "typed")).count() == 6
+    assert read_incidents(spark, [str(incident_csv), str(incident_csv)]).count() == 12
+    (tmp_path / "typed" / "Year=2020" / "more.csv").write_text("ID\n1\n")
+    with pytest.raises(ValueError, match="name the source"):
+        read_incidents(spark, str(tmp_path / "typed"))
+    (tmp_path / "empty").mkdir()
+    assert read_incidents(spark, str(tmp_path / "empty")).count() == 0
