@@ -75,20 +75,20 @@ BLOCK_WIDTH = 64
 
 @query(
     "a1_crosstab_blocks",
-    f"""with pairs as (select l_shipmode, l_suppkey, count(*) as n from lineitem
-                      where l_shipmode is not null and l_suppkey is not null group by all),
+    f"""with pairs as (select l_returnflag, l_suppkey, count(*) as n from lineitem
+                      where l_returnflag is not null and l_suppkey is not null group by all),
              names as (select l_suppkey, (row_number() over (order by l_suppkey) - 1) // {BLOCK_WIDTH} as block
                        from (select distinct l_suppkey from pairs)),
-             keys as (select distinct l_shipmode from pairs)
-        select l_shipmode, cast(block as integer) as block,
+             keys as (select distinct l_returnflag from pairs)
+        select l_returnflag, cast(block as integer) as block,
                string_agg(cast(l_suppkey as varchar), ',' order by l_suppkey) as names,
                string_agg(cast(coalesce(n, 0) as varchar), ',' order by l_suppkey) as counts
-        from keys cross join names left join pairs using (l_shipmode, l_suppkey) group by all""",
+        from keys cross join names left join pairs using (l_returnflag, l_suppkey) group by all""",
 )
 def a1_crosstab_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matrices.crosstab_blocks(table(spark, sf_dir, "lineitem"), "l_shipmode", "l_suppkey", BLOCK_WIDTH)
+    found = matrices.crosstab_blocks(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey", BLOCK_WIDTH)
     listed = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("names", "counts")]
-    return found.select("l_shipmode", "block", *listed)
+    return found.select("l_returnflag", "block", *listed)
 
 
 @query("a2_crosstab_named", _matrix_sql("year", NAMED))
@@ -258,13 +258,13 @@ def c7_confusion_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c1_stacked_counts",
     """select x, series, value, cast(sum(value) over w - value as bigint) as y0, cast(sum(value) over w as bigint) as y1
-       from (select l_shipmode as x, l_partkey as series, count(*) as value from lineitem group by all)
+       from (select l_returnflag as x, l_partkey as series, count(*) as value from lineitem group by all)
        where x is not null and series is not null
        window w as (partition by x order by series rows unbounded preceding)""",
 )
 def c1_stacked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = counts.group_sizes(table(spark, sf_dir, "lineitem"), ["l_shipmode", "l_partkey"])
-    return matrices.stacked_counts(sizes, "l_shipmode", "l_partkey")
+    sizes = counts.group_sizes(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_partkey"])
+    return matrices.stacked_counts(sizes, "l_returnflag", "l_partkey")
 
 
 ROC_SQL = f"""
