@@ -9,7 +9,9 @@ without control strings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.llm.tables import named
@@ -17,6 +19,7 @@ from blotter.llm.tables import named
 # Fixed marks of the format.
 START, END, PART = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
 ASSISTANT = "assistant"
+_WIDE, _LETTER = "UTF-32", b"\0\0\0x"
 
 
 def escaped(text: Column) -> Column:
@@ -38,7 +41,8 @@ def format_conversations(
 
     Turns are in the order of their number, those without one first; turns of one number are in
     the order of role and text, and repeated rows are turns of their own. A null role or text is
-    empty. Rows without a conversation form one. Other columns are not read.
+    empty. Rows without a conversation form one. Other columns are not read. The time is
+    linear in the turns of a conversation but for sorting them, and rows move once.
     """
     rows = turns.select(
         named(turns, conversation).alias("conv_id"),
@@ -60,20 +64,26 @@ def format_conversations(
             head.alias("head"), escaped(t["text"]).alias("body"), F.when(ends, F.lit(END)).otherwise(F.lit("")).alias("tail"), (t["role"] == trained).alias("trained")
         )
 
-    pieces = with_same.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
-            F.when(
-                p["trained"],
-                F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length")))),
-            ).otherwise(s["spans"]).alias("spans"),
-        ),
+    pieces = with_same.select("conv_id", F.posexplode(F.transform("turns", piece)).alias("at", "piece"))
+    # Where a body begins: a running length, kept by the partitioning of the first grouping.
+    length = F.length("piece.head") + F.length("piece.body") + F.length("piece.tail")
+    before_it = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(length).over(before_it), F.lit(0)) + F.length("piece.head")
+    placed = pieces.select(
+        "conv_id",
+        "at",
+        F.concat("piece.head", "piece.body", "piece.tail").alias("piece"),
+        F.when(F.col("piece.trained"), F.struct(start.cast("int").alias("start"), F.length("piece.body").alias("length"))).alias("span"),
     )
-    return pieces.select(F.col("conv_id").alias(conversation), formatted.alias("formatted"), spans["spans"].alias("loss"))
+    joined = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "span"))).alias("pieces"))
+    formatted = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
+    spans = F.transform(F.filter("pieces", lambda p: p["span"].isNotNull()), lambda p: p["span"])
+    return joined.select(F.col("conv_id").alias(conversation), formatted.alias("formatted"), spans.alias("loss"))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` needs it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -81,14 +91,32 @@ def read_turns(formatted: Column) -> Column:
     parts = F.split(formatted, r"\Q" + START + r"\E")
     blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
+    def texts(block: Column) -> Column:
+        parts_ = F.split(block["body"], r"\Q" + PART + r"\E")
+        return F.transform(parts_, lambda t: F.struct(block["role"].alias("role"), unescaped(t).alias("text")))
+
     def turns(block: Column) -> Column:
-        role = F.regexp_extract(block, r"(?s)\A((?:[^\\\n]|\\.)*)\n", 1)
-        body = F.substring(block, F.length(role) + 2, F.length(block) - F.length(role) - 1 - len(END))
-        return F.transform(F.split(body, r"\Q" + PART + r"\E"), lambda t: F.struct(unescaped(role).alias("role"), unescaped(t).alias("text")))
+        role = F.regexp_extract(block, r"(?s)\A((?:[^\\\n]|\\.)*+)\n", 1)
+
+        def parted(role_: Column) -> Column:
+            body = F.substring(block, F.length(role_) + 2, F.length(block) - F.length(role_) - 1 - len(END))
+            return F.struct(unescaped(role_).alias("role"), body.alias("body"))
+
+        return _bound(_bound(role, parted), texts)
 
     return F.flatten(F.transform(blocks, turns))
 
 
 def masked_text(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, read back."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+
+    # Four bytes for each code point, so that a span is cut where it stands and not counted off
+    # from the start. A letter before it keeps a byte order mark that begins a span.
+    def cut(wide: Column) -> Column:
+        def text(s: Column) -> Column:
+            span = F.substring(wide, 4 * s["start"] + 1, 4 * s["length"])
+            return F.substring(F.decode(F.concat(F.lit(_LETTER), span), _WIDE), F.lit(2), s["length"])
+
+        return F.array_join(F.transform(loss, text), "")
+
+    return unescaped(_bound(F.encode(formatted, _WIDE), cut))
