@@ -1,8 +1,11 @@
+import random
+import time
+
 import pytest
 
-from blotter.llm.main_text import bounded_weights, extract, learn_weights, main_text
+from blotter.llm.main_text import best_region, extract, learn_weights, main_text, weights_of
 
-WEIGHTS = bounded_weights({})
+WEIGHTS = weights_of({})
 BODY = "<p>One two &amp; three\n  four.</p><p>Five <a href=x>six</a> seven<br>eight.</p>"
 TEXT = "One two & three four.\nFive six seven eight."
 
@@ -63,3 +66,61 @@ def test_table_of_pages(spark):
     assert main_text(df, weights).count() == len(pages)
     none = df.limit(0)
     assert main_text(none, learn_weights(none)).count() == 0
+
+
+LONG = "<p>" + "Many words make a text of some length, " * 8 + "and end.</p>"
+SAID = "Many words make a text of some length, " * 8 + "and end."
+
+
+def test_content_beside_cards():
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3><p>Read on about it.</p></article>" for i in range(3))
+    assert extract(f"<body>{cards}<div id=content>{LONG}</div>{cards}</body>", WEIGHTS) == SAID
+    assert extract(f"<article><h1>Title</h1><div class=content>{LONG}</div></article>", WEIGHTS) == "Title\n" + SAID
+
+
+def test_all_articles_of_a_page():
+    between = "<div>" + "plain words " * 100 + "</div>"
+    assert extract(f"<article>{LONG}</article>{between}<article>{BODY}</article>", WEIGHTS) == SAID + "\n" + TEXT
+
+
+@pytest.mark.parametrize("odd", ["<img alt=\"a\"b\">", "<img alt='it's'>", "<a title=\"x\"\">y</a>".replace("y", ""), "<br data-x = \"a>b\">"])
+def test_odd_quotes(odd):
+    assert extract(f"<article>{odd}{BODY}</article>", WEIGHTS) == TEXT
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!", "<a x=\">\" ", "<button>", "<", "</", "<p class='"])
+def test_broken_markup_takes_linear_time(piece):
+    def seconds(n):
+        start = time.process_time()
+        extract(piece * n + "</button>", WEIGHTS)
+        return time.process_time() - start
+
+    assert seconds(80_000) < 10
+
+
+def test_best_region():
+    rng = random.Random(2)
+    for _ in range(300):
+        scores = [rng.randint(-4, 3) for _ in range(rng.randint(0, 12))]
+        first, end = best_region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)), default=0)
+        assert sum(scores[first:end]) == max(0, best)
+
+
+def test_learning_and_scan_decide_without_article(spark):
+    menu = "<ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li></ul>"
+    pages = [(i, "u", f"<nav>{menu}</nav><main><h1>Head line</h1>{LONG}<p>Short one.</p></main><footer><p>&copy; Site {i}</p></footer>") for i in range(60)]
+    df = spark.createDataFrame(pages + [(100 + i, "u", "<div>none</div>") for i in range(600)], "page_id long, url string, html string")
+    weights = learn_weights(df)
+    page = f"<body><ul><li>Home</li><li><a href=/b>About</a></li></ul><div><h1>Head line</h1>{LONG}<p>Short one.</p></div><p>&copy; Site 7. All rights reserved.</p></body>"
+    assert extract(page, weights) == f"Head line\n{SAID}\nShort one."
+    assert extract(page, WEIGHTS) != extract(page, weights)
+    assert extract("plain words only", weights) == "plain words only"
+    few = learn_weights(df, labelled_pages=60)  # the bound is of labelled pages, however many others there are
+    assert few == weights
+
+
+def test_comments_without_article():
+    page = f"<body><div>{BODY}</div><div><h3>3 Comments</h3><ol><li>I say so.</li></ol></div></body>"
+    assert extract(page, WEIGHTS) == TEXT
+    assert extract(f"<article>{BODY}<h2>Comments</h2><p>On the law.</p></article>", WEIGHTS) == TEXT + "\nComments\nOn the law."
