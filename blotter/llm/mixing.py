@@ -4,8 +4,8 @@ A source's documents, in a random order that their ids fix, are its stream of wo
 read again from the start when it ends and is cut into blocks of equal length. The schedule has
 2**m slots. Slot n stands at the van der Corput point of n, whose binary digits are those of n
 reversed, and belongs to the source whose share of [0, 1) covers the point. The k-th slot of a
-source takes its k-th block, until its target is met. A document counts with the words of it that
-lie in the blocks taken.
+source takes its k-th block, until its target is met. The mix is these blocks in the order of their
+slots, each a run of spans of documents; a document counts with the words of it that lie in them.
 """
 
 from __future__ import annotations
@@ -81,21 +81,10 @@ def _streams(rows: DataFrame) -> DataFrame:
     return joined.select("doc_id", "tie", "source", "size", (F.col("start") + F.col("inside")).alias("begin"))
 
 
-def mix(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    source_column: str = "source",
-    weights: tuple[int, ...] = WEIGHTS,
-    most: int = MOST_REPEATS,
-    block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """One row per document: id, ``tie`` (a hash of its text), ``source``, ``size``, ``source_size``, ``target``, ``taken``.
-
-    Null is a source of its own, the last. A document without words has size 0 and is not taken.
-    Each source's ``taken`` add up to its target, rounded down. Rows that repeat an id are told
-    apart by text; equal rows are taken in an order left open, with the same numbers as a set.
-    """
+def _mixed(
+    docs: DataFrame, id_column: str, text_column: str, source_column: str, weights: tuple[int, ...], most: int, block_words: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sizes, the sources with their targets, and the spans of documents in the mix."""
     narrow = docs.select(
         named(docs, id_column).alias("doc_id"), F.xxhash64(named(docs, text_column)).alias("tie"), named(docs, source_column).alias("source"), word_count(named(docs, text_column)).alias("size")
     )
@@ -114,7 +103,7 @@ def mix(
     ends = bounds.select(F.col("source").alias("whose"), "quota", "words")
     used = slots.join(ends, slots["source"].eqNullSafe(ends["whose"])).filter("rank < quota")
     # A block of the stream that is read again and again: [begin, end) in words, the last cut at the target.
-    blocks_taken = used.select("source", F.col("rank").alias("block"), F.least((F.col("rank") + 1) * block_words, F.col("words")).alias("end"))
+    blocks_taken = used.select("slot", "source", F.col("rank").alias("block"), F.least((F.col("rank") + 1) * block_words, F.col("words")).alias("end"))
 
     placed = _streams(rows.filter("size > 0"))
     wanted = bounds.select(F.col("source").alias("whose"), "source_size", "words")
@@ -124,20 +113,60 @@ def mix(
     cut = F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("from") + F.col("size") - 1) / block_words))
     parts = copies.select("doc_id", "tie", F.col("source").alias("own"), "from", "size", F.explode(cut).alias("part"))
     met = parts.join(blocks_taken, parts["own"].eqNullSafe(blocks_taken["source"]) & (parts["part"] == blocks_taken["block"]))
-    common = F.greatest(F.lit(0), F.least(F.col("from") + F.col("size"), F.col("end")) - F.greatest(F.col("from"), F.col("part") * block_words))
-    taken = met.select("doc_id", "tie", "own", "from", common.alias("words"))
+    first, end = F.greatest(F.col("from"), F.col("part") * block_words), F.least(F.col("from") + F.col("size"), F.col("end"))
+    return rows, sources, met.filter(end > first).select(
+        "slot", "source", "block", "doc_id", "tie", (first - F.col("from")).alias("begin"), (end - first).alias("words"), first.alias("at")
+    )
+
+
+def mix_spans(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST_REPEATS,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The mix: ``slot``, ``source``, ``block`` of the source, ``at`` (word of its stream), id, ``tie`` (a hash of the text), ``begin``, ``words``.
+
+    In the order of ``slot``, then ``at``, the spans are the mix from first to last; every stretch
+    of it has the sources in nearly their proportions. A span is ``words`` words of the document
+    from its word ``begin`` (from 0). Slots left out belong to sources whose target is met.
+    """
+    spans = _mixed(docs, id_column, text_column, source_column, weights, most, block_words)[2]
+    return spans.select("slot", "source", "block", "at", F.col("doc_id").alias(id_column), "tie", "begin", "words")
+
+
+def mix(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST_REPEATS,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """One row per document: id, ``tie`` (a hash of its text), ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``first_slot``.
+
+    Null is a source of its own, the last. A document without words has size 0 and is not taken.
+    Each source's ``taken`` add up to its target, rounded down; ``first_slot`` is the slot of the mix
+    that a document first appears in, null if it is not taken. Rows that repeat an id are told
+    apart by text; equal rows are taken in an order left open, with the same numbers as a set.
+    """
+    rows, sources, spans = _mixed(docs, id_column, text_column, source_column, weights, most, block_words)
     # Equal rows share an id and text: each document counts by its own first place in the stream.
-    sums = taken.groupBy("doc_id", "tie", "own").agg(F.sum("words").alias("sum"))
-    sums = sums.select(F.col("doc_id").alias("of"), F.col("tie").alias("by"), F.col("own"), "sum")
+    sums = spans.groupBy("doc_id", "tie", "source").agg(F.sum("words").alias("sum"), F.min("slot").alias("first_slot"))
+    sums = sums.select(F.col("doc_id").alias("of"), F.col("tie").alias("by"), F.col("source").alias("own"), "sum", "first_slot")
     repeats = Window.partitionBy("doc_id", "tie", "source")
     counted = rows.withColumn("rows", F.count("*").over(repeats)).withColumn("nth", F.row_number().over(repeats.orderBy("size")))
     same = counted["doc_id"].eqNullSafe(sums["of"]) & counted["tie"].eqNullSafe(sums["by"]) & counted["source"].eqNullSafe(sums["own"])
     told = counted.join(sums, same, "left").withColumn("all", F.coalesce("sum", F.lit(0)))
     share = F.floor(F.col("all") / F.col("rows")) + F.when(F.col("nth") <= F.col("all") % F.col("rows"), 1).otherwise(0)
-    told = told.select("doc_id", "tie", "source", "size", share.cast("long").alias("taken"))
+    told = told.select("doc_id", "tie", "source", "size", share.cast("long").alias("taken"), F.when(share > 0, F.col("first_slot")).alias("first_slot"))
     facts = sources.select(F.col("source").alias("whose"), "source_size", "target")
     return told.join(facts, told["source"].eqNullSafe(facts["whose"])).select(
-        F.col("doc_id").alias(id_column), "tie", "source", "size", "source_size", "target", "taken"
+        F.col("doc_id").alias(id_column), "tie", "source", "size", "source_size", "target", "taken", "first_slot"
     )
 
 

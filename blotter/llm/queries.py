@@ -103,7 +103,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 @_query

@@ -4,7 +4,7 @@ import pytest
 from llm_cases import documents, nothing, spaced
 from pyspark.sql import functions as F
 
-from blotter.llm.mixing import mix, mixed_rows, schedule, targets
+from blotter.llm.mixing import mix, mix_spans, mixed_rows, schedule, targets
 
 
 def shared_out(sizes, weights=(5, 2, 1)):
@@ -65,3 +65,38 @@ def test_rows_of_the_mix(spark):
     out = mixed_rows(docs)
     assert out.columns == docs.columns and out.filter(F.col("text").isNull()).count() == 0
     assert mix(nothing(spark)).count() == 0 and mixed_rows(nothing(spark)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 100])
+def test_order_of_the_mix(spark, block):
+    """Slots, sources and blocks as the van der Corput points place them, spans in stream order, ``taken`` and ``first_slot`` from them."""
+    docs = documents(spark)
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(spaced(r.text))
+    words = {s: int(t + 1e-9) for s, t in shared_out(sizes).items()}
+    quota = {s: -(-w // block) for s, w in words.items()}
+    total = sum(quota.values())
+    bits = max(0, (total - 1).bit_length())
+    expected, upto = [], 0
+    for source in sorted(s for s in quota if s is not None) + [None]:
+        low, high = (-(-(x * 2**bits) // total) for x in (upto, upto + quota[source]))
+        upto += quota[source]
+        slots = sorted(n for n in range(2**bits) if low <= int(format(n, f"0{bits}b")[::-1], 2) < high)
+        expected += [(slot, source, i) for i, slot in enumerate(slots[: quota[source]])]
+    spans = mix_spans(docs, block_words=block).collect()
+    assert sorted({(r.slot, r.source, r.block) for r in spans}) == sorted(expected)
+    held, taken, first = Counter(), Counter(), {}
+    for r in spans:
+        assert r.block * block <= r["at"] and r["at"] + r.words <= min((r.block + 1) * block, words[r.source])
+        held[r.slot] += r.words
+        taken[r.doc_id, r.tie, r.source] += r.words
+        first[r.doc_id, r.tie, r.source] = min(r.slot, first.get((r.doc_id, r.tie, r.source), r.slot))
+    assert all(held[slot] == min(block, words[s] - i * block) for slot, s, i in expected)
+    found, slots = Counter(), {}
+    for r in mix(docs, block_words=block).collect():
+        found[r.doc_id, r.tie, r.source] += r.taken
+        assert (r.first_slot is None) == (r.taken == 0)
+        if r.taken:
+            slots[r.doc_id, r.tie, r.source] = r.first_slot
+    assert +found == taken and slots == first
