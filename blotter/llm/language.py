@@ -174,7 +174,13 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def keep_known(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the languages learned; ``und`` goes."""
+    """The rows of ``docs`` whose text is in one of the languages learned; ``und`` goes.
+
+    Where no language was learned, nothing speaks against a text with letters: all such rows stay.
+    """
     columns = [named(docs, c) for c in docs.columns]
-    told = identify(docs, train(docs, id_column, text_column, lang_column), [F.struct(*columns).alias("row")], text_column)
+    model = train(docs, id_column, text_column, lang_column)
+    if not model.languages:
+        return docs.filter(has_letters(named(docs, text_column)))
+    told = identify(docs, model, [F.struct(*columns).alias("row")], text_column)
     return told.filter(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -46,3 +46,8 @@ def test_only_the_text_decides(spark):
     one = sorted((r.text, r.lang_pred, r.score) for r in identify(docs, model, [docs["text"]]).collect())
     two = sorted((r.text, r.lang_pred, r.score) for r in identify(shuffled, model, [shuffled["text"]]).collect())
     assert one == two
+
+
+def test_nothing_learned_rejects_no_text_with_letters(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, None, None), (3, "123", None), (4, "слова", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in keep_known(docs).collect()) == [1, 4]
