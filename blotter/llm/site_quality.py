@@ -5,7 +5,8 @@ its text, fitted on labelled documents, gives each document the log-odds of good
 host and its path. The host's rate is the posterior mean of a beta distribution around the global
 rate, the path's around its host's; their strengths are moment estimates of how much hosts, and
 paths of a host, differ, so sparse sites are shrunk to what is above them. The log-odds of the path's
-rate replace those of the global rate in the document's own.
+rate replace those of the global rate in the document's own; what the document itself says is left
+out of the rates that judge it, so that neither its label nor its evidence counts twice.
 """
 
 from __future__ import annotations
@@ -131,7 +132,8 @@ def site_quality(
     ``labels`` says of some ids whether they are good (1) or not (0); at most about
     ``labelled_rows`` of them are fitted on, chosen by ids' hashes. A null host or path is a site
     of its own. A null or wordless text is no evidence: its site decides. Where no label tells
-    the classes apart, all rates are the global one. Repeated rows count and appear as often as
+    the classes apart, all rates are the global one. ``host_rate`` and ``path_rate`` are those of the
+    other documents of the site, so they differ between its documents. Repeated rows count and appear as often as
     they stand there; of labels that repeat an id the worst counts.
     """
     spark = docs.sparkSession
@@ -151,22 +153,30 @@ def site_quality(
     coefficients, intercept = fit_evidence(measured.filter((drawn < bound) & (drawn % 2 == 1)))
     says_text = sum((F.lit(c) * F.element_at("measures", i + 1) for i, c in enumerate(coefficients)), F.lit(intercept))
     evidence = F.when(F.element_at("measures", 3) > 0, says_text).otherwise(F.lit(0.0))
-    scored = measured.select("id", "host", "path", "good", evidence.alias("evidence"))
     prior = measured.agg((F.sum("good") / F.count("good")).alias("p")).first()["p"]
     prior = min(max(prior if prior is not None else 0.5, 1e-4), 1 - 1e-4)
     prior_odds = float(np.log(prior / (1 - prior)))
 
     says = F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-(F.col("evidence") + F.lit(prior_odds)))))
-    paths = stage(scored.groupBy("host", "path").agg(F.avg(says).alias("mean"), F.count("*").cast("double").alias("n")), "paths")
+    scored = measured.select("id", "host", "path", "good", evidence.alias("evidence")).withColumn("says", says)
+    paths = stage(scored.groupBy("host", "path").agg(F.avg("says").alias("mean"), F.count("*").cast("double").alias("n")), "paths")
     hosts = paths.groupBy("host").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     total = hosts.agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("rate")).first()["rate"]
     rate = min(max(total if total is not None else 0.5, 1e-4), 1 - 1e-4)
     of_hosts = hosts.withColumn("above", F.lit(rate)).agg(strength(hosts).alias("s")).first()["s"]
-    hosts = hosts.withColumn("host_rate", (F.col("n") * F.col("mean") + of_hosts * rate) / (F.col("n") + of_hosts)).select(F.col("host").alias("site"), "host_rate")
+    hosts = hosts.withColumn("host_rate", (F.col("n") * F.col("mean") + of_hosts * rate) / (F.col("n") + of_hosts))
+    hosts = hosts.select(F.col("host").alias("site"), "host_rate", F.col("n").alias("host_n"), F.col("mean").alias("host_mean"))
     joined = paths.join(hosts, paths["host"].eqNullSafe(hosts["site"])).withColumn("above", F.col("host_rate"))
     of_paths = joined.agg(strength(joined).alias("s")).first()["s"]
-    path_rate = (F.col("n") * F.col("mean") + of_paths * F.col("host_rate")) / (F.col("n") + of_paths)
-    rates = joined.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "host_rate", F.least(F.greatest(path_rate, F.lit(1e-4)), F.lit(1 - 1e-4)).alias("path_rate"))
-    same = scored["host"].eqNullSafe(rates["of_host"]) & scored["path"].eqNullSafe(rates["of_path"])
+    sites = joined.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "n", "mean", "host_n", "host_mean")
+    same = scored["host"].eqNullSafe(sites["of_host"]) & scored["path"].eqNullSafe(sites["of_path"])
+
+    def others(n: str, mean: str, s: float, above: Column) -> Column:
+        """The posterior mean of a site without the row itself."""
+        return (F.col(n) * F.col(mean) - F.col("says") + s * above) / (F.col(n) - 1 + s)
+
+    judged = scored.join(sites, same).withColumn("host_rate", others("host_n", "host_mean", of_hosts, F.lit(rate)))
+    path_rate = others("n", "mean", of_paths, F.col("host_rate"))
+    judged = judged.withColumn("path_rate", F.least(F.greatest(path_rate, F.lit(1e-4)), F.lit(1 - 1e-4)))
     quality = 1 / (1 + F.exp(-(F.col("evidence") + _odds(F.col("path_rate")))))
-    return scored.join(rates, same).select(F.col("id").alias(id_column), "host", "path", "evidence", "host_rate", "path_rate", quality.alias("quality"), (quality >= 0.5).alias("keep"))
+    return judged.select(F.col("id").alias(id_column), "host", "path", "evidence", "host_rate", "path_rate", quality.alias("quality"), (quality >= 0.5).alias("keep"))

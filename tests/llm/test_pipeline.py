@@ -42,5 +42,5 @@ def test_stages_take_effect(spark):
 
 def test_queries_are_registered():
     names = [n for n in queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
     assert set(oracle_sql()) <= set(queries())
