@@ -18,30 +18,35 @@ from blotter.staging import fresh_path
 _LEAF = "__leaf"
 
 
-def paths_to_leaves(
-    spark: SparkSession, model: DecisionTreeClassificationModel, depths: list[int]
-) -> list[tuple[float, list[float]]]:
-    """For each leaf, by its number, the predictions of the tree cut at each of the depths.
+def tree_leaves(spark: SparkSession, model: DecisionTreeClassificationModel) -> list[tuple[float, list[float], float]]:
+    """For each leaf its number, what the nodes on its path say from the root down, and its impurity.
 
     The nodes are read from the saved model; they are as many as the driver holds in the model.
     """
     path = fresh_path(spark, "tree")
     model.write().save(path)
-    saved = spark.read.parquet(f"{path}/data").select("id", "prediction", "leftChild", "rightChild").collect()
+    saved = spark.read.parquet(f"{path}/data").select("id", "prediction", "impurity", "leftChild", "rightChild").collect()
     nodes = {n["id"]: n for n in saved}
-    leaves: list[tuple[float, list[float]]] = []
+    leaves: list[tuple[float, list[float], float]] = []
     waiting: list[tuple[int, list[float]]] = [(0, [])]
     while waiting:  # leaves are numbered from left to right
         number, above = waiting.pop()
         node = nodes[number]
         said = [*above, node["prediction"]]
         if node["leftChild"] < 0:
-            leaves.append((float(len(leaves)), [said[min(d, len(said) - 1)] for d in depths]))
+            leaves.append((float(len(leaves)), said, node["impurity"]))
         else:
             waiting += [(node["rightChild"], said), (node["leftChild"], said)]
     return leaves
 
 
+def paths_to_leaves(
+    spark: SparkSession, model: DecisionTreeClassificationModel, depths: list[int]
+) -> list[tuple[float, list[float]]]:
+    """For each leaf, by its number, the predictions of the tree cut at each of the depths."""
+    return [(number, [said[min(d, len(said) - 1)] for d in depths]) for number, said, _ in tree_leaves(spark, model)]
+
+
 def counts_by_depth(
     model: DecisionTreeClassificationModel, rows: DataFrame, label: str, depths: list[int]
 ) -> DataFrame:

@@ -261,7 +261,7 @@ _results: dict[tuple, DataFrame] = {}
 def _cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = (tenure(spark), sf_dir, "folds")
     if known not in _results:
-        _results[known] = cross_validate(_type_rows(spark, sf_dir)[0], parallelism=8).results
+        _results[known] = cross_validate(_type_rows(spark, sf_dir)[0], parallelism=8, fit_best=False).results
     return _results[known]
 
 
