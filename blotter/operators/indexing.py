@@ -6,9 +6,8 @@ values as the table has rows. Here the index is a table: it is counted in one
 pass for all columns and looked up by joins.
 
 Lookups and skew. Rank 0 is the most frequent value, so the head of the index is
-exactly the set of values that could overload a join. Heads are broadcast by
-digest of the value, 16 bytes whatever its length, so their number of entries
-bounds their size; one budget of entries serves all columns of a model together.
+exactly the set of values that could overload a join. Heads are broadcast; one budget of
+entries serves all columns of a model together, and a batch of rows is looked up in all of them at once.
 What the heads leave open are rare values. They are looked up as narrow triples
 (row, column, digest), all columns in one shuffle, and brought back to their rows
 in another; rows without open values take no part in either. A value may be rare or unknown in the
@@ -21,6 +20,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasHandleInvalid, HasInputCols, HasOutputCols
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ from blotter.staging import stage
 HEAD_ENTRIES = 500_000
 # Labels that a plan holds as literals.
 LITERAL_LABELS = 1_000
-_ROW, _OPEN, _FOUND = "__row", "__open", "__found"
+_ROW, _OPEN, _FOUND, _HEADS = "__row", "__open", "__found", "__heads"
 
 
 @dataclass(frozen=True)
@@ -119,14 +120,12 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
         sizes = [self.sizes.get(name, IndexSize(0, 0)) for name, _ in names]
         texts = [column(name).cast("string") for name, _ in names]
         large = [i for i, size in enumerate(sizes) if size.values > size.head]
-        rows = dataset
-        if large:
-            # Open values leave their rows and come back, so rows need numbers that stay.
-            rows = stage(dataset.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-        for i, ((name, _), size) in enumerate(zip(names, sizes)):
-            rows = join_head(rows, texts[i], self.index_of(name), size, f"__head_{i}")
-        ranks = [F.col(f"__head_{i}") for i in range(len(names))]
+        rows = dataset.withColumn(_ROW, F.monotonically_increasing_id()) if large else dataset
+        rows = rows.withColumn(_HEADS, self._in_heads(texts, [size.head for size in sizes]))
+        ranks = [F.col(_HEADS)[f"h{i}"] for i in range(len(names))]
         if large:
+            # Open values leave their rows and come back, so rows need numbers that stay; the heads are looked up once.
+            rows = stage(rows, "rows")
             rows = self._with_rare(rows, [(i, names[i][0], texts[i], sizes[i]) for i in large])
             ranks = [F.coalesce(r, F.element_at(_FOUND, F.lit(i))) if i in large else r for i, r in enumerate(ranks)]
         outputs = []
@@ -143,10 +142,31 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
             indexed = indexed.na.drop(subset=[quoted(c) for c in self.getOutputCols()])
         return indexed
 
+    def _in_heads(self, texts: list[Column], heads: list[int]) -> Column:
+        """A struct of the ranks of the texts in the heads of their columns, null where a text is not there.
+
+        All columns are looked up in one call for a batch of rows. A join for each makes, of many columns,
+        a stage of code that is too large to be compiled.
+        """
+        in_head = F.lit(False)
+        for name, head in dict(zip(self.getInputCols(), heads)).items():
+            in_head = in_head | ((F.col("column") == F.lit(name)) & (F.col("rank") < head))
+        found = self.ranks.where(in_head).select("column", F.col("value").cast("binary").alias("value"), "rank").toArrow()
+        found = found.sort_by("rank")
+        own = {c: found.filter(pc.equal(found["column"], c))["value"].combine_chunks() for c in set(self.getInputCols())}
+        sent = self.ranks.sparkSession.sparkContext.broadcast([own[c] for c in self.getInputCols()])
+
+        @F.arrow_udf(", ".join(f"h{i} long" for i in range(len(texts))))
+        def look_up(*columns: pa.Array) -> pa.Array:
+            ranks = [pc.index_in(c.cast(v.type), value_set=v, skip_nulls=True).cast("int64") for c, v in zip(columns, sent.value)]
+            return pa.StructArray.from_arrays(ranks, [f"h{i}" for i in range(len(ranks))])
+
+        return look_up(*[t.cast("binary") for t in texts])
+
     def _with_rare(self, rows: DataFrame, large: list[tuple]) -> DataFrame:
         """The rows with a map from column number to rank for the values that the heads left open."""
         triples = [
-            F.when(F.col(f"__head_{i}").isNull() & text.isNotNull(), F.struct(F.lit(i).alias("no"), digest(text).alias("key")))
+            F.when(F.col(_HEADS)[f"h{i}"].isNull() & text.isNotNull(), F.struct(F.lit(i).alias("no"), digest(text).alias("key")))
             for i, _, text, _ in large
         ]
         opened = rows.withColumn(_OPEN, F.array_compact(F.array(*triples)))
@@ -157,7 +177,7 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
         ]
         tail = reduce(DataFrame.unionByName, tails)
         sought = open_.select(_ROW, F.inline(_OPEN))
-        heavy = heavy_values(rows, {i: F.when(F.col(f"__head_{i}").isNull(), text) for i, _, text, _ in large})
+        heavy = heavy_values(rows, {i: F.when(F.col(_HEADS)[f"h{i}"].isNull(), text) for i, _, text, _ in large})
         sought = self._with_heavy(sought, heavy, tail)
         known = tail.select(F.col("no").alias("__no"), F.col("key").alias("__key"), F.col("rank").alias("__rank"))
         looked_up = sought.join(known, (F.col("no") == F.col("__no")) & (F.col("spread_key") == F.col("__key")), "left")

@@ -1,17 +1,19 @@
 """Means, deviations, correlations and components of a table from one pass over it.
 
-One row of aggregates (count, means, covariances) has all that scaling, correlations and principal
+One row of aggregates (count, means, covariances), merged from one of every task, has all that scaling, correlations and principal
 components need; they follow on the driver from a matrix as wide as the columns are many. Rows that
 lack one of the columns do not count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,33 @@ from pyspark.sql import functions as F
 from blotter.functions.names import column
 
 
+_PART = "n long, means array<double>, covariances array<array<double>>, least array<double>, greatest array<double>"
+
+
+def _task_moments(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task tells of its rows: one row, batch by batch from deviations of the batch's own means."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, means, within = 0, np.zeros(width), np.zeros((width, width))
+        least, greatest = np.full(width, np.inf), np.full(width, -np.inf)
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            own = x.mean(axis=0)
+            apart, centred = own - means, x - own
+            within += centred.T @ centred + np.outer(apart, apart) * (n * m / (n + m))
+            means = means + apart * (m / (n + m))
+            n += m
+            least, greatest = np.minimum(least, x.min(axis=0)), np.maximum(greatest, x.max(axis=0))
+        if n:
+            found = {"n": [n], "means": [means.tolist()], "covariances": [(within / n).tolist()]}
+            yield pa.RecordBatch.from_pydict({**found, "least": [least.tolist()], "greatest": [greatest.tolist()]})
+
+    return told
+
+
 @dataclass(frozen=True)
 class Moments:
     """Of the named columns: rows, means, population covariances, least and greatest values."""
@@ -37,19 +66,16 @@ class Moments:
 
     @staticmethod
     def fit(df: DataFrame, names: list[str]) -> Moments:
-        pairs = list(combinations_with_replacement(range(len(names)), 2))
-        x = [column(c).cast("double") for c in names]
         complete = df.filter(reduce(Column.__and__, [column(c).isNotNull() for c in names]))
-        k = len(names)
-        each = [f(c) for f in (F.avg, F.min, F.max) for c in x]
-        row = complete.agg(F.count(F.lit(1)), *each, *[F.covar_pop(x[i], x[j]) for i, j in pairs]).first()
-        if not row[0]:
+        numbers = complete.select(*[column(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+        # One row for each task: an aggregate for every pair of columns makes code that is never compiled.
+        parts = [
+            Moments(list(names), r["n"], *(np.array(r[f]) for f in ("means", "covariances", "least", "greatest")))
+            for r in numbers.mapInArrow(_task_moments(len(names)), _PART).collect()
+        ]
+        if not parts:
             raise ValueError("no rows to fit on")
-        found = np.zeros((k, k))
-        for (i, j), c in zip(pairs, row[1 + 3 * k :]):
-            found[i, j] = found[j, i] = c
-        means, least, greatest = (np.array(row[1 + i * k : 1 + (i + 1) * k]) for i in range(3))
-        return Moments(list(names), row[0], means, found, least, greatest)
+        return reduce(Moments.merged, parts)
 
     def merged(self, other: Moments) -> Moments:
         """Of the rows of both, without reading them again."""

@@ -271,3 +271,23 @@ def test_decode_many_labels(spark):
     assert all(r.named == (labels[int(r.p)] if r.p < 2500 else None) for r in found.collect())
     few = decode(df, "p", labels[:3], "named").filter("id < 4").orderBy("id").collect()
     assert [r.named for r in few] == ["class 0", "class 1", "class 2", None]
+
+
+def test_heads_are_looked_up_in_one_call(spark):
+    """No join for each column: with many of them the stage's code would be too large to be compiled."""
+    names = [f"c{i}" for i in range(12)]
+    df = spark.range(200).select("id", *[F.when(F.col("id") % 7 != 0, (F.col("id") % (i + 2)).cast("string")).alias(c) for i, c in enumerate(names)])
+    indexed = FrequencyIndexer(names, handleInvalid="keep").fit(df).transform(df)
+    assert "Join" not in indexed._jdf.queryExecution().optimizedPlan().toString()
+    small = FrequencyIndexer(names, handleInvalid="keep", head_entries=24).fit(df).transform(df)
+    assert sorted(map(tuple, indexed.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
+    assert {r.c0_index for r in indexed.filter("id % 7 = 0").select(F.col(indexed.columns[13]).alias("c0_index")).collect()} == {2.0}
+
+
+def test_moments_far_from_zero(spark):
+    """Merged from the tasks' own; a constant column has no variance."""
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") % 11 + 1e9).alias("a"), (F.col("id") * 0.5).alias("b"), F.lit(3.0).alias("c"))
+    found = Moments.fit(df, ["a", "b", "c"])
+    a, b = np.arange(5000) % 11 + 1e9, np.arange(5000) * 0.5
+    assert found.n == 5000 and np.allclose(found.covariances[:2, :2], np.cov([a, b], bias=True), rtol=1e-9, atol=1e-4)
+    assert not found.covariances[2].any() and list(found.least) == [1e9, 0.0, 3.0]
