@@ -17,6 +17,7 @@ once and sent by broadcast too, so that no task of the shuffle gets more of them
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -68,6 +69,27 @@ def join_head(df: DataFrame, text: Column, index: DataFrame, size: IndexSize, ou
     return df.join(F.broadcast(head), digest(text) == F.col(f"{out}_key"), "left").drop(f"{out}_key")
 
 
+def _in_values(sent) -> Callable[..., pa.Array]:
+    """A function that finds, batch after batch, the texts of each column among the values sent for it.
+
+    ``index_in`` hashes the values anew in every call; those that outnumber a batch are hashed once a task.
+    """
+    hashed: dict[int, dict[bytes, int]] = {}
+
+    def places(no: int, texts: pa.Array, values: pa.Array) -> pa.Array:
+        if len(values) <= len(texts):
+            return pc.index_in(texts.cast(values.type), value_set=values, skip_nulls=True).cast("int64")
+        if no not in hashed:
+            hashed[no] = {value: place for place, value in enumerate(values.to_pylist())}
+        return pa.array(map(hashed[no].get, texts.to_pylist()), pa.int64())
+
+    def look_up(*columns: pa.Array) -> pa.Array:
+        found = [places(i, texts, values) for i, (texts, values) in enumerate(zip(columns, sent.value))]
+        return pa.StructArray.from_arrays(found, [f"h{i}" for i in range(len(found))])
+
+    return look_up
+
+
 class FrequencyIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid):
     """Replace each value by its frequency rank in its column, as a double.
 
@@ -156,11 +178,7 @@ class FrequencyIndexModel(Model, HasInputCols, HasOutputCols, HasHandleInvalid):
         own = {c: found.filter(pc.equal(found["column"], c))["value"].combine_chunks() for c in set(self.getInputCols())}
         sent = self.ranks.sparkSession.sparkContext.broadcast([own[c] for c in self.getInputCols()])
 
-        @F.arrow_udf(", ".join(f"h{i} long" for i in range(len(texts))))
-        def look_up(*columns: pa.Array) -> pa.Array:
-            ranks = [pc.index_in(c.cast(v.type), value_set=v, skip_nulls=True).cast("int64") for c, v in zip(columns, sent.value)]
-            return pa.StructArray.from_arrays(ranks, [f"h{i}" for i in range(len(ranks))])
-
+        look_up = F.arrow_udf(_in_values(sent), ", ".join(f"h{i} long" for i in range(len(texts))))
         return look_up(*[t.cast("binary") for t in texts])
 
     def _with_rare(self, rows: DataFrame, large: list[tuple]) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from blotter.operators.scaling import PopulationScaler
 from blotter.operators.charts import confusion_heatmap, roc_chart
 from blotter.operators.scores import accuracy, area, confusion_matrix, curve, prediction_counts, ranked_scores
 from blotter.operators.splits import key_bucket, with_split
+from blotter.plans.forests import with_votes
 from blotter.plans.tasks import Task
 from blotter.schema import KEY
 from blotter.staging import stage
@@ -192,13 +193,10 @@ def train_outcome(df: DataFrame, task: Task, settings: Settings = Settings()) ->
         forest = settings.forest.estimator("label", vector).fit(training)
     finally:
         training.unpersist()
-    scored = forest.transform(featured.filter("is_test")).select(
-        column(settings.key), "label", "prediction", "probability"
-    )
-    if task.binary:
-        # The share of trees for the rarer class, which has the second label.
-        scored = scored.withColumn("score", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
-    named = decode(decode(scored.drop("probability"), "label", labels, "actual"), "prediction", labels, "predicted")
+    scored = with_votes(forest, featured.filter("is_test").select(column(settings.key), "label", vector), vector)
+    # The score is the share of trees for the rarer class, which has the second label.
+    scored = scored.select(column(settings.key), "label", "prediction", *(["score"] if task.binary else []))
+    named = decode(decode(scored, "label", labels, "actual"), "prediction", labels, "predicted")
     # Accuracy, curves and charts read them again and again; the forest is applied once.
     positive = labels[1] if task.binary and len(labels) > 1 else None
     return Outcome(task, labels, explained, indexer, forest, stage(named, "predictions"), positive)

@@ -291,3 +291,25 @@ def test_moments_far_from_zero(spark):
     a, b = np.arange(5000) % 11 + 1e9, np.arange(5000) * 0.5
     assert found.n == 5000 and np.allclose(found.covariances[:2, :2], np.cov([a, b], bias=True), rtol=1e-9, atol=1e-4)
     assert not found.covariances[2].any() and list(found.least) == [1e9, 0.0, 3.0]
+
+
+def test_a_large_head_is_hashed_once_a_task(monkeypatch):
+    """Before, every batch hashed all values of the head anew."""
+    import pyarrow as pa
+
+    from blotter.operators import indexing
+
+    hashed = []
+    plain = indexing.pc.index_in
+    monkeypatch.setattr(indexing.pc, "index_in", lambda texts, value_set, **kw: hashed.append(len(value_set)) or plain(texts, value_set=value_set, **kw))
+
+    class Sent:
+        value = [pa.array([b"%d" % i for i in range(1000)]), pa.array([b"x", b"y"])]
+
+    look_up = indexing._in_values(Sent)
+    for first in range(0, 1200, 100):
+        texts = [b"%d" % i for i in range(first, first + 99)] + [None]
+        got = look_up(pa.array(texts), pa.array([b"y", None, b"z"] * 33 + [b"x"])).to_pylist()
+        assert [r["h0"] for r in got] == [i if i < 1000 else None for i in range(first, first + 99)] + [None]
+        assert [r["h1"] for r in got] == [1, None, None] * 33 + [0]
+    assert set(hashed) == {2}
