@@ -36,7 +36,8 @@ def cast_columns(df: DataFrame, names: list[str], to: str = "double") -> DataFra
     def number(field: T.StructField) -> Column:
         value = column(field.name)
         if isinstance(field.dataType, T.StringType):
-            return F.coalesce(value.try_cast(to), value.try_cast("boolean").cast("int").cast(to), value.cast(to))
+            # Truth values first: a failing cast to a number costs an exception, and 0 and 1 are the same either way.
+            return F.coalesce(value.try_cast("boolean").cast("int").cast(to), value.try_cast(to), value.cast(to))
         return value.cast(to)
 
     return df.select(*[number(f).alias(f.name) if f.name in wanted else column(f.name) for f in df.schema.fields])

@@ -9,6 +9,7 @@ from blotter.operators.filters import drop_incomplete
 from blotter.operators.vocabulary import encode_columns, fit_vocabulary
 from blotter.schema import NULL_TOKENS, RAW_ONLY_FIELDS
 from blotter.sources.tables import write_table
+from blotter.staging import stage
 
 # Text columns that become word numbers, and what those are called.
 ENCODED = {"Location Description": "Loc_Descr_Int", "Primary Type": "Prim_Type_Int"}
@@ -20,7 +21,11 @@ def clean(raw: DataFrame, null_tokens: list[str] = NULL_TOKENS) -> DataFrame:
 
 
 def encode(cleaned: DataFrame, names: dict[str, str] = ENCODED) -> DataFrame:
-    """The text columns replaced by word numbers from one shared vocabulary."""
+    """The text columns replaced by word numbers from one shared vocabulary.
+
+    The rows are read three times and staged, so that what made them is worked out once, and apart from the joins.
+    """
+    cleaned = stage(cleaned, "cleaned")
     vocabulary = fit_vocabulary(cleaned, list(names))
     return drop_columns(encode_columns(cleaned, names, vocabulary), list(names))
 

@@ -145,6 +145,15 @@ def test_casting_keeps_order_and_other_columns(spark):
     assert cast_columns(df, ["a", "c"]).dtypes == [("a", "double"), ("b", "string"), ("c", "double")]
 
 
+def test_truth_values_are_not_parsed_as_numbers(spark):
+    """A failing cast to a number costs an exception for every row; before, it came first."""
+    texts = ["TRUE", "false", "0", "1", " 1 ", "1.5", "-2", "1e3", "y", None]
+    found = cast_columns(spark.createDataFrame([(t,) for t in texts], "x string"), ["x"])
+    assert [r["x"] for r in found.collect()] == [1.0, 0.0, 0.0, 1.0, 1.0, 1.5, -2.0, 1000.0, 1.0, None]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("as boolean") < plan.index("x#") + 200 and "coalesce(cast(cast(" in plan.replace("try_", "")
+
+
 def test_standardize_uses_the_sample_deviation(spark):
     df = scaling.assemble(spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (6.0, 5.0)], "x double, y double"), ["x", "y"])
     found = vector_elements(scaling.standardize(df), "scaled_features", ["zx", "zy"]).orderBy("x").collect()
