@@ -53,7 +53,7 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(BREAKS)] = True
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-_NUMBERS = "number long, occurrences long"
+_NUMBERS = "number long, occurrences long, first boolean"
 _TOLD = "number long, lang string, words int, phrase string"
 
 
@@ -77,13 +77,13 @@ def windows(data: bytes) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.nda
         part = carried + data[at:stop]
         at, seen = stop, np.frombuffer(part, np.uint8)
         first, number = _words_of(seen, np.zeros(1, np.int64), _SEPARATOR)
-        inside = ~_SEPARATOR[seen]
-        ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
-        piece = np.cumsum(_BREAK[seen])[first] if len(first) else first
+        outside = np.append(_SEPARATOR[seen], True)
+        ends = np.flatnonzero(outside[1:] > outside[:-1]) + 1
+        breaks = np.cumsum(_BREAK[seen], dtype=np.int32)
+        piece = breaks[first]
         new = int(np.searchsorted(first, len(carried)))
         yield part, first, ends, number, piece, new
         # The last words again, with one separator each: a break where there was one between them.
-        breaks = np.cumsum(_BREAK[seen])
         carried = b""
         for i in range(max(0, len(first) - LONGEST + 1), len(first)):
             after = breaks[first[i + 1]] if i + 1 < len(first) else breaks[-1]
@@ -112,11 +112,18 @@ def _slots(number: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return one >> np.uint64(64 - bits), mixed(one) >> np.uint64(64 - bits)
 
 
-def _holds(table: np.ndarray, slots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    found = np.ones(len(slots[0]), dtype=bool)
-    for slot in slots:
-        found &= (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return found
+def _holds(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _held(table: np.ndarray, number: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the table holds the numbers, and the places of those; the second place is worked out where the first is set."""
+    one = mixed(number ^ np.uint64(0x2545F4914F6CDD1D))
+    slot = one >> np.uint64(64 - bits)
+    at = np.flatnonzero(_holds(table, slot))
+    other = mixed(one[at]) >> np.uint64(64 - bits)
+    both = _holds(table, other)
+    return at[both], slot[at[both]], other[both]
 
 
 def _set(table: np.ndarray, slots: tuple[np.ndarray, ...]) -> None:
@@ -124,24 +131,27 @@ def _set(table: np.ndarray, slots: tuple[np.ndarray, ...]) -> None:
         np.bitwise_or.at(table, slot >> np.uint64(3), np.left_shift(1, slot & np.uint64(7)).astype(np.uint8))
 
 
-def active_phrases(window: tuple, own: np.uint64, tables: tuple[np.ndarray, np.ndarray, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, positions, numbers) of the longer phrases whose two shorter ones are held, one of them as recent."""
+def active_phrases(window: tuple, own: np.uint64, tables: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, positions, numbers, which are new) of the longer phrases whose two shorter ones are held, one of them as recent.
+
+    A phrase is new in the step after the one in which the later of its shorter ones reached the threshold.
+    """
     _, _, _, words, piece, new = window
-    reached, recent, bits = tables
+    reached, recent, newest, bits = tables
     shorter = numbered(words, 1, own)
     for n in range(2, LONGEST + 1):
         places = len(words) - n + 1
         if places <= 0:
             return
-        slots = _slots(shorter, bits)
-        old = _holds(reached, slots)
-        young = old if recent is reached else _holds(recent, slots)
-        active = old[:places] & old[1 : places + 1] & (young[:places] | young[1 : places + 1])
-        active &= piece[:places] == piece[n - 1 :]
-        active[: max(0, new - n + 1)] = False
+        held, *slots = _held(reached, shorter, bits)
+        young, latest = (np.logical_and(*(_holds(table, slot) for slot in slots)) for table in (recent, newest))
         shorter = numbered(words, n, own)
-        at = np.flatnonzero(active)
-        yield n, at, shorter[at]
+        # Both shorter phrases are held: their places follow one another.
+        pair = np.flatnonzero((held[1:] - held[:-1] == 1) & (young[1:] | young[:-1]))
+        at = held[pair]
+        fits = (piece[at] == piece[at + n - 1]) & (at > new - n)
+        pair, at = pair[fits], at[fits]
+        yield n, at, shorter[at], latest[pair] | latest[pair + 1]
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, tuple]]:
@@ -163,37 +173,44 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, tuple]
                 low = high
 
 
-def _stepped(batches: Iterator[pa.RecordBatch], singles: bool, tables) -> Iterator[pa.RecordBatch]:
-    """One step over a part of a shard: counts by number, among them of all words of a language."""
-    tables = None if tables is None else tables.value
-    held, waiting, totals = [], 0, {}
-
-    def counts() -> pa.RecordBatch:
-        number, times = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
-        number, times = np.append(number, np.array(list(totals), np.uint64)), np.append(times, list(totals.values())).astype(np.int64)
-        held.clear()
+def _stepped(batches: Iterator[pa.RecordBatch], step: int, shards: int, tables) -> Iterator[pa.RecordBatch]:
+    """One step over a part of a shard: counts by number, among them of all words of a language, and whether it is the number's first step."""
+    tables, singles = None if tables is None else tables.value, step <= shards
+    held: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    waiting, totals = 0, {}
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        for first, found in held.items():
+            number, times = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            if first == (step == 1):
+                number, times = np.append(number, np.array(list(totals), np.uint64)), np.append(times, list(totals.values())).astype(np.int64)
+            columns = [pa.array(number.view(np.int64)), pa.array(times.astype(np.int64)), pa.repeat(first, len(number))]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "occurrences", "first"])
+            found.clear()
         totals.clear()
-        return pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(times)], names=["number", "occurrences"])
 
     for lang, window in _windows_of(batches):
         words, new, own = window[3], window[5], language_number(lang)
-        found = []
+        found = {True: [], False: []}
         if singles:
-            found.append(numbered(words[new:], 1, own))
+            found[step == 1].append(numbered(words[new:], 1, own))
             totals[total_number(own)] = totals.get(total_number(own), 0) + len(words) - new
         if tables is not None:
-            found += [number for *_, number in active_phrases(window, own, tables)]
-        held += found
-        waiting += sum(map(len, found))
+            for *_, number, first in active_phrases(window, own, tables):
+                found[True].append(number[first])
+                found[False].append(number[~first])
+        for first, more in found.items():
+            held[first] += more
+            waiting += sum(map(len, more))
         if waiting >= HELD:
-            yield counts()
+            yield from counts()
             waiting = 0
-    yield counts()
+    yield from counts()
 
 
 def _told(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
     """What the table holds, in words, each once or a few times a task."""
-    table, _, bits = tables.value
+    table, *_, bits = tables.value
     known: dict[int, tuple[str, int, bytes]] = {}
 
     def given() -> pa.RecordBatch:
@@ -208,7 +225,8 @@ def _told(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]
         known.setdefault(int(total_number(own)), (lang, 0, b""))
         for n in range(1, min(LONGEST, len(words)) + 1):
             number = numbered(words, n, own)
-            at = np.flatnonzero(_holds(table, _slots(number, bits)) & (piece[: len(number)] == piece[n - 1 :]))
+            at = _held(table, number, bits)[0]
+            at = at[piece[at] == piece[at + n - 1]]
             each, where = np.unique(number[at], return_index=True)
             for value, i in zip(each.tolist(), at[where].tolist()):
                 if value not in known:
@@ -219,29 +237,32 @@ def _told(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]
 
 
 def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Numbers to the bytes of their bits: (byte, all, recent)."""
-    tables = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
+    """Numbers to the bytes of their bits: (byte, all, recent, newest)."""
+    tables = np.zeros((3, 1 << bits >> 3), dtype=np.uint8)
     for batch in batches:
         number = np.asarray(batch.column(0)).view(np.uint64)
-        recent = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         _set(tables[0], _slots(number, bits))
-        _set(tables[1], _slots(number[recent], bits))
+        for table, column in zip(tables[1:], batch.columns[1:]):
+            _set(table, _slots(number[column.to_numpy(zero_copy_only=False).astype(bool)], bits))
     at = np.flatnonzero(tables[0])
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(t[at].astype(np.int64)) for t in tables)], names=["byte", "reached", "recent"])
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(t[at].astype(np.int64)) for t in tables)], names=["byte", *_TABLES])
 
 
 # --- steps ------------------------------------------------------------------------
 
+_TABLES = ("reached", "recent", "newest")
+
 
-def _tables(reached: DataFrame, entries: int, oldest: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bit tables over all numbers, and over those that reached the threshold in step ``oldest`` or later."""
+def _tables(reached: DataFrame, entries: int, oldest: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Bit tables over all numbers, and over those that reached the threshold in step ``oldest`` or later, and in ``last``."""
     bits = min(max((_BITS_EACH * max(entries, 1)).bit_length(), _LEAST_BITS), _MOST_BITS)
-    asked = reached.select("number", (F.col("step") >= oldest).alias("recent"))
-    rows = asked.mapInArrow(partial(_bits, bits=bits), "byte long, reached long, recent long").groupBy("byte").agg(F.bit_or("reached").alias("reached"), F.bit_or("recent").alias("recent")).toArrow()
-    tables = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
-    for table, name in zip(tables, ("reached", "recent")):
+    asked = reached.select("number", (F.col("step") >= oldest).alias("recent"), (F.col("step") >= last).alias("newest"))
+    told = asked.mapInArrow(partial(_bits, bits=bits), ", ".join(f"{c} long" for c in ("byte", *_TABLES)))
+    rows = told.groupBy("byte").agg(*[F.bit_or(c).alias(c) for c in _TABLES]).toArrow()
+    tables = np.zeros((3, 1 << bits >> 3), dtype=np.uint8)
+    for table, name in zip(tables, _TABLES):
         table[np.asarray(rows.column("byte"))] = np.asarray(rows.column(name))
-    return tables[0], tables[1], bits
+    return *tables, bits
 
 
 def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS) -> DataFrame:
@@ -262,13 +283,13 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
     while step < shards or youngest > step - shards:
         step += 1
         longer = reached.filter(_words().between(1, LONGEST - 1)) if entries else None
-        tables = spark.sparkContext.broadcast(_tables(longer, entries, step - shards)) if entries else None
+        tables = spark.sparkContext.broadcast(_tables(longer, entries, step - shards, step - 1)) if entries else None
         shard = texts.filter(F.col("shard") == (step - 1) % shards).select("lang", "text")
-        counted = stage(shard.mapInArrow(partial(_stepped, singles=step <= shards, tables=tables), _NUMBERS), f"phrase-counts-{step}")
+        counted = stage(shard.mapInArrow(partial(_stepped, step=step, shards=shards, tables=tables), _NUMBERS), f"phrase-counts-{step}")
         if len(cycle) == shards:
             discard(cycle.pop(0))
         cycle.append(counted)
-        before, reached = reached, stage(_reached(cycle, reached, step, threshold), f"phrases-reached-{step}")
+        before, reached = reached, stage(_reached(cycle, reached, step, threshold, shards), f"phrases-reached-{step}")
         if before is not None:
             discard(before)
         entries, youngest = reached.agg(F.count(F.lit(1)), F.coalesce(F.max(F.when(_words().between(1, LONGEST - 1), F.col("step"))), F.lit(0))).first()
@@ -286,19 +307,21 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
 
 def _in_words(texts: DataFrame, reached: DataFrame, entries: int, label: str) -> DataFrame:
     """(number, lang, words, phrase) of the numbers that occur in these texts."""
-    tables = texts.sparkSession.sparkContext.broadcast(_tables(reached, entries, 0))
+    tables = texts.sparkSession.sparkContext.broadcast(_tables(reached, entries, 0, 0))
     told = texts.select("lang", "text").mapInArrow(partial(_told, tables=tables), _TOLD)
     one = told.groupBy("number").agg(F.min(F.struct("lang", "words", "phrase")).alias("p")).select("number", "p.*")
     return stage(one.join(reached.select("number"), "number", "left_semi"), label)
 
 
-def _reached(cycle: list[DataFrame], before: DataFrame | None, step: int, threshold: int) -> DataFrame:
+def _reached(cycle: list[DataFrame], before: DataFrame | None, step: int, threshold: int, shards: int) -> DataFrame:
     """(number, step, occurrences) of all phrases that the last cycle or one before found often enough.
 
-    ``step`` is the first that did; the largest sum of any cycle is the phrase's count. Totals of
+    ``step`` is the first that did; the largest sum of any cycle is the phrase's count. Of the first step of a
+    whole cycle only new phrases are summed again: the cycle of all others there has ended before. Totals of
     languages (of no words) are kept whatever they are.
     """
-    rows = reduce(DataFrame.unionByName, [counted.select("number", "occurrences", F.lit(None).cast("int").alias("step"), F.lit(0).cast("long").alias("most")) for counted in cycle])
+    counts = [cycle[0].filter("first") if len(cycle) == shards else cycle[0], *cycle[1:]]
+    rows = reduce(DataFrame.unionByName, [counted.select("number", "occurrences", F.lit(None).cast("int").alias("step"), F.lit(0).cast("long").alias("most")) for counted in counts])
     if before is not None:
         rows = rows.unionByName(before.select("number", F.lit(0).cast("long").alias("occurrences"), "step", F.col("occurrences").alias("most")))
     summed = rows.groupBy("number").agg(F.sum("occurrences").alias("now"), F.min("step").alias("step"), F.max("most").alias("most"))
