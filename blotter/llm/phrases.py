@@ -284,10 +284,10 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
         step += 1
         longer = reached.filter(_words().between(1, LONGEST - 1)) if entries else None
         tables = spark.sparkContext.broadcast(_tables(longer, entries, step - shards, step - 1)) if entries else None
+        if len(cycle) == shards:  # summed for the last time in the step before
+            discard(cycle.pop(0))
         shard = texts.filter(F.col("shard") == (step - 1) % shards).select("lang", "text")
         counted = stage(shard.mapInArrow(partial(_stepped, step=step, shards=shards, tables=tables), _NUMBERS), f"phrase-counts-{step}")
-        if len(cycle) == shards:
-            discard(cycle.pop(0))
         cycle.append(counted)
         before, reached = reached, stage(_reached(cycle, reached, step, threshold, shards), f"phrases-reached-{step}")
         if before is not None:

@@ -110,3 +110,11 @@ def test_scores_beyond_64_bits(spark):
     ).first()["s"]
     assert product == 1000 * 90000000000 * 900000000000001 // (90000000001 * 90000000007)
     assert np.int64(product) == product
+
+
+def test_old_counts_are_not_summed_again(spark):
+    """Of the first step of a cycle only new phrases count; before, all its rows were exchanged twice."""
+    fields = "number long, occurrences long, first boolean"
+    steps = [spark.createDataFrame(rows, fields) for rows in ([(1, 60, True), (9, 60, False)], [(1, 60, False), (9, 60, False)])]
+    assert [tuple(r) for r in phrases._reached(steps, None, 4, 100, 2).collect()] == [(1, 4, 120)]
+    assert len(phrases._reached(steps, None, 4, 100, 3).collect()) == 2
