@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from blotter.llm.tables import discard, named
 from blotter.llm.tokens import _words_of, grams, mixed, numbers, text_bytes
 from blotter.operators.positions import with_position
-from blotter.staging import stage
+from blotter.staging import shuffles_deleted, stage
 
 THRESHOLD = 100
 LONGEST = 5
@@ -44,6 +44,8 @@ WINDOW = 1_000_000  # bytes that are numbered at once
 HELD = 3_000_000  # occurrences that a task holds before it gives their counts, and
 TOLD = 200_000  # phrases that it holds in words
 FEW_LANGUAGES = 10_000  # so many totals are broadcast
+SLICE_ROWS = 8_000_000  # counts that are summed at once, but in at most
+MOST_SLICES = 8
 _LEAST_BITS, _MOST_BITS, _BITS_EACH = 20, 27, 32
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -270,6 +272,11 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
 
     The row of no words has the occurrences of all words of the language.
     """
+    with shuffles_deleted(docs.sparkSession):
+        return _frequent_phrases(docs, threshold, shards)
+
+
+def _frequent_phrases(docs: DataFrame, threshold: int, shards: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(
         F.coalesce(named(docs, "lang"), F.lit(UNKNOWN)).alias("lang"),
@@ -289,7 +296,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
         shard = texts.filter(F.col("shard") == (step - 1) % shards).select("lang", "text")
         counted = stage(shard.mapInArrow(partial(_stepped, step=step, shards=shards, tables=tables), _NUMBERS), f"phrase-counts-{step}")
         cycle.append(counted)
-        before, reached = reached, stage(_reached(cycle, reached, step, threshold, shards), f"phrases-reached-{step}")
+        before, reached = reached, _staged_slices(_reached(cycle, reached, step, threshold, shards), sum(c.count() for c in cycle), f"phrases-reached-{step}")
         if before is not None:
             discard(before)
         entries, youngest = reached.agg(F.count(F.lit(1)), F.coalesce(F.max(F.when(_words().between(1, LONGEST - 1), F.col("step"))), F.lit(0))).first()
@@ -329,6 +336,13 @@ def _reached(cycle: list[DataFrame], before: DataFrame | None, step: int, thresh
     return often.select("number", F.coalesce("step", F.lit(step)).alias("step"), F.greatest("now", "most").alias("occurrences"))
 
 
+def _staged_slices(summed: DataFrame, rows: int, label: str) -> DataFrame:
+    """What is summed by number, one slice of the numbers after the other, so that only a slice's shuffle lies on disk."""
+    slices = min(MOST_SLICES, 1 + rows // SLICE_ROWS)
+    own = F.pmod(F.shiftright("number", 3), F.lit(slices))
+    return reduce(DataFrame.unionByName, [stage(summed.filter(own == i), label) for i in range(slices)])
+
+
 def _words() -> Column:
     return F.col("number").bitwiseAND(F.lit(7))
 
@@ -349,6 +363,11 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, most: int = 2000,
     ``a`` is the phrase's count, ``l`` and ``r`` are those of the two parts of its weakest cut, ``n`` all words. A
     phrase goes if a longer one contains it every time.
     """
+    with shuffles_deleted(docs.sparkSession):
+        return _collocations(docs, threshold, most, shards)
+
+
+def _collocations(docs: DataFrame, threshold: int, most: int, shards: int) -> DataFrame:
     found = stage(frequent_phrases(docs, threshold, shards), "phrases-frequent")
     every = found.filter("words = 0").select("lang", F.col("occurrences").alias("n"))
     known = found.filter("words > 0").select("lang", "phrase", F.col("occurrences"))

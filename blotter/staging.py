@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from blotter.functions.names import column
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folder: str | None = None
 _released = 0
 
@@ -52,6 +55,20 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*[column(c) for c in df.columns])
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a query shuffled is deleted when that query ends, not when the driver happens to collect garbage.
+
+    For plans of many staged steps, whose old shuffles no one reads again; a query that is run twice shuffles twice.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def tenure(spark: SparkSession) -> tuple[str, str, int]:
     """What staged tables belong to: they can be used again as long as this stays the same."""
     return spark.sparkContext.applicationId, staging_root(spark), _released

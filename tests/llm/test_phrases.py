@@ -118,3 +118,29 @@ def test_old_counts_are_not_summed_again(spark):
     steps = [spark.createDataFrame(rows, fields) for rows in ([(1, 60, True), (9, 60, False)], [(1, 60, False), (9, 60, False)])]
     assert [tuple(r) for r in phrases._reached(steps, None, 4, 100, 2).collect()] == [(1, 4, 120)]
     assert len(phrases._reached(steps, None, 4, 100, 3).collect()) == 2
+
+
+def test_slices_change_nothing_and_leave_no_shuffle(spark, monkeypatch):
+    """Numbers are summed slice by slice; what a step shuffled, all of it at once before, is gone when the step ends."""
+    docs, files = documents(spark), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in files.getAllFiles().mkString(" ").split() if f.endswith(".data")}
+
+    expected, labels, left = found(docs, threshold=4), [], []
+    before = shuffled()
+
+    def watched(df, label, *by):
+        told = stage(df, label, *by)
+        labels.append(label)
+        left.append(len(shuffled() - before))
+        return told
+
+    stage = phrases.stage
+    monkeypatch.setattr(phrases, "stage", watched)
+    monkeypatch.setattr(phrases, "SLICE_ROWS", 1)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    earlier = spark.conf.get(setting, None)
+    assert found(docs, threshold=4) == expected
+    assert labels.count("phrases-reached-2") == phrases.MOST_SLICES
+    assert max(left[1:]) <= 12 and spark.conf.get(setting, None) == earlier
