@@ -62,13 +62,6 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def join_head(df: DataFrame, text: Column, index: DataFrame, size: IndexSize, out: str) -> DataFrame:
-    """Add the rank of a text from the head of ``index (value, rank)`` by broadcast; null if it is not there."""
-    head = index.where(F.col("rank") < size.head)
-    head = head.select(digest(F.col("value")).alias(f"{out}_key"), F.col("rank").alias(out))
-    return df.join(F.broadcast(head), digest(text) == F.col(f"{out}_key"), "left").drop(f"{out}_key")
-
-
 def _in_values(sent) -> Callable[..., pa.Array]:
     """A function that finds, batch after batch, the texts of each column among the values sent for it.
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.functions.names import column
 from blotter.functions.text import tokenize
 from blotter.operators.counts import token_counts, value_counts
-from blotter.operators.indexing import HEAD_ENTRIES, IndexSize, digest, join_head, plan_heads
+from blotter.operators.indexing import HEAD_ENTRIES, IndexSize, _in_values, digest, plan_heads
 from blotter.operators.positions import with_position
 from blotter.operators.skew import HEAVY_SHARE, spread
 from blotter.staging import stage
@@ -41,15 +45,52 @@ def fit_vocabulary(df: DataFrame, names: list[str], min_count: int = 1, head_ent
     return Vocabulary(placed.select("token", "n", (F.col("rank") + 1).cast("int").alias("id")), size)
 
 
-def _numbered_words(name: str, text_no: int) -> Column:
-    """The words of a text column with their place and the number of the column."""
-    words = F.coalesce(tokenize(column(name)), F.array().cast("array<string>"))
-    return F.transform(
-        words,
-        lambda word, at: F.struct(
-            F.lit(text_no).alias("text_no"), at.alias("at"), word.alias("word")
-        ),
-    )
+def _word_numbers(look_up: Callable[..., pa.Array], others: bool) -> Callable[[pa.Array], pa.Array]:
+    """A function that numbers the words of a batch of texts, from 1.
+
+    Words that are not looked up there are left out, or with ``others`` are listed, each once for a
+    text, as ``open``; their numbers are then their places in that list, as -1, -2, ….
+    """
+
+    def number(texts: pa.Array) -> pa.Array:
+        words = texts.flatten().cast(pa.binary())
+        found = look_up(words).field(0)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        ids = found.fill_null(-1).to_numpy(zero_copy_only=False) + 1
+        of = np.repeat(np.arange(len(texts)), pc.list_value_length(texts).to_numpy(zero_copy_only=False))
+        unknown = np.flatnonzero(~known) if others else np.zeros(0, dtype=np.int64)
+        coded = words.take(pa.array(unknown)).dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        pairs, place = np.unique(of[unknown] * size + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        start = np.searchsorted(pairs // size, np.arange(len(texts) + 1))
+        ids[unknown] = start[of[unknown]] - place - 1
+        kept = ids != 0
+        upto = np.searchsorted(of[kept], np.arange(len(texts) + 1))
+        numbers = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids[kept], pa.int32()))
+        listed = coded.dictionary.take(pa.array(pairs % size)).cast(pa.string())
+        return pa.StructArray.from_arrays([numbers, pa.ListArray.from_arrays(pa.array(start, pa.int32()), listed)], ["ids", "open"])
+
+    return number
+
+
+def _filled() -> Callable[..., pa.Array]:
+    """A function that puts the ranks found for a text's open words in their places; words without one are left out."""
+
+    def fill(ids: pa.Array, opened: pa.Array, places: pa.Array, ranks: pa.Array) -> pa.Array:
+        def rows(lists: pa.Array) -> np.ndarray:
+            return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+        start = np.append(0, np.cumsum(opened.to_numpy(zero_copy_only=False)))
+        told = np.zeros(start[-1], dtype=np.int64)
+        told[start[rows(places)] + places.flatten().to_numpy(zero_copy_only=False)] = ranks.flatten().to_numpy(zero_copy_only=False) + 1
+        of, number = rows(ids), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = np.flatnonzero(number < 0)
+        number[unknown] = told[start[of[unknown]] - number[unknown] - 1]
+        kept = number > 0
+        upto = np.searchsorted(of[kept], np.arange(len(ids) + 1))
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(number[kept], pa.int32()))
+
+    return fill
 
 
 def texts_to_sequences(
@@ -58,40 +99,42 @@ def texts_to_sequences(
     """Per row, the word numbers of each text in order: ``(key, *outputs)``.
 
     ``names`` maps text columns to output columns; ``key`` must be unique, and rows without one
-    are left out. Words outside the vocabulary are left out; a text without words gives an empty sequence. The texts are
-    distributed by key once, so that with a broadcast vocabulary the words of a row never
-    leave the task that cut them.
+    are left out. Words outside the vocabulary are left out; a text without words gives an empty sequence.
+    Texts stay whole: the words of a batch of them are looked up at once in the broadcast head of the
+    vocabulary. What the head leaves open is looked up by shuffle, each word once for a text, and comes back to its row.
     """
-    texts = df.select(column(key).alias("__key"), *[column(n) for n in names])
-    texts = texts.filter("__key is not null").repartition("__key")
-    words = F.concat(*[_numbered_words(n, i) for i, n in enumerate(names)])
-    exploded = texts.select("__key", F.explode_outer(words).alias("__w")).select(
-        "__key", F.col("__w.text_no").alias("__no"), F.col("__w.at").alias("__at"), F.col("__w.word").alias("__word")
+    index, size = vocabulary.words, vocabulary.size
+    others = size.values > size.head
+    head = index.where(F.col("id") <= size.head).select(F.col("token").cast("binary").alias("value"), "id").toArrow().sort_by("id")
+    sent = df.sparkSession.sparkContext.broadcast([head["value"].combine_chunks()])
+    number = F.arrow_udf(_word_numbers(_in_values(sent), others), "ids array<int>, open array<string>")
+    words = [F.coalesce(tokenize(column(n)), F.array().cast("array<string>")) for n in names]
+    numbered = df.filter(column(key).isNotNull()).select(
+        column(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), *[number(w).alias(f"__{i}") for i, w in enumerate(words)]
     )
-    index = vocabulary.words.select(F.col("token").alias("value"), (F.col("id") - 1).alias("rank"))
-    size = vocabulary.size
-    numbered = join_head(exploded, F.col("__word"), index, size, "__rank")
-
-    def gathered(rows: DataFrame, out: str) -> DataFrame:
-        word = F.struct(F.col("__no").alias("no"), F.col("__at").alias("at"), (F.col("__rank") + 1).cast("int").alias("id"))
-        return rows.groupBy("__key").agg(F.collect_list(F.when(F.col("__rank").isNotNull(), word)).alias(out))
-
-    # Frequent words are numbered where their text was cut; only rare ones are shuffled.
-    words_of = gathered(numbered, "__words")
-    if size.values > size.head:
-        tail = index.where(F.col("rank") >= size.head).select(digest(F.col("value")).alias("__digest"), F.col("rank").alias("__rank"))
-        rare = numbered.filter("__rank is null and __word is not null").select("__key", "__no", "__at", digest(F.col("__word")).alias("__digest"))
-        more = gathered(rare.join(tail, "__digest"), "__rare").withColumnRenamed("__key", "__rare_key")
-        words_of = words_of.join(more, F.col("__key") == F.col("__rare_key"), "left")
-        none = F.filter("__words", lambda w: F.lit(False))
-        words_of = words_of.withColumn("__words", F.concat("__words", F.coalesce(F.col("__rare"), none)))
-    in_order = F.array_sort("__words")
-
-    def of_text(no: int) -> Column:
-        return F.transform(F.filter(in_order, lambda w: w["no"] == no), lambda w: w["id"])
-
-    sequences = [of_text(i).alias(out) for i, out in enumerate(names.values())]
-    return words_of.select(F.col("__key").alias(key), *sequences)
+    if not others:
+        return numbered.select(F.col("__key").alias(key), *[F.col(f"__{i}.ids").alias(out) for i, out in enumerate(names.values())])
+
+    # Read for its open words and for its rows, which need numbers that stay.
+    numbered = stage(numbered, "numbered")
+
+    def opened(no: int) -> Column:
+        return F.transform(
+            F.col(f"__{no}.open"),
+            lambda word, at: F.struct(F.lit(no).alias("no"), at.alias("place"), digest(word).alias("key")),
+        )
+
+    sought = numbered.select("__row", F.inline(F.concat(*[opened(i) for i in range(len(names))])))
+    tail = index.where(F.col("id") > size.head).select(digest(F.col("token")).alias("key"), (F.col("id") - 1).alias("rank"))
+    met = sought.join(tail, "key").groupBy("__row").agg(F.collect_list(F.struct("no", "place", "rank")).alias("__found"))
+    rows = numbered.join(met, "__row", "left")
+    fill = F.arrow_udf(_filled(), "array<int>")
+
+    def sequence(no: int) -> Column:
+        own = F.filter(F.coalesce("__found", F.array().cast("array<struct<no:int,place:int,rank:int>>")), lambda f: f["no"] == no)
+        return fill(F.col(f"__{no}.ids"), F.size(f"__{no}.open"), F.transform(own, lambda f: f["place"]), F.transform(own, lambda f: f["rank"]))
+
+    return rows.select(F.col("__key").alias(key), *[sequence(i).alias(out) for i, out in enumerate(names.values())])
 
 
 def encode_columns(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from blotter.functions.text import tokenize
 from blotter.operators import indexing, scaling, skew, splits, vocabulary
 from blotter.operators.columns import cast_columns, vector_elements
 from blotter.operators.indexing import FrequencyIndexer, decode
@@ -128,6 +129,27 @@ def test_vocabulary_and_sequences(spark, sizes):
     ]
 
 
+@pytest.mark.parametrize("head", [0, 2, 7, 500])
+def test_words_of_a_text_stay_together(spark, head):
+    """Before, every word became a row, which was sorted back into its text; now words leave it at most once a text."""
+    rng = random.Random(head)
+    words = [f"w{i}" for i in range(40)] + ["Über", "ÜBER", "x-y"]
+    text = [" ".join(rng.choices(words, range(len(words), 0, -1), k=rng.randrange(60))) for _ in range(90)]
+    rows = [(i if i else None, t if i % 7 else None, text[-i] if i % 5 else "") for i, t in enumerate(text)] + [(90, "nowhere w0", "w0 " * 3000)]
+    df = spark.createDataFrame(rows, "k long, a string, b string").repartition(5)
+    fitted = vocabulary.fit_vocabulary(df.filter("k is null or k < 90"), ["a", "b"], min_count=4, head_entries=head)
+    numbers = {r["token"]: r["id"] for r in fitted.words.collect()}
+    assert min(len(numbers), head) == fitted.size.head and "nowhere" not in numbers
+    cut = df.select("k", tokenize(F.col("a")).alias("a"), tokenize(F.col("b")).alias("b")).filter("k is not null").collect()
+    expected = {r["k"]: tuple([numbers[w] for w in t or [] if w in numbers] for t in (r["a"], r["b"])) for r in cut}
+    found = vocabulary.texts_to_sequences(df, "k", {"a": "x", "b": "y"}, fitted)
+    assert {r["k"]: (r["x"], r["y"]) for r in found.collect()} == expected and found.count() == len(rows) - 1
+    assert found.schema["x"].dataType.simpleString() == "array<int>"
+    if head == 500:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode" not in plan and "Aggregate" not in plan
+
+
 @pytest.mark.parametrize("limit", [vocabulary.BROADCAST_BYTES, 0])
 def test_encode_columns_both_ways(spark, limit):
     rows = [(1, "x y"), (1, "y"), (None, "y z"), (None, None), (4, "x y")]
