@@ -9,7 +9,7 @@ reach, and each leaf knows what the nodes on its path would have said.
 from __future__ import annotations
 
 from pyspark.ml.classification import DecisionTreeClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.functions.names import column
@@ -18,23 +18,24 @@ from blotter.staging import fresh_path
 _LEAF = "__leaf"
 
 
-def tree_leaves(spark: SparkSession, model: DecisionTreeClassificationModel) -> list[tuple[float, list[float], float]]:
-    """For each leaf its number, what the nodes on its path say from the root down, and its impurity.
-
-    The nodes are read from the saved model; they are as many as the driver holds in the model.
-    """
+def tree_nodes(spark: SparkSession, model: DecisionTreeClassificationModel) -> dict[int, Row]:
+    """The nodes by number, the root's is 0, from the saved model; they are as many as the driver holds in the model."""
     path = fresh_path(spark, "tree")
     model.write().save(path)
-    saved = spark.read.parquet(f"{path}/data").select("id", "prediction", "impurity", "leftChild", "rightChild").collect()
-    nodes = {n["id"]: n for n in saved}
-    leaves: list[tuple[float, list[float], float]] = []
+    kept = ("id", "prediction", "impurity", "leftChild", "rightChild", "split")
+    return {n["id"]: n for n in spark.read.parquet(f"{path}/data").select(*kept).collect()}
+
+
+def tree_leaves(nodes: dict[int, Row]) -> list[tuple[int, list[float], float]]:
+    """For each leaf, from left to right, its node, what the nodes on its path say from the root down, and its impurity."""
+    leaves: list[tuple[int, list[float], float]] = []
     waiting: list[tuple[int, list[float]]] = [(0, [])]
-    while waiting:  # leaves are numbered from left to right
+    while waiting:
         number, above = waiting.pop()
         node = nodes[number]
         said = [*above, node["prediction"]]
         if node["leftChild"] < 0:
-            leaves.append((float(len(leaves)), said, node["impurity"]))
+            leaves.append((number, said, node["impurity"]))
         else:
             waiting += [(node["rightChild"], said), (node["leftChild"], said)]
     return leaves
@@ -44,7 +45,8 @@ def paths_to_leaves(
     spark: SparkSession, model: DecisionTreeClassificationModel, depths: list[int]
 ) -> list[tuple[float, list[float]]]:
     """For each leaf, by its number, the predictions of the tree cut at each of the depths."""
-    return [(number, [said[min(d, len(said) - 1)] for d in depths]) for number, said, _ in tree_leaves(spark, model)]
+    leaves = tree_leaves(tree_nodes(spark, model))
+    return [(float(at), [said[min(d, len(said) - 1)] for d in depths]) for at, (_, said, _) in enumerate(leaves)]
 
 
 def counts_by_depth(
