@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import ceil
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -24,6 +25,9 @@ from blotter.plans.tasks import Task
 from blotter.schema import KEY
 from blotter.staging import stage
 
+# Bounded rows to fit on have at least so many partitions, and more where these would get more rows than that.
+FIT_PARTITIONS, FIT_ROWS = 4, 10_000
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -188,6 +192,10 @@ def train_outcome(df: DataFrame, task: Task, settings: Settings = Settings()) ->
     if settings.labelled_rows is not None:
         share = int(min(1.0, settings.labelled_rows / max(1, ready.filter(in_training).count())) * 1_000_000)
         fitted_on = fitted_on.filter(key_bucket([settings.key], settings.seed, 1_000_000, "fit") < share)
+        # The learner keeps, and shuffles, statistics of all nodes in work for every partition: those follow the rows
+        # it is fitted on, not the table they come from. It also draws by partition and place, which now depend on the key.
+        pieces = max(FIT_PARTITIONS, ceil(settings.labelled_rows / FIT_ROWS))
+        fitted_on = fitted_on.repartition(pieces, column(settings.key)).sortWithinPartitions(column(settings.key))
     training = fitted_on.select("label", vector).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forest = settings.forest.estimator("label", vector).fit(training)

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
@@ -126,6 +126,25 @@ def test_near_unique_features_do_not_spoil_test_rows(spark):
     assert set(outcome.charts()) == {"confusion_chart", "roc_chart"}
 
 
+def test_bounded_fit_does_not_depend_on_the_partitions(spark, monkeypatch):
+    """The learner's partitions follow the rows it is fitted on, and the forest is the same however the table is cut."""
+    rnd = random.Random(6)
+    rows = [(i, str(rnd.randrange(30)), str(rnd.randrange(9)), rnd.choice("TF")) for i in range(600)]
+    df = spark.createDataFrame(rows, "ID long, a string, b string, Flag string")
+    settings = Settings(forest=Forest(trees=6, depth=8), labelled_rows=300)
+    fit, partitions, found = RandomForestClassifier.fit, [], []
+    seen = lambda self, rows: partitions.append(rows.rdd.getNumPartitions()) or fit(self, rows)
+    monkeypatch.setattr(RandomForestClassifier, "fit", seen)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        for pieces in (2, 11):
+            outcome = train_outcome(df.repartition(pieces, "ID"), Task("flag", "Flag", ["a", "b"], None, binary=True), settings)
+            found.append(sorted((r.ID, r.predicted, r.score) for r in outcome.predictions.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert partitions == [4, 4] and found[0] == found[1]
+
+
 def test_missing_and_malformed_numbers_count_as_the_mean(spark):
     rows = [(i, None if i % 9 == 0 else "?" if i % 9 == 1 else str(i % 5), "TRUE" if i % 5 > 2 else "FALSE") for i in range(400)]
     df = spark.createDataFrame(rows, "ID long, Latitude string, Flag string")
