@@ -110,9 +110,8 @@ def e5_roc_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- outcome models ----------------------------------------------------------
 
-# The library's own forest, fitted on at most about so many of the training rows.
-LABELLED_ROWS = 2_000
-SETTINGS = Settings(labelled_rows=LABELLED_ROWS)
+# The library's own forest, fitted on all training rows.
+SETTINGS = Settings()
 
 _trained: dict[tuple, Outcome] = {}
 
@@ -206,8 +205,7 @@ def r5_training_table_fit_on_train(spark: SparkSession, sf_dir: str) -> DataFram
 @query("r7_forest_depth_30")
 def r7_forest_depth_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forest on features scaled once more, as a confusion matrix of class values."""
-    deep = Settings(rescale=True, labelled_rows=LABELLED_ROWS)
-    return train_outcome(incidents(spark, sf_dir), TASKS["domestic"], deep).confusion()
+    return train_outcome(incidents(spark, sf_dir), TASKS["domestic"], Settings(rescale=True)).confusion()
 
 
 @query("r8_class_predictions")
