@@ -35,13 +35,15 @@ from blotter.staging import shuffles_deleted, stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Training rows, drawn ones counted as often as they are drawn, that a group goes on with at most.
-LEAF_ROWS = 500_000
+LEAF_ROWS = 1_000_000
 # Copies of rows (rows times trees) that a round of trees exchanges, or one tree if that has more.
 ROUND_ROWS = 100_000_000
 # Rows that a task gathers before it sends them on, and tasks that trees go on in at most.
 _GATHERED, _TASKS = 250_000, 2_000
 # Values of a feature that a gathered part of the rows tells of itself; each stands for a like number of rows.
 _POINTS = 4_096
+# Rows that are led down a top at once.
+_PIECE = 32_768
 # Cells of histograms that a task holds at once.
 _CELLS = 4_000_000
 # Votes are added up by blocks of so many bits of the rows' numbers.
@@ -280,9 +282,8 @@ def grown(
         kept = np.zeros(len(counts), dtype=bool)
         kept[open_] = True
         lengths = np.diff(starts)
-        of_rows = np.repeat(kept, lengths)
         if not kept.all():
-            bins, label, weight = bins[of_rows], label[of_rows], weight[of_rows]
+            bins, label, weight = _taken(np.flatnonzero(np.repeat(kept, lengths)), bins, label, weight)
         lengths = lengths[open_]
         starts = np.concatenate([[0], np.cumsum(lengths)])
         gain, feature, last = best_splits(starts, (bins, label, weight), counts[open_], drawn_features(rng, len(open_), bins.shape[1]), size)
@@ -290,8 +291,7 @@ def grown(
         if not split.any():
             break
         if not split.all():
-            of_rows = np.repeat(split, lengths)
-            bins, label, weight = bins[of_rows], label[of_rows], weight[of_rows]
+            bins, label, weight = _taken(np.flatnonzero(np.repeat(split, lengths)), bins, label, weight)
             lengths = lengths[split]
         feature, last, parents = feature[split], last[split], open_[split]
         following[parents] = 2 * np.arange(len(parents))
@@ -318,12 +318,16 @@ def grown(
         child = 2 * own + right
         counts = np.bincount(child * classes + label, weights=weight, minlength=2 * len(lengths) * classes)
         counts = counts.reshape(-1, classes).astype(np.int64)
-        bins, label, weight = bins[order], label[order], weight[order]
+        bins, label, weight = _taken(order, bins, label, weight)
         starts = np.concatenate([[0], np.cumsum(np.stack([to_left, lengths - to_left], axis=1).ravel())])
         of_level.append(counts)
     return _joined(of_level, children)[reached], np.concatenate(of_level)
 
 
+def _taken(at: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
+    return [r.take(at, axis=0) for r in rows]
+
+
 def _joined(of_level: list[np.ndarray], children: list[np.ndarray]) -> np.ndarray:
     """For every node the one that answers for it: leaves under one parent that say the same are one leaf."""
     said = [c.argmax(axis=1) for c in of_level]
@@ -372,14 +376,20 @@ class Top:
 
     def reached(self, bins: np.ndarray) -> np.ndarray:
         """The leaf that each row reaches."""
-        feature, last, left = np.array(self.feature), np.array(self.last), np.array(self.left)
+        leaf = np.array(self.left) < 0
+        feature, following = np.array(self.feature), np.where(leaf, np.arange(len(leaf)), self.left)
+        last = np.where(leaf, np.iinfo(np.int64).max, self.last)
         node = np.zeros(len(bins), dtype=np.int64)
-        if len(left) == 1:
+        if len(leaf) == 1:
             return node
-        for _ in range(max(self.depth)):
-            inner = left[node] >= 0
-            right = bins[np.arange(len(bins)), feature[node]] > last[node]
-            node = np.where(inner, left[node] + right, node)
+        values, width = bins.ravel(), bins.shape[1]
+        # In pieces that stay in the processor's cache.
+        for start in range(0, len(bins), _PIECE):
+            at = node[start : start + _PIECE]
+            first = np.arange(start, start + len(at)) * width
+            for _ in range(max(self.depth)):
+                right = values.take(first + feature.take(at)) > last.take(at)
+                at[:] = following.take(at) + right
         return node
 
 
@@ -422,24 +432,31 @@ def _histograms(tops: list[Top], open_: dict[int, dict[int, np.ndarray]], rows:
                 if not nodes:
                     continue
                 subset = np.array(list(nodes.values()))
-                slot = np.full(len(top.left), -1, dtype=np.int64)
-                slot[list(nodes)] = np.arange(len(nodes))
-                weight = draws(row, top.number, rows.seed)
-                at = slot[top.reached(bins)]
-                used = np.flatnonzero((at >= 0) & (weight > 0))
-                at, w, own, y = at[used], weight[used], bins[used], label[used]
                 m, k = subset.shape
-                total = found.setdefault(top.number, np.zeros((m, k, rows.size, rows.classes)))
-                for j in range(k):
-                    cell = (at * rows.size + own[np.arange(len(own)), subset[at, j]]) * rows.classes + y
-                    cells = np.bincount(cell, weights=w, minlength=m * rows.size * rows.classes)
-                    total[:, j] += cells.reshape(m, rows.size, rows.classes)
+                slot = np.full(len(top.left), -1, dtype=np.int64)
+                slot[list(nodes)] = np.arange(m)
+                total = found.setdefault(top.number, np.zeros((k, m * rows.size * rows.classes)))
+                step = max(_PIECE, total.shape[1])
+                for start in range(0, len(row), step):
+                    weight = draws(row[start : start + step], top.number, rows.seed)
+                    drawn = np.flatnonzero(weight)
+                    own = bins[start : start + step].take(drawn, axis=0)
+                    at = slot.take(top.reached(own))
+                    used = np.flatnonzero(at >= 0)
+                    at, drawn = at.take(used), drawn.take(used)
+                    w, place = weight.take(drawn), at * (rows.size * rows.classes) + label[start : start + step].take(drawn)
+                    values, first = own.ravel(), used * rows.width
+                    for j in range(k):
+                        cell = place + values.take(first + subset[:, j].take(at)) * np.int64(rows.classes)
+                        total[j] += np.bincount(cell, weights=w, minlength=total.shape[1])
         for number, total in found.items():
+            nodes = open_[number]
+            by_node = total.astype(np.int64).reshape(len(total), len(nodes), -1).swapaxes(0, 1)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "tree": pa.array([number] * len(total), pa.int32()),
-                    "node": pa.array(list(open_[number]), pa.int32()),
-                    "cells": pa.array([t.astype(np.int64).tobytes() for t in total], pa.binary()),
+                    "tree": pa.array([number] * len(nodes), pa.int32()),
+                    "node": pa.array(list(nodes), pa.int32()),
+                    "cells": pa.array([cells.tobytes() for cells in by_node], pa.binary()),
                 }
             )
 
@@ -530,9 +547,11 @@ def _sent(tops: list[Top], rows: _Rows) -> Callable:
 def _by_leaf(rows: np.ndarray, leaf: np.ndarray) -> dict[int, bytes]:
     if not len(rows):
         return {}
+    # Small numbers are sorted by counting.
+    leaf = leaf.astype(np.uint16) if leaf.max() < 1 << 16 else leaf
     order = np.argsort(leaf, kind="stable")
     met, first = np.unique(leaf[order], return_index=True)
-    return {int(v): part.tobytes() for v, part in zip(met, np.split(rows[order], first[1:]))}
+    return {int(v): part.tobytes() for v, part in zip(met, np.split(rows.take(order), first[1:]))}
 
 
 def _finished(tops: dict[int, Top], rows: _Rows, levels: int) -> Callable:
